@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import html
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
 from .values import as_column
 
+# workers receive the two Arrow functions with the job and need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The characters that count as white space, as text and as a regex class body.
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"

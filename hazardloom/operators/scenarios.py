@@ -90,11 +90,16 @@ def match_rate(looked_up: DataFrame, floor: float = MATCH_RATE_FLOOR) -> DataFra
 def matched_details(looked_up: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per scenario the mean score of its conditions and their text, in condition order."""
     part = matched_part(F.col("k"), F.col("v"), F.col("tier"), F.col("score"))
-    return looked_up.groupBy(*(by or []), "scenario_id").agg(
-        F.avg("score").alias("s2_2_importance"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))), lambda p: p["part"]), "; "
-        ).alias("matched_details"),
+    # a scenario has at most one condition per column, so the list is short; adding in condition
+    # order keeps the mean the same on every run
+    parts = F.array_sort(F.collect_list(F.struct("pos", part.alias("part"), "score")))
+    grouped = looked_up.groupBy(*(by or []), "scenario_id").agg(parts.alias("__p"))
+    total = F.aggregate("__p", F.lit(0.0), lambda acc, p: acc + p["score"])
+    return grouped.select(
+        *(by or []),
+        "scenario_id",
+        (total / F.size("__p")).alias("s2_2_importance"),
+        F.array_join(F.transform("__p", lambda p: p["part"]), "; ").alias("matched_details"),
     )
 
 

@@ -10,12 +10,17 @@ from __future__ import annotations
 import glob
 import json
 import os
+import sys
 from dataclasses import dataclass
 from typing import Protocol
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+# workers receive these classes with the job and need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PAGE_SIZE = 1000
 
 
@@ -39,7 +44,10 @@ class RecordPages:
 
 @dataclass
 class FolderPages:
-    """Pages kept as JSON-lines files below ``<root>/<filter>/page=<n>/`` (shared storage)."""
+    """Pages kept as JSON-lines files below ``<root>/filter=<value>/page=<n>/`` on shared storage.
+
+    ``value`` is the constant of the filter ``column='value'``, or ``all`` without a filter.
+    """
 
     root: str
     page_size: int = PAGE_SIZE
@@ -47,7 +55,8 @@ class FolderPages:
     def fetch(self, where: str | None, limit: int, offset: int) -> list[dict]:
         if limit != self.page_size or offset % limit:
             raise ValueError("stored pages have a fixed size")
-        folder = os.path.join(self.root, (where or "all").replace("'", ""), f"page={offset // limit}")
+        value = where.split("=", 1)[1].strip().strip("'") if where else "all"
+        folder = os.path.join(self.root, f"filter={value}", f"page={offset // limit}")
         rows: list[dict] = []
         for name in sorted(glob.glob(os.path.join(glob.escape(folder), "*.json"))):
             with open(name, encoding="utf-8") as file:
