@@ -77,11 +77,12 @@ def lookup_three_tier(names: DataFrame, imp: DataFrame) -> DataFrame:
     )
 
 
-def match_rate(looked_up: DataFrame, floor: float = MATCH_RATE_FLOOR) -> DataFrame:
-    """One row: conditions processed, matched, rate, and whether the rate is suspiciously low."""
+def match_rate(looked_up: DataFrame, floor: float = MATCH_RATE_FLOOR, by: list[str] | None = None) -> DataFrame:
+    """One row (per group): conditions processed, matched, rate, and whether the rate is suspiciously low."""
     rate = F.coalesce(F.try_divide(F.col("matched"), F.col("processed")), F.lit(0.0))
     return (
-        looked_up.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("tier") > 0).alias("matched"))
+        looked_up.groupBy(*(by or []))
+        .agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("tier") > 0).alias("matched"))
         .withColumn("match_rate", rate)
         .withColumn("low", F.col("match_rate") < floor)
     )

@@ -135,13 +135,13 @@ def pooled_features(seq: DataFrame, buckets: int = 128, leave_out: str | None =
     used = [i for i, n in enumerate(NUMERICS) if n != leave_out]
     real = F.size(F.filter("mask", lambda m: m)).cast("double")
     both = F.arrays_zip("mask", "numeric")
-    means = {
-        f"__f{i}": F.aggregate(
-            F.filter(both, lambda t: t["mask"]), F.lit(0.0), lambda acc, t, i=i: acc + F.get(t["numeric"], F.lit(i))
-        )
-        / F.greatest(real, F.lit(1.0))
-        for i in used
-    }
+
+    def mean(i: int) -> Column:
+        tokens = F.filter(both, lambda t: t["mask"])
+        total = F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc + F.get(t["numeric"], F.lit(i)))
+        return total / F.greatest(real, F.lit(1.0))
+
+    means = {f"__f{i}": mean(i) for i in used}
     words = F.transform(F.filter("token_ids", lambda t: t != PAD_ID), lambda t: t.cast("string"))
     rows = seq.withColumns({**means, "__words": words})
     hashed = HashingTF(inputCol="__words", outputCol="__hashed", numFeatures=buckets).transform(rows)
