@@ -14,34 +14,44 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
 from ..functions.values import safe_log1p, safe_sqrt
+from ..session import cut
 from .missing import impute_median_mode
 from .ordered import OrderedRows
+from .quantiles import value_counts
 from .schema import q, split_types
+from .sizing import small
 
 MAX_CATEGORIES = 1000
 
 
-def categories(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct values; more than MAX_CATEGORIES is an error, not a driver overload."""
-    found = df.where(F.col(q(col)).isNotNull()).select(F.col(q(col)).cast("string").alias("v")).distinct()
-    values = [r["v"] for r in found.limit(MAX_CATEGORIES + 1).collect()]
-    if len(values) > MAX_CATEGORIES:
-        raise ValueError(f"{col} has more than {MAX_CATEGORIES} distinct values")
-    return sorted(values)
+def categories(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
+    """Sorted distinct values per column, all columns in one pass.
+
+    More than MAX_CATEGORIES values is an error and not a driver overload.
+    """
+    per_column = value_counts(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    wide = per_column.where(F.col("n") > MAX_CATEGORIES).collect()
+    if wide:
+        raise ValueError(f"more than {MAX_CATEGORIES} distinct values: {[r['column'] for r in wide]}")
+    found: dict[str, list[str]] = {c: [] for c in cols}
+    for r in value_counts(df, cols).select("column", "value").collect():
+        found[r["column"]].append(r["value"])
+    return {c: sorted(values) for c, values in found.items()}
 
 
 def encode_categorical(df: DataFrame, cols: list[str]) -> DataFrame:
     """Indicator ``<col>_<value>`` per value and alphabetical code ``<col>_encoded`` ('nan' for null)."""
+    cols = [c for c in cols if c in df.columns]
+    if not cols:
+        return df
+    known = categories(df, cols)
+    gaps = df.agg(*[F.max(F.col(q(c)).isNull()).alias(f"g{i}") for i, c in enumerate(cols)]).first()
     added: dict[str, Column] = {}
-    for c in cols:
-        if c not in df.columns:
-            continue
+    for i, c in enumerate(cols):
         value = F.col(q(c)).cast("string")
-        known = categories(df, c)
-        for v in known:
+        for v in known[c]:
             added[f"{c}_{v}"] = F.coalesce(value == v, F.lit(False))
-        has_null = not df.where(F.col(q(c)).isNull()).isEmpty()
-        classes = sorted(set(known) | ({"nan"} if has_null else set()))
+        classes = sorted(set(known[c]) | ({"nan"} if gaps[f"g{i}"] else set()))
         code = F.array_position(F.array(*[F.lit(v) for v in classes]), F.coalesce(value, F.lit("nan")))
         added[f"{c}_encoded"] = (code - 1).cast("int")
     return df.withColumns(added)
@@ -173,10 +183,12 @@ def stratified_split(
     df: DataFrame, label: str, key: list[str], ratio: float = 0.25, seed: int = 42, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Add ``is_test``: exactly ``round(ratio * n)`` rows of every class, chosen by hashed key."""
+    sizes = cut(df.groupBy(F.col(q(label)).alias("__l")).agg(F.count(F.lit(1)).alias("__n")))
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    sizes = small(sizes.select("__l", F.round(F.col("__n") * ratio).alias("__take")))
     marked = df.withColumn("__mark", _mark(key, seed))
-    placed = OrderedRows(marked, [label], ["__mark", *[F.col(q(k)) for k in key]], rows_per_bucket).row_number("__rn").result()
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = sizes.select(F.col(label).alias("__l"), F.round(F.col("__n") * ratio).alias("__take"))
+    order = ["__mark", *[F.col(q(k)) for k in key]]
+    placed = OrderedRows(marked, [label], order, rows_per_bucket, total).row_number("__rn").result()
     return (
         placed.join(sizes, F.col(q(label)).eqNullSafe(F.col("__l")))
         .withColumn("is_test", F.col("__rn") <= F.col("__take"))
@@ -192,9 +204,11 @@ def split(
         raise ValueError("ratio must be in [0, 1)")
     if ratio == 0:
         return df.withColumn("is_validation", F.lit(False))
+    total = df.count()
+    take = max(1, round(total * ratio))
     marked = df.withColumn("__mark", _mark(key, seed))
-    placed = OrderedRows(marked, [], ["__mark", *[F.col(q(k)) for k in key]], rows_per_bucket).row_number("__rn").result()
-    take = F.greatest(F.lit(1.0), F.bround(F.lit(float(df.count())) * ratio))
+    order = ["__mark", *[F.col(q(k)) for k in key]]
+    placed = OrderedRows(marked, [], order, rows_per_bucket, total).row_number("__rn").result()
     return placed.withColumn("is_validation", F.col("__rn") <= take).drop("__mark", "__rn")
 
 

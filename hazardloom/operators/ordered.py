@@ -19,12 +19,12 @@ SAMPLES_PER_BUCKET = 48
 _FAN = 64
 
 
-def split_points(df: DataFrame, key: Column, rows_per_bucket: int | None = None) -> list:
+def split_points(df: DataFrame, key: Column, rows_per_bucket: int | None = None, total: int | None = None) -> list:
     """Ascending key values that cut ``df`` into buckets of similar size (at most MAX_BUCKETS).
 
     Only the choice of the cuts looks at a sample; every row is kept and lands in one bucket.
     """
-    total = df.count()
+    total = df.count() if total is None else total
     buckets = min(MAX_BUCKETS, -(-total // (rows_per_bucket or ROWS_PER_BUCKET)))
     if buckets <= 1:
         return []
@@ -60,16 +60,18 @@ class OrderedRows:
     """Rows in a total order inside groups: ``by`` columns, then ``order`` (ascending).
 
     ``order`` holds columns or expressions; negate a number to sort it descending. Without ``by``
-    there is one global group. Nulls come first.
+    there is one global group. Nulls come first. ``total`` is the row count if it is known already.
     """
 
-    def __init__(self, df: DataFrame, by: list[str], order: list, rows_per_bucket: int | None = None):
+    def __init__(
+        self, df: DataFrame, by: list[str], order: list, rows_per_bucket: int | None = None, total: int | None = None
+    ):
         self.by = list(by)
         keys = [c if isinstance(c, Column) else F.col(c) for c in order]
         self._order = [f"__o{i}" for i in range(len(keys))]
         df = df.withColumns(dict(zip(self._order, keys)))
         key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(self.by + self._order)])
-        cuts = split_points(df, key, rows_per_bucket)
+        cuts = split_points(df, key, rows_per_bucket, total)
         dtype = df.select(key.alias("k")).schema["k"].dataType.simpleString()
         self._split = bool(cuts)
         self._base = df.withColumn("__b", bucket_of(key, cuts, dtype))

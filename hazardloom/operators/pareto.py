@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut
 from .ordered import OrderedRows
+from .sizing import small
 
 A_LIMIT, B_LIMIT = 0.80, 0.90
 
@@ -23,12 +25,15 @@ def running_share(
 ) -> DataFrame:
     """``cumulative_score`` and ``cumulative_percentage`` from the highest score down."""
     by = list(by or [])
-    running = OrderedRows(df, by, [-F.col(score), F.col(key)], rows_per_bucket).running_sum(score, "cumulative_score").result()
+    totals = cut(df.groupBy(*by).agg(F.sum(score).alias("__total"), F.count(F.lit(1)).alias("__n")))
+    rows = totals.agg(F.sum("__n")).first()[0] or 0
+    totals = totals.drop("__n")
+    ordered = OrderedRows(df, by, [-F.col(score), F.col(key)], rows_per_bucket, rows)
+    running = ordered.running_sum(score, "cumulative_score").result()
     if by:
-        totals = df.groupBy(*by).agg(F.sum(score).alias("__total"))
-        running = running.join(totals, by)
+        running = running.join(small(totals), by)
     else:
-        running = running.withColumn("__total", df.agg(F.sum(score)).scalar())
+        running = running.withColumn("__total", totals.scalar())
     return running.withColumn("cumulative_percentage", F.try_divide("cumulative_score", "__total")).drop("__total")
 
 

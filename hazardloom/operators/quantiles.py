@@ -1,104 +1,131 @@
-"""Exact quantiles and modes without holding a column in one task."""
+"""Exact quantiles, value counts and modes without holding a column in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import distinct_running
+from .schema import q
 
-BRACKET_FROM_ROWS = 5_000_000
+BRACKET_FROM_ROWS = 200_000
 ACCURACY = 20_000
+_SETS_AT_ONCE = 60
 
 
-def _series(col: str, prob: float) -> str:
-    return f"{col}\x1f{prob!r}"
+def counts_per_column(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``(series, value, n)``: how often each non-null value occurs in each named expression.
 
+    One pass with one grouping set per expression, combined before the shuffle. All expressions
+    must have the same type.
+    """
+    names = list(columns)
+    out = None
+    for start in range(0, len(names), _SETS_AT_ONCE):
+        some = names[start : start + _SETS_AT_ONCE]
+        slots = [f"__c{i}" for i in range(len(some))]
+        rows = df.select(*[columns[n].alias(s) for n, s in zip(some, slots)])
+        counted = rows.groupingSets([[s] for s in slots], *slots).agg(
+            F.grouping_id().alias("__g"), F.count(F.lit(1)).alias("n")
+        )
+        # in the set of one column every other column's bit is raised
+        full = (1 << len(slots)) - 1
+        by_id = F.create_map(
+            *[x for i, n in enumerate(some) for x in (F.lit(full - (1 << (len(slots) - 1 - i))), F.lit(n))]
+        ).cast("map<bigint,string>")
+        value = F.coalesce(*slots)
+        part = counted.where(value.isNotNull()).select(
+            F.element_at(by_id, F.col("__g").cast("bigint")).alias("series"), value.alias("value"), "n"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
-def _brackets(df: DataFrame, cols: list[str], probs: list[float], counts: dict[str, int]) -> dict | None:
-    """Value ranges that provably hold the wanted order statistics, or None when a range misses.
 
-    Approximate percentiles on both sides of each target give the range; exact counts below
-    and inside it then prove that the target rank lies in it.
-    """
-    slack = 4.0 / ACCURACY
-    asked = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
-    found = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), asked, ACCURACY).alias(f"q{i}") for i, c in enumerate(cols)]
-    ).first()
-    limits = {
-        (c, p): (found[f"q{i}"][2 * j], found[f"q{i}"][2 * j + 1])
+def _limits(stats, cols: list[str], probs: list[float], counts: dict[str, int]) -> dict:
+    return {
+        (c, p): (stats[f"q{i}"][2 * j], stats[f"q{i}"][2 * j + 1])
         for i, c in enumerate(cols)
         if counts[c]
         for j, p in enumerate(probs)
     }
+
+
+def _proven(df: DataFrame, limits: dict, counts: dict[str, int]) -> dict | None:
+    """Rows below each range, or None if a range misses one of its two target ranks."""
     checks = []
     for i, ((c, _), (low, high)) in enumerate(limits.items()):
-        x = F.col(c).cast("double")
-        checks += [F.count_if(x < low).alias(f"b{i}"), F.count_if(x <= high).alias(f"u{i}")]
+        checks += [F.count_if(F.col(q(c)) < low).alias(f"b{i}"), F.count_if(F.col(q(c)) <= high).alias(f"u{i}")]
     seen = df.agg(*checks).first()
-    out = {}
-    for i, ((c, p), (low, high)) in enumerate(limits.items()):
+    below = {}
+    for i, (c, p) in enumerate(limits):
         place = (counts[c] - 1) * p
         if seen[f"b{i}"] > int(place) or seen[f"u{i}"] < min(counts[c], int(place) + 2):
             return None
-        out[(c, p)] = (low, high, seen[f"b{i}"])
-    return out
+        below[(c, p)] = seen[f"b{i}"]
+    return below
 
 
 def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], bracket_from: int = BRACKET_FROM_ROWS, rows_per_bucket=None
+    df: DataFrame, cols: list[str], probs: list[float], bracket_from: int | None = None, rows_per_bucket=None
 ) -> DataFrame:
     """``(column, prob, value)`` with linear interpolation between neighbours, nulls ignored.
 
-    Values are counted before they are ordered, so repeated values cost nothing, and on large
-    inputs only the values around each target rank are ordered at all.
+    Values are counted before they are ordered, so repeated values cost nothing. On larger inputs
+    approximate percentiles give a range around each target rank, exact counts below and inside
+    prove that the rank lies in it, and only the values of that range are ordered. If a range
+    misses, all values are ordered.
     """
     spark = df.sparkSession
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    df = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols])
-    first = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    counts = {c: first[f"n{i}"] for i, c in enumerate(cols)}
-    narrow = _brackets(df, cols, probs, counts) if max(counts.values(), default=0) >= bracket_from else None
-
-    targets, pieces = [], []
-    for c in cols:
-        x = F.col(c)
-        if narrow:
-            for p in probs:
-                if counts[c]:
-                    low, high, below = narrow[(c, p)]
-                    targets.append((_series(c, p), c, p, (counts[c] - 1) * p, below))
-                    pieces.append(
-                        F.when(
-                            (x >= low) & (x <= high),
-                            F.struct(F.lit(_series(c, p)).alias("series"), x.alias("value")),
-                        )
-                    )
-        else:
-            targets += [(c, c, p, (counts[c] - 1) * p, 0) for p in probs if counts[c]]
-            pieces.append(F.when(x.isNotNull(), F.struct(F.lit(c).alias("series"), x.alias("value"))))
+    threshold = BRACKET_FROM_ROWS if bracket_from is None else bracket_from
+    numbers = df.select(*[F.col(q(c)).cast("double").alias(c) for c in cols])
+    numbers = numbers.select(*[F.when(~F.isnan(F.col(q(c))), F.col(q(c))).alias(c) for c in cols])
+    slack = 4.0 / ACCURACY
+    asked = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    stats = numbers.agg(
+        *[F.count(F.col(q(c))).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.percentile_approx(F.col(q(c)), asked, ACCURACY).alias(f"q{i}") for i, c in enumerate(cols)],
+    ).first()
+    counts = {c: stats[f"n{i}"] for i, c in enumerate(cols)}
+    below = None
+    if max(counts.values(), default=0) >= threshold:
+        limits = _limits(stats, cols, probs, counts)
+        below = _proven(numbers, limits, counts)
+
+    targets, series = [], {}
+    for i, c in enumerate(cols):
+        for j, p in enumerate(probs):
+            if not counts[c]:
+                continue
+            name = f"{i}" if below is None else f"{i}/{j}"
+            x = F.col(q(c))
+            if below is not None:
+                low, high = limits[(c, p)]
+                x = F.when((x >= low) & (x <= high), x)
+            series[name] = x
+            before = 0 if below is None else below[(c, p)]
+            targets.append((name, c, float(p), float((counts[c] - 1) * p), int(before)))
     wanted = spark.createDataFrame(
-        [(s, c, float(p), float(h), int(b)) for s, c, p, h, b in targets],
-        "series string, column string, prob double, place double, below long",
+        targets, "series string, column string, prob double, place double, below long"
     )
-    values = df.select(F.explode(F.filter(F.array(*pieces), lambda s: s.isNotNull())).alias("s")).select("s.*")
-    per_value = values.groupBy("series", "value").agg(F.count(F.lit(1)).alias("n"))
-    running = distinct_running(per_value, ["series"], "value", "n", rows_per_bucket)
+    if not targets:
+        return wanted.select("column", "prob", F.col("place").alias("value"))
+    running = distinct_running(counts_per_column(numbers, series), ["series"], "value", "n", rows_per_bucket)
     # the list of wanted ranks has columns x probs rows
     placed = running.join(F.broadcast(wanted), "series")
     after, before = F.col("below") + F.col("upto"), F.col("below") + F.col("upto") - F.col("n")
 
-    def at(rank):
-        return F.max(F.when((before <= rank) & (rank < after), F.col("value")))
+    def holds(rank: Column) -> Column:
+        return (before <= rank) & (rank < after)
 
     low_rank, high_rank = F.floor("place"), F.ceil("place")
+    share = F.col("place") - F.floor("place")
     return (
-        placed.where(((before <= low_rank) & (low_rank < after)) | ((before <= high_rank) & (high_rank < after)))
+        placed.where(holds(low_rank) | holds(high_rank))
         .groupBy("column", "prob", "place")
-        .agg(at(low_rank).alias("lo"), at(high_rank).alias("hi"))
-        .select(
-            "column", "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("place") - F.floor("place"))).alias("value")
+        .agg(
+            F.max(F.when(holds(low_rank), F.col("value"))).alias("lo"),
+            F.max(F.when(holds(high_rank), F.col("value"))).alias("hi"),
         )
+        .select("column", "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("value"))
     )
 
 
@@ -111,23 +138,16 @@ def medians(df: DataFrame, cols: list[str]) -> dict[str, float]:
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(column, value, n)`` of non-null values as text."""
-    pieces = [
-        F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")))
-        for c in cols
-    ]
-    return (
-        df.select(F.explode(F.filter(F.array(*pieces), lambda s: s.isNotNull())).alias("s"))
-        .groupBy("s.column", "s.value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counted = counts_per_column(df, {c: F.col(q(c)).cast("string") for c in cols})
+    return counted.withColumnRenamed("series", "column")
 
 
 def modes(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(column, value, n)``: the most frequent value, the smallest one on ties."""
-    ordered = F.min(F.struct((-F.col("n")).alias("key"), F.col("value")))
+    best = F.min(F.struct((-F.col("n")).alias("key"), F.col("value")))
     return (
         value_counts(df, cols)
         .groupBy("column")
-        .agg(ordered.alias("m"))
+        .agg(best.alias("m"))
         .select("column", F.col("m.value").alias("value"), (-F.col("m.key")).alias("n"))
     )

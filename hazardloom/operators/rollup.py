@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut
 from .ordered import OrderedRows
 from .schema import q
+from .sizing import small
 
 # Key sets tried in this order when a column is copied from another table.
 KEY_SETS = [
@@ -104,13 +106,14 @@ def enrich(
             lookup = source.select(
                 *[F.col(q(k)).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(q(col)).alias("__value")
             ).distinct()
+            lookup = cut(lookup)
             names = [f"__k{i}" for i in range(len(keys))]
             if not lookup.groupBy(*names).count().where("count > 1").isEmpty():
                 raise ValueError(f"keys {keys} are not unique in the source")
             on = reduce(
                 lambda x, y: x & y, [F.col(q(k)).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
             )
-            joined = target.drop(col).join(lookup, on, "left")
+            joined = target.drop(col).join(small(lookup), on, "left")
             return joined.select(*[F.col(q(c)) for c in target.columns if c != col], F.col("__value").alias(col))
     raise RuntimeError("lengths differ and no usable key set was found")
 

@@ -10,7 +10,7 @@ from ..functions.evidence import scenario_id
 from ..functions.values import plain_text
 from ..session import cut
 from .schema import q
-from .sizing import small
+from .sizing import BROADCAST_ROWS
 
 MAX_RULE_ITEMS = 12
 
@@ -32,10 +32,23 @@ def _items(df: DataFrame, cols: list[str], build) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.array(*parts), lambda x: x.isNotNull())))
 
 
+def _named_items(df: DataFrame, cols: list[str]) -> Column:
+    return _items(df, cols, lambda c, v: F.concat(F.lit(c + "_"), v))
+
+
 def transactions(df: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
     """``key`` and ``items`` (``col_value``); rows without any item are left out."""
-    items = _items(df, cols, lambda c, v: F.concat(F.lit(c + "_"), v))
-    return df.select(*[F.col(q(k)) for k in key], items.alias("items")).where(F.size("items") > 0)
+    return df.select(*[F.col(q(k)) for k in key], _named_items(df, cols).alias("items")).where(F.size("items") > 0)
+
+
+def weighted_transactions(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``items`` and ``w``: equal rows merged by their raw values before any item is built.
+
+    Empty lists stay until :func:`frequent_itemsets` has stored the merged rows: a filter here
+    would be pushed below the merge and build the items of every single row.
+    """
+    counted = df.groupBy(*[F.col(q(c)) for c in cols]).agg(F.count(F.lit(1)).alias("w"))
+    return counted.select(_named_items(counted, cols).alias("items"), "w")
 
 
 def _grow(
@@ -59,10 +72,12 @@ def _grow(
         sized = sums.join(totals, by) if by else sums.withColumn("n_all", totals.select("n_all").scalar())
         frequent = sized.where(F.col("n_items") / F.col("n_all") >= min_support)
         level = cut(counts.join(frequent, [*by, "itemset"]) if extra else frequent.withColumn("n", F.col("n_items")))
-        if level.isEmpty():
+        rows = level.count()
+        if rows == 0:
             break
         levels.append(level)
-        known = small(level.select(*by, "itemset").distinct())
+        known = level.select(*by, "itemset").distinct()
+        known = F.broadcast(known) if rows <= BROADCAST_ROWS else known
         grown = (
             grown.where(F.size("rest") > 0)
             .join(known, [*by, "itemset"], "left_semi")
@@ -73,10 +88,13 @@ def _grow(
 
 
 def frequent_itemsets(tx: DataFrame, min_support: float = 0.1, max_len: int | None = None) -> DataFrame:
-    """``(items, support, n)`` of all item sets in at least ``min_support`` of the transactions."""
-    weighted = cut(
-        tx.groupBy(F.array_sort(F.array_distinct("items")).alias("items")).agg(F.count(F.lit(1)).alias("w"))
-    )
+    """``(items, support, n)`` of all item sets in at least ``min_support`` of the transactions.
+
+    ``tx`` has ``items`` and, if equal transactions were merged, their number ``w``.
+    """
+    weight = F.sum("w") if "w" in tx.columns else F.count(F.lit(1))
+    merged = cut(tx.groupBy(F.array_sort(F.array_distinct("items")).alias("items")).agg(weight.alias("w")))
+    weighted = merged.where(F.size("items") > 0)
     totals = weighted.agg(F.sum("w").alias("n_all"))
     levels = _grow(weighted, [], [], totals, min_support, max_len)
     found = [
@@ -158,7 +176,6 @@ def top_rules(rules: DataFrame, n: int = 10, metric: str = "confidence") -> Data
 
 def mine_patterns(
     df: DataFrame,
-    key: list[str],
     cols: list[str],
     min_support: float = 0.05,
     min_confidence: float = 0.6,
@@ -167,7 +184,7 @@ def mine_patterns(
     top: int = 20,
 ) -> Patterns:
     """Transactions, item sets, rules, summary and best rules in one call."""
-    itemsets = frequent_itemsets(transactions(df, key, cols), min_support, max_len)
+    itemsets = frequent_itemsets(weighted_transactions(df, cols), min_support, max_len)
     rules = cut(association_rules(itemsets, min_confidence, min_lift))
     return Patterns(itemsets, rules, rule_summary(rules), top_rules(rules, top))
 
@@ -188,11 +205,12 @@ def risk_combinations(
     """
     by = list(by or [])
     items = _items(df, cols, lambda c, v: F.struct(F.lit(c).alias("key"), v.alias("value")))
-    weighted = cut(
+    merged = (
         df.where(F.col(q(target)).isNotNull())
-        .groupBy(*by, F.col(q(target)).cast("string").alias("accident_type"), items.alias("items"))
+        .groupBy(*by, F.col(q(target)).cast("string").alias("accident_type"), *[F.col(q(c)) for c in cols])
         .agg(F.count(F.lit(1)).alias("w"))
     )
+    weighted = cut(merged.select(*by, "accident_type", items.alias("items"), "w"))
     totals = weighted.groupBy(*by).agg(F.sum("w").alias("n_all"))
     classes = weighted.groupBy(*by, "accident_type").agg(F.sum("w").alias("n_class"))
     levels = _grow(weighted, by, ["accident_type"], totals, min_support, max_len)

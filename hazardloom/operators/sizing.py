@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut
+
 BROADCAST_ROWS = 100_000
 
 
@@ -13,3 +15,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     Meant for materialized or directly read tables, where counting up to the limit is cheap.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def measured(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Store a table aggregated from the large side and broadcast it if it turned out small.
+
+    Without the measurement both join sides start to shuffle at once, and the large side has
+    crossed the network before the small one is known to fit.
+    """
+    return small(cut(df), rows)

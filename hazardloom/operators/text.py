@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.values import plain_text
+from ..session import cut
+from .ordered import distinct_running
 from .schema import q
 
 
@@ -120,20 +122,25 @@ def top_tokens(df: DataFrame, col: str, n: int = 10) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, value: Column, bins: int, low=None, high=None) -> DataFrame:
+def histogram(
+    df: DataFrame, value: Column, bins: int, low: Column | None = None, high: Column | None = None,
+    weight: Column | None = None,
+) -> DataFrame:
     """``(bin, bin_from, bin_to, n)`` with equal-width bins, the last one closed; empty bins count 0.
 
-    Range and row counts are one-row subqueries, so no row is paired with another.
+    ``weight`` is the number of rows a row stands for. The range is a one-row subquery, so no row
+    is paired with another.
     """
-    x = df.select(value.cast("double").alias("x")).where("x is not null")
-    lo = F.lit(float(low)) if low is not None else x.agg(F.min("x")).scalar()
-    hi = F.lit(float(high)) if high is not None else x.agg(F.max("x")).scalar()
+    x = df.select(value.cast("double").alias("x"), (weight if weight is not None else F.lit(1)).alias("w"))
+    x = x.where("x is not null")
+    lo = low if low is not None else x.agg(F.min("x")).scalar()
+    hi = high if high is not None else x.agg(F.max("x")).scalar()
     flat = lo == hi
     # a single value sits in the middle of a range of width one
     start, stop = F.when(flat, lo - 0.5).otherwise(lo), F.when(flat, hi + 0.5).otherwise(hi)
-    binned = x.select("x", start.alias("a"), stop.alias("b")).where("x between a and b")
+    binned = x.select("x", "w", start.alias("a"), stop.alias("b")).where("x between a and b")
     place = F.least(F.floor((F.col("x") - F.col("a")) / ((F.col("b") - F.col("a")) / bins)), F.lit(bins - 1)) + 1
-    counts = binned.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = binned.groupBy(place.alias("bin")).agg(F.sum("w").alias("n"))
     width = (stop - start) / bins
     every = df.sparkSession.range(1, bins + 1).select(
         F.col("id").alias("bin"),
@@ -144,27 +151,44 @@ def histogram(df: DataFrame, value: Column, bins: int, low=None, high=None) -> D
 
 
 def length_histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
+    """Histogram of non-blank text lengths; the texts are measured once."""
     s = F.col(q(col)).cast("string")
-    return histogram(df, F.when(~tx.is_blank(s), F.length(s)), bins)
+    lengths = df.where(~tx.is_blank(s)).groupBy(F.length(s).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    return histogram(cut(lengths), F.col("length"), bins, weight=F.col("n"))
 
 
 def token_lengths(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.size(tx.tokens(F.coalesce(F.col(q(col)).cast("string"), F.lit("")))).alias("n_tokens"))
 
 
+def token_length_counts(df: DataFrame, col: str) -> DataFrame:
+    """``(n_tokens, n)``: rows per token count. Everything about lengths follows from this small
+    table, so the texts are read and split once.
+    """
+    return cut(token_lengths(df, col).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")))
+
+
 def token_length_report(df: DataFrame, col: str, limits: tuple[int, ...] = (512, 4096)) -> DataFrame:
     """Row count, max, min, mean and median token count, and how many rows exceed each limit."""
-    from .quantiles import exact_quantiles
-
-    lengths = token_lengths(df, col)
-    stats = lengths.agg(
-        F.count(F.lit(1)).alias("total_rows"),
+    counts = token_length_counts(df, col)
+    stats = counts.agg(
+        F.sum("n").alias("total_rows"),
         F.max("n_tokens").alias("max_tokens"),
         F.min("n_tokens").alias("min_tokens"),
-        F.avg("n_tokens").alias("mean_tokens"),
-        *[F.count_if(F.col("n_tokens") > n).alias(f"over_{n}") for n in limits],
+        (F.sum(F.col("n_tokens") * F.col("n")) / F.sum("n")).alias("mean_tokens"),
+        *[F.coalesce(F.sum(F.when(F.col("n_tokens") > x, F.col("n"))), F.lit(0)).alias(f"over_{x}") for x in limits],
     )
-    middle = exact_quantiles(lengths, ["n_tokens"], [0.5]).select("value").scalar()
+    running = distinct_running(counts, [], "n_tokens", "n")
+    half = (counts.agg(F.sum("n")).scalar() - 1) / 2.0
+    before = F.col("upto") - F.col("n")
+
+    def holds(rank: Column) -> Column:
+        return (before <= rank) & (rank < F.col("upto"))
+
+    placed = running.withColumn("half", half)
+    low = F.max(F.when(holds(F.floor("half")), F.col("n_tokens")))
+    high = F.max(F.when(holds(F.ceil("half")), F.col("n_tokens")))
+    middle = placed.agg(((low + high) / 2.0).alias("m")).scalar()
     return stats.withColumns(
         {
             "median_tokens": middle,
@@ -175,9 +199,9 @@ def token_length_report(df: DataFrame, col: str, limits: tuple[int, ...] = (512,
 
 def token_length_histogram(df: DataFrame, col: str, bins: int = 100, limit: int = 4096) -> DataFrame:
     """Token counts over a range that always includes the model limit."""
-    lengths = token_lengths(df, col)
-    top = lengths.agg((F.greatest(F.max("n_tokens"), F.lit(limit)) + 10).alias("top")).first()["top"]
-    return histogram(lengths, F.col("n_tokens"), bins, low=0, high=top)
+    counts = token_length_counts(df, col)
+    top = counts.agg((F.greatest(F.max("n_tokens"), F.lit(limit)) + 10).alias("top")).scalar()
+    return histogram(counts, F.col("n_tokens"), bins, F.lit(0.0), top.cast("double"), F.col("n"))
 
 
 def sample_rows(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:

@@ -92,7 +92,7 @@ def transactions(spark, sf) -> DataFrame:
 
 
 def _facts_tx(spark, sf) -> DataFrame:
-    return rules.transactions(facts(spark, sf), _KEY, _RULE_COLUMNS)
+    return rules.weighted_transactions(facts(spark, sf), _RULE_COLUMNS)
 
 
 @query(f"WITH {_itemsets(0.05)} SELECT array_to_string(items, ' & ') AS items, round(support, 6) AS support, n FROM itemsets")
@@ -133,7 +133,7 @@ SELECT count(*) AS total_rules, round(avg(confidence), 6) AS avg_confidence, rou
   count(*) FILTER (confidence > 0.8) AS high_confidence_rules, count(*) FILTER (lift > 2.0) AS high_lift_rules FROM rules
 """)
 def rule_summary(spark, sf) -> DataFrame:
-    mined = rules.mine_patterns(facts(spark, sf), _KEY, _RULE_COLUMNS, max_len=3)
+    mined = rules.mine_patterns(facts(spark, sf), _RULE_COLUMNS, max_len=3)
     return round_doubles(mined.summary)
 
 
@@ -144,7 +144,7 @@ FROM rules WHERE lift >= 1.0 ORDER BY confidence DESC, alist, clist LIMIT 20
 """)
 def top_rules(spark, sf) -> DataFrame:
     """The one-call mining with the configured lift floor."""
-    mined = rules.mine_patterns(facts(spark, sf), _KEY, _RULE_COLUMNS, max_len=3, min_lift=1.0)
+    mined = rules.mine_patterns(facts(spark, sf), _RULE_COLUMNS, max_len=3, min_lift=1.0)
     return _joined(mined.top).select("antecedent", "consequent", "support", "confidence", "lift")
 
 
