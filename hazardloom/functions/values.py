@@ -30,6 +30,15 @@ def safe_sqrt(c) -> Column:
     return F.when(x >= 0, F.sqrt(x))
 
 
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson correlation over the rows that hold both values; null when a side is constant.
+
+    The built-in aggregate divides by zero there, which is an error under ANSI rules.
+    """
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def feature_key(c) -> Column:
     """Lower-case key without ``cat__`` / ``num__`` prefixes, blanks, slashes and dots."""
     lowered = F.lower(as_column(c))

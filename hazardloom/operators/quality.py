@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import is_blank
+from ..functions.values import safe_corr
 from .quantiles import exact_quantiles, value_counts
 from .schema import missing_names, q, split_types
 
@@ -169,7 +170,7 @@ def correlations(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols if cols is not None else split_types(df)[0]
     pairs = [(a, a) for a in cols] + list(combinations(cols, 2))
     x = {c: F.col(q(c)).cast("double") for c in cols}
-    wide = df.agg(*[F.corr(x[a], x[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[safe_corr(x[a], x[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     cells = []
     for i, (a, b) in enumerate(pairs):
         for left, right in {(a, b), (b, a)}:
