@@ -46,7 +46,12 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
-        "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g"
+        "bench",
+        f"local[{cpus}]",
+        spark__sql__shuffle__partitions=cpus,
+        spark__driver__memory="16g",
+        # small files: let every row group be its own task
+        spark__sql__files__openCostInBytes="256k",
     )
     spark.sparkContext.setLogLevel("ERROR")
     known = catalog.queries()

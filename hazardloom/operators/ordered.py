@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ROWS_PER_BUCKET = 2_000_000
+ROWS_PER_BUCKET = 500_000
 MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 48
 _FAN = 64
@@ -76,9 +76,12 @@ class OrderedRows:
         self._split = bool(cuts)
         self._base = df.withColumn("__b", bucket_of(key, cuts, dtype))
         self._rows = self._base
-        group = Window.partitionBy(*self.by, "__b").orderBy(*self._order)
-        self._upto = group.rowsBetween(Window.unboundedPreceding, 0)
-        self._from = group.rowsBetween(0, Window.unboundedFollowing)
+        group = Window.partitionBy(*self.by, "__b")
+        start = Window.unboundedPreceding
+        self._upto = group.orderBy(*self._order).rowsBetween(start, 0)
+        # looking ahead reads the bucket backwards: a frame that ends at the last row would be
+        # evaluated anew for every row
+        self._back = group.orderBy(*[F.col(c).desc() for c in self._order]).rowsBetween(start, 0)
 
     def _carry(self, summary: Column, fold, later: bool) -> DataFrame:
         """One row for every bucket that continues a group; never more rows than buckets."""
@@ -140,7 +143,7 @@ class OrderedRows:
         oldest = F.min_by(x, F.when(x.isNotNull(), F.struct(*self._order)))
         return self._add(
             out,
-            F.first(x, ignorenulls=True).over(self._from),
+            F.last(x, ignorenulls=True).over(self._back),
             oldest,
             lambda s: F.last(s, ignorenulls=True),
             lambda here, carry: F.coalesce(here, carry),

@@ -22,23 +22,30 @@ class Patterns(NamedTuple):
     top: DataFrame
 
 
-def _items(df: DataFrame, cols: list[str], build) -> Column:
-    """Sorted array of the non-blank conditions of a row."""
+def _parts(df: DataFrame, cols: list[str], build) -> list[Column]:
+    """One condition per column, null where the value is null or empty."""
     types = {f.name: f.dataType for f in df.schema.fields}
     parts = []
     for c in cols:
         value = plain_text(F.col(q(c)), types[c])
         parts.append(F.when(value.isNotNull() & (value != ""), build(c, value)))
-    return F.array_sort(F.array_distinct(F.filter(F.array(*parts), lambda x: x.isNotNull())))
+    return parts
 
 
-def _named_items(df: DataFrame, cols: list[str]) -> Column:
-    return _items(df, cols, lambda c, v: F.concat(F.lit(c + "_"), v))
+def _items(parts: list[Column], dtype: str = "string") -> Column:
+    """Sorted distinct conditions without the nulls."""
+    return F.sort_array(F.array_except(F.array(*parts), F.array(F.lit(None).cast(dtype))))
+
+
+def _named(c: str, value: Column) -> Column:
+    return F.concat(F.lit(c + "_"), value)
 
 
 def transactions(df: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
     """``key`` and ``items`` (``col_value``); rows without any item are left out."""
-    return df.select(*[F.col(q(k)) for k in key], _named_items(df, cols).alias("items")).where(F.size("items") > 0)
+    parts = _parts(df, cols, _named)
+    some = df.where(F.coalesce(*parts).isNotNull())
+    return some.select(*[F.col(q(k)) for k in key], _items(parts).alias("items"))
 
 
 def weighted_transactions(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -48,7 +55,7 @@ def weighted_transactions(df: DataFrame, cols: list[str]) -> DataFrame:
     would be pushed below the merge and build the items of every single row.
     """
     counted = df.groupBy(*[F.col(q(c)) for c in cols]).agg(F.count(F.lit(1)).alias("w"))
-    return counted.select(_named_items(counted, cols).alias("items"), "w")
+    return counted.select(_items(_parts(counted, cols, _named)).alias("items"), "w")
 
 
 def _grow(
@@ -204,7 +211,8 @@ def risk_combinations(
     Rows are merged by condition values and class before any combination is formed.
     """
     by = list(by or [])
-    items = _items(df, cols, lambda c, v: F.struct(F.lit(c).alias("key"), v.alias("value")))
+    parts = _parts(df, cols, lambda c, v: F.struct(F.lit(c).alias("key"), v.alias("value")))
+    items = _items(parts, "struct<key:string,value:string>")
     merged = (
         df.where(F.col(q(target)).isNotNull())
         .groupBy(*by, F.col(q(target)).cast("string").alias("accident_type"), *[F.col(q(c)) for c in cols])

@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..functions.values import lenient_number
 from ..operators import temporal, text
 from ..operators.schema import drop_zero_variance
+from . import workflows
 from .registry import query, r6, round_doubles, table
 from .tables import EVENT_DATES, event_dates
 
@@ -347,3 +348,19 @@ SELECT doc_id, source FROM documents WHERE trim(text) <> '' ORDER BY md5(doc_id
 def sampled_texts(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents").where(~tx.is_blank("text"))
     return text.sample_rows(docs, "doc_id", 5, 42).select("doc_id", "source")
+
+
+@query(f"""
+WITH parts AS (SELECT [{_squeezed('lang')}, {_squeezed('source')}, {_squeezed('text')}] AS p FROM documents),
+merged AS (SELECT array_to_string(list_filter(list_transform(p, lambda x: lower(x)), lambda x: x <> ''), ' [SEP] ') AS t FROM parts)
+SELECT count(*) AS total_count, CAST(min(length(t)) AS INTEGER) AS min_length, CAST(max(length(t)) AS INTEGER) AS max_length, round(avg(length(t)), 6) AS mean_length FROM merged
+""")
+def text_workflow(spark, sf) -> DataFrame:
+    """Select, clean, merge and profile in one chain."""
+    named = table(spark, sf, "documents").withColumnsRenamed({"lang": "Accident  Type", "source": "weather condition"})
+    done = workflows.text_workflow(
+        named, ["Accident Type", "Weather Condition", "text", "Train Speed"], ["Accident  Type", "weather condition", "text"],
+        cleaner=tx.normalize_text,
+    )
+    assert done.missing == ["Train Speed"]
+    return round_doubles(done.quality.select("total_count", "min_length", "max_length", "mean_length"))

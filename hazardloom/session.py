@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -31,10 +30,16 @@ def build_session(app: str = "hazardloom", master: str | None = None, **conf) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where none is named, a local session (as in tests) gets a temporary one; on a cluster that
+    folder would be out of reach for the executors, so there it is an error.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         named = tempfile.mkdtemp(prefix="hazardloom-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -43,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ FORMATS = ("parquet", "csv", "json")
 
 # Columns of the saved class-A report.
 REPORT_COLUMNS = ["Class", "accident_type", "evidence", "uplift", "s2_2_importance", "CRI_Score", "matched_details"]
+LEARNED_REPORT_COLUMNS = ["accident_type", "evidence", "lift", "support_rate", "s2_2_importance", "CRI_Learned", "Class"]
 CONFIG_COLUMNS = ["state", "model_version", "w1", "w2"]
 REQUIRED_COLUMNS = ["CRI_Score", "accident_type", "evidence"]
 
@@ -41,7 +42,11 @@ def read_table(spark: SparkSession, path: str, schema=None, **options) -> DataFr
 
 
 def read_incidents(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """The incident csv: UTF-8, header, quoted narratives with line breaks."""
+    """The incident csv: UTF-8, header, quoted narratives with line breaks.
+
+    Quoted line breaks keep Spark from splitting a file, so one file is one task: deliver large
+    data as many files, and give a ``schema`` to save the pass that infers it.
+    """
     reader = (
         spark.read.option("header", True)
         .option("encoding", "UTF-8")
@@ -111,10 +116,13 @@ def load_importances(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).orderBy(F.desc("importance_score"), "feature_name")
 
 
-def save_class_a(df: DataFrame, root: str, mode: str = "append") -> None:
-    """Report rows below ``state=…/model_version=…/w1=…/w2=…``; evidence as canonical text."""
+def save_class_a(df: DataFrame, root: str, mode: str = "append", columns: list[str] | None = None) -> None:
+    """Report rows below ``state=…/model_version=…/w1=…/w2=…``; evidence as canonical text.
+
+    Listed columns that the table lacks are left out.
+    """
     config = [c for c in CONFIG_COLUMNS if c in df.columns]
-    shown = [c for c in REPORT_COLUMNS if c in df.columns]
+    shown = [c for c in columns or REPORT_COLUMNS if c in df.columns]
     if "evidence" in shown and isinstance(df.schema["evidence"].dataType, T.MapType):
         df = df.withColumn("evidence", evidence_text("evidence"))
     df.select(*shown, *config).write.mode(mode).partitionBy(*config).parquet(root)

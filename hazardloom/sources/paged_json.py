@@ -7,13 +7,12 @@ read in parallel, each partition an even stripe of them.
 
 from __future__ import annotations
 
-import glob
 import json
-import os
 import sys
 from dataclasses import dataclass
 from typing import Protocol
 
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -56,14 +55,24 @@ class FolderPages:
         if limit != self.page_size or offset % limit:
             raise ValueError("stored pages have a fixed size")
         value = where.split("=", 1)[1].strip().strip("'") if where else "all"
-        folder = os.path.join(self.root, f"filter={value}", f"page={offset // limit}")
+        system, root = _file_system(self.root)
+        folder = fs.FileSelector(f"{root}/filter={value}/page={offset // limit}", allow_not_found=True)
+        names = sorted(f.path for f in system.get_file_info(folder) if f.path.endswith(".json"))
         rows: list[dict] = []
-        for name in sorted(glob.glob(os.path.join(glob.escape(folder), "*.json"))):
-            with open(name, encoding="utf-8") as file:
-                rows.extend(json.loads(line) for line in file if line.strip())
+        for name in names:
+            with system.open_input_stream(name) as file:
+                rows.extend(json.loads(line) for line in file.read().decode("utf-8").splitlines() if line.strip())
         return rows
 
 
+def _file_system(root: str) -> tuple[fs.FileSystem, str]:
+    if root.startswith("file:"):
+        root = "/" + root.removeprefix("file:").lstrip("/")
+    if "://" in root:
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), root
+
+
 def page_count(provider: PageProvider, where: str | None, size: int) -> int:
     """Number of pages before the first empty one: double the reach, then halve the gap."""
 
