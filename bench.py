@@ -50,8 +50,6 @@ def main() -> None:
         f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="16g",
-        # small files: let every row group be its own task
-        spark__sql__files__openCostInBytes="256k",
     )
     spark.sparkContext.setLogLevel("ERROR")
     known = catalog.queries()

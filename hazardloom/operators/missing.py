@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import neighbours
 from .ordered import OrderedRows
-from .quality import null_ratio_map, null_ratios
-from .quantiles import medians, modes
+from .quality import null_ratios
+from .quantiles import medians, modes, rank_statistics
 from .schema import q, split_types
 
 # Name patterns of special column families.
@@ -40,14 +40,21 @@ def impute_policy(
 ) -> tuple[DataFrame, DataFrame]:
     """Drop, median or placeholder by null ratio, plus ``(column, null_ratio, action, fill)``.
 
-    One pass finds the ratios, one finds the exact medians; the fill itself is row-wise.
+    One pass finds the ratios and brackets the medians, one finds the exact medians; the fill
+    itself is row-wise.
     """
-    ratios = null_ratio_map(df)
+    every = split_types(df)[0]
+    stats = df.agg(
+        *[F.avg(F.col(q(c)).isNull().cast("double")).alias(f"r{i}") for i, c in enumerate(df.columns)],
+        *rank_statistics(df, every, [0.5]),
+    ).first()
+    ratios = {c: stats[f"r{i}"] or 0.0 for i, c in enumerate(df.columns)}
     dropped = [c for c in df.columns if ratios[c] > high]
     numbers, texts = split_types(df.drop(*dropped))
     to_median = [c for c in numbers if 0 < ratios[c] <= numeric]
     to_text = [c for c in texts if 0 < ratios[c] <= text]
-    middle = medians(df, to_median)
+    picked = {f"__{x}{j}": stats[f"__{x}{every.index(c)}"] for j, c in enumerate(to_median) for x in "nq"}
+    middle = medians(df, to_median, picked)
     filled = df.drop(*dropped).withColumns(
         {
             **{c: _number_or(c, middle[c]) for c in to_median},

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import is_blank
 from ..functions.values import safe_corr
-from .quantiles import exact_quantiles, value_counts
+from .quantiles import exact_quantiles, rank_statistics, value_counts
 from .schema import missing_names, q, split_types
 
 
@@ -53,11 +53,6 @@ def null_ratios(df: DataFrame) -> DataFrame:
     return _long(wide, df.columns, "column", "null_ratio")
 
 
-def null_ratio_map(df: DataFrame) -> dict[str, float]:
-    """The same ratios on the driver: one number per column."""
-    return {r["column"]: r["null_ratio"] or 0.0 for r in null_ratios(df).collect()}
-
-
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row ``duplicate_rows``: rows beyond the first of each group of equal rows."""
     copies = df.groupBy(*[F.col(q(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
@@ -119,30 +114,30 @@ def is_valid(findings: DataFrame) -> bool:
 
 
 def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Describe per numeric column: count, mean, std, min, exact quartiles, max."""
+    """Describe per numeric column: count, mean, std, min, exact quartiles, max; two passes."""
     cols = cols if cols is not None else split_types(df)[0]
-    wide = df.agg(
+    quarters = [0.25, 0.5, 0.75]
+    basic = ("count", "mean", "std", "min", "max")
+    stats = df.agg(
         *[
             F.struct(
-                F.count(c).alias("count"),
-                F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("std"),
-                F.min(c).alias("min"),
-                F.max(c).alias("max"),
-            ).cast("struct<count:bigint,mean:double,std:double,min:double,max:double>").alias(f"c{i}")
+                F.count(F.col(q(c))).alias("count"),
+                F.avg(F.col(q(c))).alias("mean"),
+                F.stddev_samp(F.col(q(c))).alias("std"),
+                F.min(F.col(q(c))).cast("double").alias("min"),
+                F.max(F.col(q(c))).cast("double").alias("max"),
+            ).alias(f"c{i}")
             for i, c in enumerate(cols)
-        ]
-    )
-    basic = _long(wide, cols, "column", "s").select("column", "s.*")
-    quartiles = (
-        exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-        .groupBy("column")
-        .agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
-               for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-    )
-    return basic.join(quartiles, "column", "left").select(
-        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
-    )
+        ],
+        *rank_statistics(df, cols, quarters),
+    ).first()
+    placed = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, cols, quarters, stats=stats).collect()}
+    rows = [
+        (c, *[stats[f"c{i}"][b] for b in basic[:4]], *[placed.get((c, p)) for p in quarters], stats[f"c{i}"]["max"])
+        for i, c in enumerate(cols)
+    ]
+    schema = "column string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def categorical_summary(df: DataFrame, cols: list[str] | None = None, top: int = 5) -> DataFrame:

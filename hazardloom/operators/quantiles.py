@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import floor, isinf
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import distinct_running
@@ -40,100 +42,98 @@ def counts_per_column(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return out
 
 
-def _limits(stats, cols: list[str], probs: list[float], counts: dict[str, int]) -> dict:
-    return {
-        (c, p): (stats[f"q{i}"][2 * j], stats[f"q{i}"][2 * j + 1])
-        for i, c in enumerate(cols)
-        if counts[c]
-        for j, p in enumerate(probs)
-    }
-
-
-def _proven(df: DataFrame, limits: dict, counts: dict[str, int]) -> dict | None:
-    """Rows below each range, or None if a range misses one of its two target ranks."""
-    checks = []
-    for i, ((c, _), (low, high)) in enumerate(limits.items()):
-        checks += [F.count_if(F.col(q(c)) < low).alias(f"b{i}"), F.count_if(F.col(q(c)) <= high).alias(f"u{i}")]
-    seen = df.agg(*checks).first()
-    below = {}
-    for i, (c, p) in enumerate(limits):
-        place = (counts[c] - 1) * p
-        if seen[f"b{i}"] > int(place) or seen[f"u{i}"] < min(counts[c], int(place) + 2):
-            return None
-        below[(c, p)] = seen[f"b{i}"]
-    return below
-
+def _numbers(df: DataFrame, cols: list[str]) -> dict[str, Column]:
+    """The columns as doubles, NaN as null."""
+    out = {}
+    for c in cols:
+        x = F.col(q(c)).cast("double")
+        out[c] = F.when(~F.isnan(x), x)
+    return out
 
-def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], bracket_from: int | None = None, rows_per_bucket=None
-) -> DataFrame:
-    """``(column, prob, value)`` with linear interpolation between neighbours, nulls ignored.
 
-    Values are counted before they are ordered, so repeated values cost nothing. On larger inputs
-    approximate percentiles give a range around each target rank, exact counts below and inside
-    prove that the rank lies in it, and only the values of that range are ordered. If a range
-    misses, all values are ordered.
-    """
-    spark = df.sparkSession
-    threshold = BRACKET_FROM_ROWS if bracket_from is None else bracket_from
-    numbers = df.select(*[F.col(q(c)).cast("double").alias(c) for c in cols])
-    numbers = numbers.select(*[F.when(~F.isnan(F.col(q(c))), F.col(q(c))).alias(c) for c in cols])
+def rank_statistics(df: DataFrame, cols: list[str], probs: list[float]) -> list[Column]:
+    """Aggregates that :func:`exact_quantiles` needs first; add them to a pass that runs anyway."""
     slack = 4.0 / ACCURACY
     asked = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
-    stats = numbers.agg(
-        *[F.count(F.col(q(c))).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.percentile_approx(F.col(q(c)), asked, ACCURACY).alias(f"q{i}") for i, c in enumerate(cols)],
-    ).first()
-    counts = {c: stats[f"n{i}"] for i, c in enumerate(cols)}
-    below = None
-    if max(counts.values(), default=0) >= threshold:
-        limits = _limits(stats, cols, probs, counts)
-        below = _proven(numbers, limits, counts)
-
-    targets, series = [], {}
-    for i, c in enumerate(cols):
-        for j, p in enumerate(probs):
-            if not counts[c]:
-                continue
-            name = f"{i}" if below is None else f"{i}/{j}"
-            x = F.col(q(c))
-            if below is not None:
-                low, high = limits[(c, p)]
-                x = F.when((x >= low) & (x <= high), x)
-            series[name] = x
-            before = 0 if below is None else below[(c, p)]
-            targets.append((name, c, float(p), float((counts[c] - 1) * p), int(before)))
-    wanted = spark.createDataFrame(
-        targets, "series string, column string, prob double, place double, below long"
-    )
-    if not targets:
-        return wanted.select("column", "prob", F.col("place").alias("value"))
-    running = distinct_running(counts_per_column(numbers, series), ["series"], "value", "n", rows_per_bucket)
+    numbers = _numbers(df, cols)
+    return [
+        aggregate
+        for i, c in enumerate(cols)
+        for aggregate in (
+            F.count(numbers[c]).alias(f"__n{i}"),
+            F.percentile_approx(numbers[c], asked, ACCURACY).alias(f"__q{i}"),
+        )
+    ]
+
+
+def _placed(df: DataFrame, series: dict[str, Column], wanted: list[tuple], rows_per_bucket: int | None) -> list:
+    """The values on both sides of every wanted rank: ``(name, prob, place, lo, hi)``."""
+    running = distinct_running(counts_per_column(df, series), ["series"], "value", "n", rows_per_bucket)
+    ranks = df.sparkSession.createDataFrame(wanted, "series string, prob double, place double")
     # the list of wanted ranks has columns x probs rows
-    placed = running.join(F.broadcast(wanted), "series")
-    after, before = F.col("below") + F.col("upto"), F.col("below") + F.col("upto") - F.col("n")
+    joined = running.join(F.broadcast(ranks), "series")
+    before = F.col("upto") - F.col("n")
 
     def holds(rank: Column) -> Column:
-        return (before <= rank) & (rank < after)
+        return (before <= rank) & (rank < F.col("upto"))
 
-    low_rank, high_rank = F.floor("place"), F.ceil("place")
-    share = F.col("place") - F.floor("place")
+    low, high = F.floor("place"), F.ceil("place")
     return (
-        placed.where(holds(low_rank) | holds(high_rank))
-        .groupBy("column", "prob", "place")
+        joined.where(holds(low) | holds(high))
+        .groupBy("series", "prob", "place")
         .agg(
-            F.max(F.when(holds(low_rank), F.col("value"))).alias("lo"),
-            F.max(F.when(holds(high_rank), F.col("value"))).alias("hi"),
+            F.max(F.when(holds(low), F.col("value"))).alias("lo"),
+            F.max(F.when(holds(high), F.col("value"))).alias("hi"),
         )
-        .select("column", "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("value"))
+        .collect()
     )
 
 
-def medians(df: DataFrame, cols: list[str]) -> dict[str, float]:
+def exact_quantiles(
+    df: DataFrame, cols: list[str], probs: list[float], bracket_from: int | None = None, rows_per_bucket=None, stats=None
+) -> DataFrame:
+    """``(column, prob, value)`` with linear interpolation between neighbours, nulls ignored.
+
+    Values are counted before they are ordered, so repeated values cost nothing. On larger inputs
+    approximate percentiles give a range around each target rank; all smaller values count as
+    minus infinity and all larger ones as infinity, so only the values of the range are shuffled
+    and ordered. A rank that then falls on an infinity was outside its range, and all values are
+    ordered instead. The result has one row per column and probability.
+    """
+    threshold = BRACKET_FROM_ROWS if bracket_from is None else bracket_from
+    if stats is None:
+        stats = df.agg(*rank_statistics(df, cols, probs)).first()
+    counts = {c: stats[f"__n{i}"] for i, c in enumerate(cols)}
+    numbers = {c: x for c, x in _numbers(df, cols).items() if counts[c]}
+    found = None
+    if max(counts.values(), default=0) >= threshold:
+        series, wanted = {}, []
+        for i, c in enumerate(cols):
+            for j, p in enumerate(probs):
+                if counts[c]:
+                    x, low, high = numbers[c], stats[f"__q{i}"][2 * j], stats[f"__q{i}"][2 * j + 1]
+                    name = f"{p!r}/{c}"
+                    series[name] = F.when(x < low, float("-inf")).when(x > high, float("inf")).otherwise(x)
+                    wanted.append((name, float(p), float((counts[c] - 1) * p)))
+        found = _placed(df, series, wanted, rows_per_bucket)
+        if any(isinf(r["lo"]) or isinf(r["hi"]) for r in found):
+            found = None
+        else:
+            found = [(r["series"].split("/", 1)[1], r["prob"], r["place"], r["lo"], r["hi"]) for r in found]
+    if found is None and numbers:
+        wanted = [(c, float(p), float((counts[c] - 1) * p)) for c in numbers for p in probs]
+        found = [tuple(r) for r in _placed(df, numbers, wanted, rows_per_bucket)]
+    rows = [
+        (c, p, lo if lo == hi else lo + (hi - lo) * (place - floor(place))) for c, p, place, lo, hi in found or []
+    ]
+    return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")
+
+
+def medians(df: DataFrame, cols: list[str], stats=None) -> dict[str, float]:
     """Exact medians as a small driver-side map (one entry per column)."""
     if not cols:
         return {}
-    return {r["column"]: r["value"] for r in exact_quantiles(df, cols, [0.5]).collect()}
+    return {r["column"]: r["value"] for r in exact_quantiles(df, cols, [0.5], stats=stats).collect()}
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:

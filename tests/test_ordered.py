@@ -136,13 +136,19 @@ def test_quantiles_without_values(spark):
     assert quantiles.exact_quantiles(df, ["x"], [0.5]).collect() == []
 
 
-def test_quantiles_fall_back_when_a_range_misses(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "_limits", lambda stats, cols, probs, counts: {(c, p): (50.0, 51.0) for c in cols for p in probs})
+def test_quantiles_fall_back_when_a_range_misses(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
-    got = quantiles.exact_quantiles(df, ["x"], [0.5], bracket_from=1).first()["value"]
+    stats = {"__n0": 1000, "__q0": [50.0, 51.0]}
+    got = quantiles.exact_quantiles(df, ["x"], [0.5], bracket_from=1, stats=stats).first()["value"]
     assert got == 499.5
 
 
+def test_quantiles_of_infinite_values(spark):
+    df = spark.createDataFrame([(float("inf"),)] * 3 + [(1.0,), (float("-inf"),), (float("nan"),)], "x double")
+    for start in (1, 10**9):
+        assert quantiles.exact_quantiles(df, ["x"], [0.5], bracket_from=start).first()["value"] == float("inf")
+
+
 def test_modes_prefer_the_smallest_on_ties(spark):
     df = spark.createDataFrame([("b", "x"), ("a", "y"), ("b", None), ("a", "y"), (None, None)], "p string, q string")
     got = {r["column"]: (r["value"], r["n"]) for r in quantiles.modes(df, ["p", "q"]).collect()}
