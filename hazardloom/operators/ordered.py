@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut
+
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 48
@@ -161,7 +163,7 @@ def distinct_running(df: DataFrame, by: list[str], value: str, weight: str, rows
 
 def average_rank(df: DataFrame, by: list[str], value: str, out: str, rows_per_bucket=None) -> DataFrame:
     """Ascending rank with ties sharing their mean rank; rows are counted per value first."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = cut(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
     ranked = distinct_running(counts, by, value, "__n", rows_per_bucket).select(
         *by, value, (F.col("upto") - F.col("__n") + (F.col("__n") + 1) / F.lit(2.0)).alias(out)
     )
@@ -170,6 +172,6 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str, rows_per_bu
 
 def competition_rank(df: DataFrame, by: list[str], value: str, out: str, rows_per_bucket=None) -> DataFrame:
     """Rank by descending ``value``; equal values share the smallest rank."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = cut(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
     ranked = OrderedRows(counts, by, [-F.col(value)], rows_per_bucket).running_sum("__n", "upto").result()
     return df.join(ranked.select(*by, value, (F.col("upto") - F.col("__n") + 1).alias(out)), [*by, value])

@@ -6,6 +6,7 @@ from math import floor, isinf
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut
 from .ordered import distinct_running
 from .schema import q
 
@@ -68,7 +69,8 @@ def rank_statistics(df: DataFrame, cols: list[str], probs: list[float]) -> list[
 
 def _placed(df: DataFrame, series: dict[str, Column], wanted: list[tuple], rows_per_bucket: int | None) -> list:
     """The values on both sides of every wanted rank: ``(name, prob, place, lo, hi)``."""
-    running = distinct_running(counts_per_column(df, series), ["series"], "value", "n", rows_per_bucket)
+    counted = cut(counts_per_column(df, series))
+    running = distinct_running(counted, ["series"], "value", "n", rows_per_bucket)
     ranks = df.sparkSession.createDataFrame(wanted, "series string, prob double, place double")
     # the list of wanted ranks has columns x probs rows
     joined = running.join(F.broadcast(ranks), "series")
