@@ -189,11 +189,8 @@ def stratified_split(
     marked = df.withColumn("__mark", _mark(key, seed))
     order = ["__mark", *[F.col(q(k)) for k in key]]
     placed = OrderedRows(marked, [label], order, rows_per_bucket, total).row_number("__rn").result()
-    return (
-        placed.join(sizes, F.col(q(label)).eqNullSafe(F.col("__l")))
-        .withColumn("is_test", F.col("__rn") <= F.col("__take"))
-        .drop("__mark", "__rn", "__l", "__take")
-    )
+    matched = placed.join(sizes, F.col(q(label)).eqNullSafe(F.col("__l")))
+    return matched.withColumn("is_test", F.col("__rn") <= F.col("__take")).drop("__mark", "__rn", "__l", "__take")
 
 
 def split(

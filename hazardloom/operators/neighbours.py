@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
 from .schema import q
+from .sizing import match, measured
 
 MAX_CELLS = 4096
+DONORS_PER_CELL = 500
 
 
 def _vector(features: list[str]) -> Column:
@@ -73,11 +75,12 @@ def _bounds(low: Column, high: Column, donor: Column, size: int, total: int) ->
     return F.when(some > 0, _sum(near) * scale), F.when(some > 0, _sum(far) * scale)
 
 
-def knn_impute(df: DataFrame, key: str, col: str, features: list[str], k: int, out: str, cells: int = 256) -> DataFrame:
+def knn_impute(df: DataFrame, key: str, col: str, features: list[str], k: int, out: str, cells: int | None = None) -> DataFrame:
     """Add ``out``: the value of ``col``, or the mean over its ``k`` nearest holders (ties by key).
 
     Rows with the same features share one search. Of donors with the same features only the
-    ``k`` smallest keys are kept, because no other one can be among the ``k`` nearest.
+    ``k`` smallest keys are kept, because no other one can be among the ``k`` nearest. The number
+    of cells follows the donors unless it is given.
     """
     size, total = len(features), len(features) + 1
     rows = df.withColumn("__vec", _vector(features))
@@ -87,10 +90,11 @@ def knn_impute(df: DataFrame, key: str, col: str, features: list[str], k: int, o
     )
     per_vector = Window.partitionBy("vec").orderBy("key")
     donors = all_donors.withColumn("__r", F.row_number().over(per_vector)).where(F.col("__r") <= k).drop("__r")
+    donors = cut(donors)
     queries = rows.where(~holds).select(F.col("__vec").alias("vec")).distinct()
 
     # about the same number of bins for every coordinate, together at most MAX_CELLS cells
-    wanted = min(cells, MAX_CELLS)
+    wanted = min(cells or max(16, donors.count() // DONORS_PER_CELL), MAX_CELLS)
     bins = max(2, int(round(wanted ** (1.0 / size))))
     binned = min(size, next(m for m in range(size, 0, -1) if m == 1 or (bins + 1) ** m <= MAX_CELLS * 2))
     asked = [i / bins for i in range(1, bins)]
@@ -98,19 +102,19 @@ def knn_impute(df: DataFrame, key: str, col: str, features: list[str], k: int, o
         *[F.percentile_approx(F.get("vec", F.lit(i)), asked, 2000).alias(f"e{i}") for i in range(binned)]
     ).first()
     splits = [sorted(set(edges[f"e{i}"] or [])) for i in range(binned)] + [[] for _ in range(size - binned)]
-    donors = cut(donors.withColumn("cell", _cell(F.col("vec"), splits)))
+    donors = donors.withColumn("cell", _cell(F.col("vec"), splits))
     queries = cut(queries.withColumn("cell", _cell(F.col("vec"), splits)))
 
     # at most one entry per donor cell, so this list is bounded by the grid
     grid = _boxes(donors.withColumn("n", F.lit(1)), size).agg(F.collect_list(F.struct("cell", "n", "low", "high")).alias("g"))
     query_cells = _boxes(queries.withColumn("n", F.lit(1)), size)
 
-    def measured(d: Column) -> Column:
+    def bounded(d: Column) -> Column:
         near, far = _bounds(F.col("low"), F.col("high"), d, size, total)
         return F.struct(far.alias("far"), near.alias("near"), d["n"].alias("n"), d["cell"].alias("cell"))
 
     boxes = query_cells.withColumn("g", grid.scalar()).select(
-        "cell", F.array_sort(F.filter(F.transform("g", measured), lambda d: d["far"].isNotNull())).alias("g")
+        "cell", F.array_sort(F.filter(F.transform("g", bounded), lambda d: d["far"].isNotNull())).alias("g")
     )
     # the far bound at which k donors are certain; none if there are fewer than k
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(float("inf")).alias("radius"))
@@ -144,7 +148,7 @@ def knn_impute(df: DataFrame, key: str, col: str, features: list[str], k: int, o
         .agg(F.avg("value").alias("__mean"))
     )
     overall = all_donors.agg(F.avg("value")).scalar()
-    missing = rows.where(~holds).join(found, "__vec", "left").withColumn(out, F.coalesce("__mean", overall))
+    missing = match(rows.where(~holds), measured(found), ["__vec"], "left").withColumn(out, F.coalesce("__mean", overall))
     known = rows.where(holds).withColumn(out, F.col(q(col)).cast("double"))
     columns = [F.col(q(c)) for c in df.columns] + [F.col(out)]
     return known.select(*columns).unionByName(missing.select(*columns))

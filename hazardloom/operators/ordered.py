@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
+from .sizing import match, measured
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096
@@ -167,11 +168,13 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str, rows_per_bu
     ranked = distinct_running(counts, by, value, "__n", rows_per_bucket).select(
         *by, value, (F.col("upto") - F.col("__n") + (F.col("__n") + 1) / F.lit(2.0)).alias(out)
     )
-    return df.join(ranked, [*by, value])
+    return match(df, measured(ranked), [*by, value])
 
 
 def competition_rank(df: DataFrame, by: list[str], value: str, out: str, rows_per_bucket=None) -> DataFrame:
-    """Rank by descending ``value``; equal values share the smallest rank."""
+    """Rank by descending ``value``, nulls last; equal values share the smallest rank."""
     counts = cut(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
-    ranked = OrderedRows(counts, by, [-F.col(value)], rows_per_bucket).running_sum("__n", "upto").result()
-    return df.join(ranked.select(*by, value, (F.col("upto") - F.col("__n") + 1).alias(out)), [*by, value])
+    order = [F.col(value).isNull(), -F.col(value)]
+    ranked = OrderedRows(counts, by, order, rows_per_bucket).running_sum("__n", "upto").result()
+    ranked = ranked.select(*by, value, (F.col("upto") - F.col("__n") + 1).alias(out))
+    return match(df, measured(ranked), [*by, value])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
 from .ordered import OrderedRows
-from .sizing import small
+from .sizing import match, small
 
 A_LIMIT, B_LIMIT = 0.80, 0.90
 
@@ -31,7 +31,7 @@ def running_share(
     ordered = OrderedRows(df, by, [-F.col(score), F.col(key)], rows_per_bucket, rows)
     running = ordered.running_sum(score, "cumulative_score").result()
     if by:
-        running = running.join(small(totals), by)
+        running = match(running, small(totals), by)
     else:
         running = running.withColumn("__total", totals.scalar())
     return running.withColumn("cumulative_percentage", F.try_divide("cumulative_score", "__total")).drop("__total")
@@ -58,7 +58,7 @@ def class_counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = list(by or [])
     counts = df.groupBy(*by, "Class").agg(F.count(F.lit(1)).alias("n"))
     if by:
-        out = counts.join(counts.groupBy(*by).agg(F.sum("n").alias("__all")), by)
+        out = match(counts, counts.groupBy(*by).agg(F.sum("n").alias("__all")), by)
     else:
         out = counts.withColumn("__all", counts.agg(F.sum("n")).scalar())
     return out.withColumn("share", F.col("n") / F.col("__all")).drop("__all")

@@ -10,7 +10,7 @@ from ..functions.evidence import scenario_id
 from ..functions.values import plain_text
 from ..session import cut
 from .schema import q
-from .sizing import BROADCAST_ROWS
+from .sizing import BROADCAST_ROWS, match
 
 MAX_RULE_ITEMS = 12
 
@@ -76,9 +76,9 @@ def _grow(
     while max_len is None or len(levels) < max_len:
         counts = grown.groupBy(*by, "itemset", *extra).agg(F.sum("w").alias("n"))
         sums = counts.groupBy(*by, "itemset").agg(F.sum("n").alias("n_items")) if extra else counts.withColumnRenamed("n", "n_items")
-        sized = sums.join(totals, by) if by else sums.withColumn("n_all", totals.select("n_all").scalar())
+        sized = match(sums, totals, by) if by else sums.withColumn("n_all", totals.select("n_all").scalar())
         frequent = sized.where(F.col("n_items") / F.col("n_all") >= min_support)
-        level = cut(counts.join(frequent, [*by, "itemset"]) if extra else frequent.withColumn("n", F.col("n_items")))
+        level = cut(match(counts, frequent, [*by, "itemset"]) if extra else frequent.withColumn("n", F.col("n_items")))
         rows = level.count()
         if rows == 0:
             break
@@ -86,8 +86,7 @@ def _grow(
         known = level.select(*by, "itemset").distinct()
         known = F.broadcast(known) if rows <= BROADCAST_ROWS else known
         grown = (
-            grown.where(F.size("rest") > 0)
-            .join(known, [*by, "itemset"], "left_semi")
+            match(grown.where(F.size("rest") > 0), known, [*by, "itemset"], "left_semi")
             .select(*by, *extra, "w", "itemset", F.posexplode("rest").alias("p", "item"), F.col("rest").alias("items"))
             .select(*by, *extra, "w", F.concat("itemset", F.array("item")).alias("itemset"), after.alias("rest"))
         )
@@ -230,7 +229,7 @@ def risk_combinations(
     prob = F.col("n") / F.col("n_items")
     base = F.col("n_class") / F.col("n_all")
     return (
-        sets.join(classes, [*by, "accident_type"])
+        match(sets, classes, [*by, "accident_type"])
         .select(
             *by,
             "accident_type",

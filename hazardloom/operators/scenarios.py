@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.evidence import matched_part, sorted_entries
 from ..functions.values import alnum_key, condition_key, feature_key
 from .schema import q
-from .sizing import measured, small
+from .sizing import match, measured, small
 
 # The weight pairs (rules, model) of the sensitivity sweep and its baseline.
 WEIGHTS = [(0.1, 0.9), (0.3, 0.7), (0.5, 0.5), (0.7, 0.3), (0.9, 0.1)]
@@ -113,7 +113,7 @@ def scenario_importance(
     """
     keys = [*(by or []), "scenario_id"]
     scored = matched_details(lookup_two_tier(conditions(scenarios, by), imp, order), by)
-    return scenarios.join(scored, keys, "left").na.fill({"s2_2_importance": 0.0, "matched_details": ""})
+    return match(scenarios, scored, keys, "left").na.fill({"s2_2_importance": 0.0, "matched_details": ""})
 
 
 def min_max(df: DataFrame, col: str, out: str, by: list[str] | None = None) -> DataFrame:
@@ -130,7 +130,7 @@ def min_max(df: DataFrame, col: str, out: str, by: list[str] | None = None) -> D
         rng = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("r")).scalar()
         return df.withColumn("__r", rng).withColumn(out, scaled(F.col("__r.lo"), F.col("__r.hi"))).drop("__r")
     ranges = measured(df.groupBy(*by).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi")))
-    return df.join(ranges, by).withColumn(out, scaled(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+    return match(df, ranges, by).withColumn(out, scaled(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
 
 
 def normalized_scores(df: DataFrame, by: list[str] | None = None) -> DataFrame:

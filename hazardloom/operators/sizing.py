@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
@@ -24,3 +26,13 @@ def measured(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     crossed the network before the small one is known to fit.
     """
     return small(cut(df), rows)
+
+
+def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null, so a missing group is a group like any other."""
+    if not keys:
+        raise ValueError("a join needs keys")
+    names = [f"__m{i}" for i in range(len(keys))]
+    renamed = right.withColumnsRenamed(dict(zip(keys, names)))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    return left.join(renamed, on, how).drop(*names)

@@ -160,3 +160,14 @@ def test_value_counts_beyond_one_batch_of_columns(spark):
     counts = quantiles.value_counts(wide, wide.columns).groupBy("column").agg(F.sum("n").alias("n"), F.count("value").alias("d"))
     for r in counts.collect():
         assert r["n"] == 10 and r["d"] == int(r["column"][1:]) % 3 + 1
+
+
+def test_rows_without_a_group_are_kept(spark):
+    from hazardloom.operators import pareto, scenarios
+
+    rows = spark.createDataFrame([(None, "a", 1.0), (None, "b", 3.0), ("x", "c", None)], "g string, scenario_id string, s double")
+    assert scenarios.min_max(rows, "s", "n", ["g"]).count() == 3
+    got = {r["scenario_id"]: r["r"] for r in ordered.competition_rank(rows, ["g"], "s", "r").collect()}
+    assert got == {"a": 2, "b": 1, "c": 1}
+    shares = {r["scenario_id"]: r["cumulative_percentage"] for r in pareto.running_share(rows, "s", ["g"]).collect()}
+    assert shares == {"a": 1.0, "b": 0.75, "c": None}

@@ -114,7 +114,7 @@ def brute_knn(rows, size, k):
     return out
 
 
-@pytest.mark.parametrize("cells", [1, 8, 64, 512])
+@pytest.mark.parametrize("cells", [None, 1, 8, 64, 512])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_nearest_neighbours_against_all_pairs(spark, cells, seed):
     rng = random.Random(seed)
