@@ -118,13 +118,26 @@ def advice(spark) -> DataFrame:
 
 
 def impute_median_mode(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """Exact median for numbers, most frequent value (smallest on ties) for categories."""
-    middle = medians(df, numeric)
-    common = {r["column"]: r["value"] for r in modes(df, categorical).collect()} if categorical else {}
+    """Exact median for numbers, most frequent value (smallest on ties) for categories.
+
+    One pass finds the columns with gaps and brackets their medians; complete columns cost no more.
+    """
+    asked = [*numeric, *categorical]
+    if not asked:
+        return df
+    stats = df.agg(
+        *[F.max(F.col(q(c)).isNull()).alias(f"g{i}") for i, c in enumerate(asked)],
+        *rank_statistics(df, numeric, [0.5]),
+    ).first()
+    gaps = {c for i, c in enumerate(asked) if stats[f"g{i}"]}
+    numbers, texts = [c for c in numeric if c in gaps], [c for c in categorical if c in gaps]
+    picked = {f"__{x}{j}": stats[f"__{x}{numeric.index(c)}"] for j, c in enumerate(numbers) for x in "nq"}
+    middle = medians(df, numbers, picked)
+    common = {r["column"]: r["value"] for r in modes(df, texts).collect()} if texts else {}
     return df.withColumns(
         {
-            **{c: _number_or(c, middle[c]) for c in numeric if c in middle},
-            **{c: F.coalesce(F.col(q(c)), F.lit(common[c])) for c in categorical if c in common},
+            **{c: _number_or(c, middle[c]) if c in middle else F.col(q(c)).cast("double") for c in numeric},
+            **{c: F.coalesce(F.col(q(c)), F.lit(common[c])) for c in texts if c in common},
         }
     )
 

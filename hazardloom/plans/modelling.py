@@ -125,13 +125,18 @@ def validation_split(spark, sf) -> DataFrame:
     return features.split(orders, ["o_orderkey"], 0.2, 42)
 
 
+_NAMES: dict[str, list[str]] = {}
+
+
 def _split_set(spark, sf) -> tuple[DataFrame, list[str]]:
-    vectors, names = _prepared(spark, sf)
-    marked = _saved(
-        "training", spark, sf,
-        lambda: features.stratified_split(vectors, "severity", _KEY_PARTS).select("features", "label", "severity", "is_test"),
-    )
-    return marked, names
+    """Prepared, split rows and the names of their feature slots."""
+
+    def build() -> DataFrame:
+        vectors, _NAMES[sf] = _prepared(spark, sf)
+        marked = features.stratified_split(vectors, "severity", _KEY_PARTS)
+        return marked.select("features", "label", "severity", "is_test")
+
+    return _saved("training", spark, sf, build), _NAMES[sf]
 
 
 @query()
