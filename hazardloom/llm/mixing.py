@@ -18,7 +18,6 @@ result; extra columns are ignored by ``plan`` and kept by ``mix``.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -93,6 +92,14 @@ def _round_group(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
     return pdf
 
 
+def _next_round(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _round_group(pdf, False)
+
+
+def _last_round(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _round_group(pdf, True)
+
+
 def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / float(1 << 53)
 
@@ -131,7 +138,7 @@ def plan(
     # every level leaves one fraction per group; 'extra' is null where it is still open
     schema = f"{_ddl(rows)}, extra long"
     level0 = stored(
-        rows.groupBy("source", "block").applyInPandas(lambda pdf: _round_group(pdf, False), schema), "mix-level"
+        rows.groupBy("source", "block").applyInPandas(_next_round, schema), "mix-level"
     )
     open_rows = level0.where("extra is null").select("source", "block", "p", "size", "draw", "tie", F.col("block").alias("group"))
     levels = max(1, math.ceil(math.log(max(math.ceil(most / block_rows), 2), FAN)))
@@ -143,9 +150,7 @@ def plan(
         )
         up = up.drop("extra")
         done = stored(
-            up.groupBy("source", "group").applyInPandas(
-                lambda pdf, last=last: _round_group(pdf, last), f"{_ddl(up)}, extra long"
-            ),
+            up.groupBy("source", "group").applyInPandas(_last_round if last else _next_round, f"{_ddl(up)}, extra long"),
             "mix-level",
         )
         part = done.where("extra is not null").select("source", "block", "extra")
@@ -168,26 +173,25 @@ def _ddl(df: DataFrame) -> str:
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """``docs`` with every row as often as the plan takes it, columns unchanged.
 
-    Rows equal in key, source and text share their planned copies evenly.
+    Rows equal in key, source and text stand in one of them for the copies of all.
     """
     planned = plan(docs, key, text, source, **settings)
     planned = stored(
         planned.groupBy(F.col(f"`{key}`").alias("i"), F.col(f"`{source}`").alias("s"), "tie").agg(
-            F.sort_array(F.collect_list("copies"), asc=False).alias("copies")
+            F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies")
         ),
         "mix-plan",
     )
-    single = planned.where(F.size("copies") == 1).select("i", "s", "tie", F.col("copies")[0].alias("copies"))
-    many = planned.where(F.size("copies") > 1).select("i", "s", "tie", F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x).alias("copies"))
+    single, many = planned.where("rows = 1"), planned.where("rows > 1")
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     rows = docs.select(packed, F.col(f"`{key}`").alias("__i"), F.col(f"`{source}`").alias("__s"), text_key(F.col(f"`{text}`")).alias("__k"))
 
     def matched(df: DataFrame, side: DataFrame) -> DataFrame:
         on = F.col("__i").eqNullSafe(F.col("i")) & F.col("__s").eqNullSafe(F.col("s")) & (F.col("__k") == F.col("tie"))
-        return df.join(broadcast_if_small(side, 120), on)
+        return df.join(broadcast_if_small(side.select("i", "s", "tie", "copies"), 120), on)
 
     # repeated rows: one of them stands for all
-    some = matched(rows, stored(many, "mix-repeated")).dropDuplicates(["__i", "__s", "__k"]).select("__row", "copies")
+    some = matched(rows, many).dropDuplicates(["__i", "__s", "__k"]).select("__row", "copies")
     rest = matched(rows, single).select("__row", "copies")
     out = rest.union(some).where("copies > 0")
     return out.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")
