@@ -19,7 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import broadcast_if_small, lower_ascii, stored, text_key, words
+from .shared import broadcast_if_small, let, lower_ascii, stored, text_key, words
 
 WINDOW, SHINGLE = 13, 5
 #: Fixed complement of the word characters, after lower-casing A-Z.
@@ -34,16 +34,17 @@ def tokens(text: Column) -> Column:
 
 def _places(w: Column, size: int) -> Column:
     """(hash, pos) of every run of exactly ``size`` words."""
-    starts = F.sequence(F.lit(0), F.size(w) - size)
-    return F.when(
-        F.size(w) >= size,
-        F.transform(
-            starts,
+
+    def places(w: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(w) - size),
             lambda i: F.struct(
                 F.xxhash64(*[F.get(w, i + j) for j in range(size)]).alias("hash"), i.cast("int").alias("pos")
             ),
-        ),
-    ).otherwise(F.array().cast("array<struct<hash:bigint,pos:int>>"))
+        )
+
+    none = F.array().cast("array<struct<hash:bigint,pos:int>>")
+    return let(w, lambda w: F.when(F.size(w) >= size, places(w)).otherwise(none))
 
 
 def _windows(items: DataFrame, item: str, text: str) -> tuple[DataFrame, DataFrame, list[int]]:

@@ -36,15 +36,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def shingle_hashes(w: Column, size: int) -> Column:
     """64-bit hashes of all runs of ``size`` words; a shorter text with words is one run."""
-    n = F.size(w)
-    full = F.transform(
-        F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(size)])
-    )
-    return (
-        F.when(n >= size, full)
-        .when(n > 0, F.array(F.xxhash64(F.concat_ws(" ", w))))
-        .otherwise(F.array().cast("array<bigint>"))
-    )
+
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(w) - size)
+        return (
+            F.when(
+                F.size(w) >= size,
+                F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(size)])),
+            )
+            .when(F.size(w) > 0, F.array(F.xxhash64(F.concat_ws(" ", w))))
+            .otherwise(F.array().cast("array<bigint>"))
+        )
+
+    return let(w, runs)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

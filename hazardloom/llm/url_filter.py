@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import broadcast_if_small, lower_ascii, stored
+from .shared import broadcast_if_small, let, lower_ascii, stored
 
 PREFIX = 8
 
@@ -29,9 +29,9 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def _expressions(host: Column, path: Column, lengths: list[int]) -> Column:
     """(e_host, e_path) of every host suffix and every path prefix of a listed length."""
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    suffixes = let(
+        F.split(host, r"\.", -1),
+        lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.array_join(F.slice(x, i, F.size(x)), ".")),
     )
     sizes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
     pairs = F.transform(
