@@ -19,7 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import broadcast_if_small, let, lower_ascii, stored, text_key, words
+from .shared import broadcast_if_small, lower_ascii, stored, text_key, words
 
 WINDOW, SHINGLE = 13, 5
 #: Fixed complement of the word characters, after lower-casing A-Z.
@@ -32,19 +32,23 @@ def tokens(text: Column) -> Column:
     return words(lower_ascii(text), NON_WORD)
 
 
-def _places(w: Column, size: int) -> Column:
-    """(hash, pos) of every run of exactly ``size`` words."""
+def _run_hashes(w: Column, size: int) -> Column:
+    """Hashes of the runs of exactly ``size`` words, in order."""
+    starts = F.sequence(F.lit(0), F.size(w) - size)
+    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(size)]))
+    return F.when(F.size(w) >= size, hashes).otherwise(F.array().cast("array<bigint>"))
 
-    def places(w: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(w) - size),
-            lambda i: F.struct(
-                F.xxhash64(*[F.get(w, i + j) for j in range(size)]).alias("hash"), i.cast("int").alias("pos")
-            ),
-        )
 
-    none = F.array().cast("array<struct<hash:bigint,pos:int>>")
-    return let(w, lambda w: F.when(F.size(w) >= size, places(w)).otherwise(none))
+def _places(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(key, n, hash, pos) of all runs of the given sizes; ``rows`` has (key, w)."""
+    n = F.size("w")
+    found = rows.select("key", n.alias("n"), F.posexplode(F.concat(*[_run_hashes(F.col("w"), k) for k in sizes])).alias("at", "hash"))
+    # the runs of one size follow those of the sizes before
+    pos, before = F.col("at"), F.lit(0)
+    for k in sizes[:-1]:
+        before = before + F.greatest(F.lit(0), F.col("n") - k + 1)
+        pos = F.when(F.col("at") >= before, F.col("at") - before).otherwise(pos)
+    return found.select("key", "n", "hash", pos.cast("int").alias("pos"))
 
 
 def _windows(items: DataFrame, item: str, text: str) -> tuple[DataFrame, DataFrame, list[int]]:
@@ -62,7 +66,7 @@ def _windows(items: DataFrame, item: str, text: str) -> tuple[DataFrame, DataFra
     whole = runs.groupBy("window").agg(F.first("w").alias("w"))
     by_size = [
         whole.where(F.size("w") >= SHINGLE if k == SHINGLE else F.size("w") == k).select(
-            "window", F.size("w").alias("len"), F.lit(k).alias("k"), F.inline(_places(w, k))
+            "window", F.size("w").alias("len"), F.lit(k).alias("k"), F.posexplode(_run_hashes(w, k)).alias("pos", "hash")
         )
         for k in range(1, SHINGLE + 1)
     ]
@@ -75,11 +79,8 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str = "text", item: str
     """(verified, members): ``verified`` has (key, start, len, window) for each window found in a text."""
     shingles, members, sizes = _windows(items, item, item_text)
     wanted = broadcast_if_small(shingles.select("hash").distinct(), 24)
-    w = F.col("w")
     texts = docs.select(text_key(F.col(f"`{text}`")).alias("key"), tokens(F.col(f"`{text}`")).alias("w"))
-    found = texts.select(
-        "key", F.size(w).alias("n"), F.inline(F.concat(*[_places(w, k) for k in sizes or [SHINGLE]]))
-    )
+    found = _places(texts, sizes or [SHINGLE])
     found = stored(found.join(wanted, "hash", "left_semi").distinct(), "found-shingles")
     rarity = found.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"))
     prefix = (

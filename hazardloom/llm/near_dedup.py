@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .hashing import lists, mix, pieces
-from .shared import broadcast_if_small, shingle_hashes, small_batches, stored, text_key, words
+from .shared import HAS_WORD, broadcast_if_small, shingle_hashes, small_batches, stored, text_key, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 6
@@ -139,7 +139,8 @@ def _nodes(docs: DataFrame, text: str, bands: int, rows: int) -> DataFrame:
                 )
 
     t = F.col(f"`{text}`")
-    rows_in = docs.select(text_key(t).alias("k"), shingle_hashes(words(t), SHINGLE).alias("runs")).where(F.size("runs") > 0)
+    # the filter looks at the text: on the runs it would compute them twice
+    rows_in = docs.where(t.rlike(HAS_WORD)).select(text_key(t).alias("k"), shingle_hashes(words(t), SHINGLE).alias("runs"))
     made = rows_in.mapInArrow(task, "k binary, n long, bands array<long>").dropDuplicates(["k"])
     return stored(made.withColumn("node", F.monotonically_increasing_id()), "signatures")
 

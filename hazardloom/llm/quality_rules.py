@@ -2,115 +2,95 @@
 
 A line is normalised (words joined by one blank, lower case) and hashed. For each host the
 distinct documents that hold the line are counted; exact copies of one text count as one document,
-so copies alone never turn a text into boilerplate. Lines of at most ``max_line_words`` words that
+so copies alone never turn a text into boilerplate. Lines of at most ``max_line_chars`` characters that
 more than ``max_docs`` documents of a host share are removed, and a document that keeps less than
 ``min_left`` of its words is rejected. Longer shared passages are left to the duplicate operators.
 
 Edge cases: a null text is an empty text, it has no words and fails the base rule; null hosts form
 one host; rows with the same id or the same text each get their own result row; an empty table
-gives an empty result; extra columns are ignored.
+gives an empty result; extra columns are ignored (``keep_good`` returns them unchanged).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import broadcast_if_small, let, stored, text_key, words
+from .shared import HAS_WORD, broadcast_if_small, let, stored, text_key, words
 
-MAX_DOCS, MAX_LINE_WORDS, MIN_LEFT = 10, 20, 0.3
-_HAS_WORD = r"[^\x20\x09-\x0D]"
+MAX_DOCS, MAX_LINE_CHARS, MIN_LEFT = 10, 200, 0.3
 
 
-def repeated_words(w: Column) -> Column:
-    """Words inside three-word windows that occur twice or more in the text."""
-    n = F.size(w)
-    starts = F.sequence(F.lit(0), n - 3)
+def _text(text: str) -> Column:
+    return F.coalesce(F.col(f"`{text}`"), F.lit(""))
+
+
+def _window_hashes(w: Column) -> Column:
+    starts = F.sequence(F.lit(0), F.size(w) - 3)
     hashes = F.transform(starts, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    return F.when(F.size(w) >= 3, hashes).otherwise(F.array().cast("array<bigint>"))
 
-    def covered(h: Column) -> Column:
-        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
-        def hits(s: Column) -> Column:
-            same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
-            at = F.transform(
-                s, lambda x, k: F.when(same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)), x["i"])
-            )
-            at = F.filter(at, lambda i: i.isNotNull())
-            return F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
+def _repeated_words(h: Column) -> Column:
+    """Words in windows that occur twice or more, from the hashes of all windows in order."""
+    ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(ordered, hits))
+    def hits(s: Column) -> Column:
+        same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
+        at = F.transform(s, lambda x, k: F.when(same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)), x["i"]))
+        at = F.filter(at, lambda i: i.isNotNull())
+        return F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
 
-    return F.when(n < 3, F.lit(0)).otherwise(let(hashes, covered))
+    return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(ordered, hits))
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(_HAS_WORD))
+    return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(HAS_WORD))
 
 
 def with_base(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the base counts and ``base_failed``."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    lines = _lines(t)
-    counts = let(
-        words(t),
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            repeated_words(w).cast("long").alias("n_repeat_words"),
-        ),
-    )
+    """Add the base counts and ``base_failed`` (replacing columns of these names).
+
+    Words, lines and window hashes are columns of their own, each used more than once, so they are
+    computed once per row.
+    """
+    t = _text(text)
+    df = df.withColumns({"__w": words(t), "__l": _lines(t)}).withColumn("__h3", _window_hashes(F.col("__w")))
     symbols = F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))
-    repeats = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    n, r = F.col("__c.n_words"), F.col("__c.n_repeat_words")
-    return (
-        df.withColumn("__c", counts)
-        .withColumns(
-            {
-                "n_words": n,
-                "word_chars": F.col("__c.word_chars"),
-                "n_symbols": symbols.cast("long"),
-                "n_dup_lines": repeats.cast("long"),
-                "n_repeat_words": r,
-                "base_failed": (n < 50) | (100 * r > 50 * n),
-            }
-        )
-        .drop("__c")
-    )
+    counts = {
+        "n_words": F.size("__w"),
+        "word_chars": F.length(F.array_join("__w", "")),
+        "n_symbols": symbols,
+        "n_dup_lines": F.size("__l") - F.size(F.array_distinct("__l")),
+        "n_repeat_words": _repeated_words(F.col("__h3")),
+    }
+    df = df.withColumns({name: c.cast("long") for name, c in counts.items()})
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return df.withColumn("base_failed", failed).drop("__w", "__l", "__h3")
 
 
-def removed_words(
-    docs: DataFrame,
-    text: str = "text",
-    host: str = "source",
-    max_docs: int = MAX_DOCS,
-    max_line_words: int = MAX_LINE_WORDS,
-) -> DataFrame:
+def _short_lines(text: str, max_line_chars: int) -> Column:
+    """(hash, words) of the lines that line frequency looks at."""
+    short = F.filter(_lines(_text(text)), lambda x: F.length(x) <= max_line_chars)
+
+    def hashed(w: Column) -> Column:
+        line = F.unhex(F.md5(F.lower(F.array_join(w, " ")).cast("binary")))
+        return F.struct(line.alias("line"), F.size(w).cast("long").alias("n"))
+
+    return F.transform(short, lambda x: let(words(x), hashed))
+
+
+def removed_words(texts: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """``gone`` of ``total`` words per (host ``h``, text key ``k``) that loses any to line frequency.
 
-    A row without a line in every document carries its words and counts the copies of (host, text).
+    ``texts`` has (h, k, n_words, lines). A row without a line in every document carries its words and
+    counts the copies of (host, text).
     """
-    t = F.col(f"`{text}`")
-    short = F.filter(F.transform(_lines(t), lambda x: words(x)), lambda w: F.size(w) <= max_line_words)
-    hashed = F.transform(
-        short,
-        lambda w: F.struct(
-            F.unhex(F.md5(F.lower(F.array_join(w, " ")).cast("binary"))).alias("line"),
-            F.size(w).cast("long").alias("n"),
-            F.lit(0).cast("long").alias("copies"),
-        ),
-    )
-    whole = F.array(
-        F.struct(
-            F.lit(None).cast("binary").alias("line"),
-            F.size(words(t)).cast("long").alias("n"),
-            F.lit(1).cast("long").alias("copies"),
-        )
-    )
-    lines = docs.select(
-        F.col(f"`{host}`").alias("h"), text_key(t).alias("k"), F.explode(F.concat(whole, hashed)).alias("l")
-    ).select("h", "k", "l.*")
-    sums = [F.sum("n").alias("n"), F.sum("copies").alias("copies")]
-    counted = stored(lines.groupBy("h", "line", "k").agg(*sums), "lines")
+    zero = F.lit(0).cast("long")
+    whole = F.array(F.struct(F.lit(None).cast("binary").alias("line"), F.col("n_words").alias("n"), F.lit(1).cast("long").alias("copies")))
+    own_lines = F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), zero.alias("copies")))
+    lines = texts.select("h", "k", F.inline(F.concat(whole, own_lines)))
+    counted = lines.groupBy("h", "line", "k").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+    counted = stored(counted, "lines")
     frequent = (
         counted.where(F.col("line").isNotNull())
         .groupBy("h", "line")
@@ -135,31 +115,45 @@ def removed_words(
 
 
 def judge(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_left: float = MIN_LEFT, **limits
+    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_left: float = MIN_LEFT,
+    max_docs: int = MAX_DOCS, max_line_chars: int = MAX_LINE_CHARS,
 ) -> DataFrame:
     """Per row of ``docs``: ``key``, the base counts, ``words_left`` and ``kept``."""
-    removed = removed_words(docs, text, host, **limits)
     rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{host}`").alias("__h"), F.col(f"`{text}`").alias("__t"))
-    base = with_base(rows, "__t").withColumn("__k", text_key(F.col("__t"))).drop("__t")
+    rows = rows.withColumns({"__k": text_key(F.col("__t")), "lines": _short_lines("__t", max_line_chars)})
+    base = stored(with_base(rows, "__t").drop("__t"), "base-counts")
+    removed = removed_words(base.select(F.col("__h").alias("h"), F.col("__k").alias("k"), "n_words", "lines"), max_docs)
     on = F.col("__h").eqNullSafe(F.col("h")) & (F.col("__k") == F.col("k"))
     left = F.col("n_words") - F.coalesce(F.col("gone"), F.lit(0))
     return (
-        base.join(removed, on, "left")
+        base.drop("lines")
+        .join(removed, on, "left")
         .withColumn("words_left", left)
         .withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= min_left * F.col("n_words")))
-        .drop("__h", "__k", "h", "k", "gone", "total", "copies")
+        .drop("__h", "__k", "h", "k", "gone", "total")
         .withColumnRenamed("__id", key)
     )
 
 
 def keep_good(
-    docs: DataFrame, text: str = "text", host: str = "source", min_left: float = MIN_LEFT, **limits
+    docs: DataFrame, text: str = "text", host: str = "source", min_left: float = MIN_LEFT, max_docs: int = MAX_DOCS,
+    max_line_chars: int = MAX_LINE_CHARS,
 ) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns unchanged."""
-    lost = removed_words(docs, text, host, **limits).where(F.col("total") - F.col("gone") < min_left * F.col("total"))
+    """The rows of ``docs`` that pass, with their columns unchanged.
+
+    The texts stay where they are: only the few depleted (host, text) keys travel.
+    """
+    h, t = F.col(f"`{host}`"), F.col(f"`{text}`")
+    texts = docs.select(
+        h.alias("h"), text_key(t).alias("k"), F.size(words(t)).cast("long").alias("n_words"),
+        _short_lines(text, max_line_chars).alias("lines"),
+    )
+    lost = removed_words(texts, max_docs).where(F.col("total") - F.col("gone") < min_left * F.col("total"))
     lost = broadcast_if_small(stored(lost.select("h", "k"), "depleted"), 200)
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    rows = docs.select(packed, F.col(f"`{host}`").alias("__h"), F.col(f"`{text}`").alias("__t"))
-    good = with_base(rows, "__t").where(~F.col("base_failed"))
-    on = F.col("__h").eqNullSafe(F.col("h")) & (text_key(F.col("__t")) == F.col("k"))
+    rows = with_base(docs.select(packed, h.alias("__h"), t.alias("__t")), "__t")
+    # a generator instead of a filter: a filter would be evaluated below the word columns, with
+    # the words split anew for each use
+    good = rows.select("__row", "__h", text_key(F.col("__t")).alias("__k"), F.explode(F.when(~F.col("base_failed"), F.array(F.lit(1)))))
+    on = F.col("__h").eqNullSafe(F.col("h")) & (F.col("__k") == F.col("k"))
     return good.join(lost, on, "left_anti").select("__row.*")

@@ -10,6 +10,7 @@ from ..session import scratch_path
 
 #: Fixed separators of the word rule: blank and the ASCII controls tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
+HAS_WORD = r"[^\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_BYTES = 32 << 20
 

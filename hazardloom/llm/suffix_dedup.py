@@ -123,7 +123,8 @@ def kept_suffixes(docs: DataFrame, text: str, least: int, span: int, gram: int)
                 )
 
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.xxhash64(t).alias("code"), _word_hashes(t).alias("w")).where(F.size("w") >= least)
+    # so many words need so many characters; a filter on the hashes would compute them twice
+    rows = docs.where(F.length(t) >= 2 * least - 1).select(F.xxhash64(t).alias("code"), _word_hashes(t).alias("w"))
     return stored(rows.mapInArrow(task, "prefix long, code long, pos int"), "sparse-suffixes")
 
 
