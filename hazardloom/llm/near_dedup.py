@@ -175,8 +175,13 @@ def _similar_sizes(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
 
-def _rare_pairs(tokens: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs across components that share one of their rarest runs; ``nodes`` has (node, comp, outside)."""
+def _rare_links(tokens: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links across components, found through the rarest runs; ``nodes`` has (node, comp, outside).
+
+    Two texts of that similarity share one of the rarest runs of each (prefix bound), at places that
+    leave room for the overlap (positional bound). The bounds first thin out both sides, then the
+    exact overlap is part of the join's condition, so only links leave it.
+    """
     own = tokens.join(nodes, "node")
     spread = own.select("node", "comp", "outside", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = spread.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -184,12 +189,25 @@ def _rare_pairs(tokens: DataFrame, nodes: DataFrame, similarity: float) -> DataF
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s")
     )
     length = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    prefix = ranked.select("node", "comp", "outside", "n", F.explode(F.slice("s", F.lit(1), length.cast("int"))).alias("e"))
-    prefix = stored(prefix.where("e.df > 1").select("node", "comp", "outside", "n", "e.token"), "rare-runs")
-    other = prefix.select(F.col("node").alias("o"), F.col("comp").alias("oc"), F.col("n").alias("on"), "token")
-    met = prefix.where("outside").join(other, "token").where(F.col("comp") != F.col("oc"))
-    met = met.where(_similar_sizes(F.col("n"), F.col("on"), similarity))
-    return met.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+    prefix = ranked.select("node", "comp", "outside", "n", F.posexplode(F.slice("s", F.lit(1), length.cast("int"))).alias("at", "e"))
+    prefix = stored(prefix.where("e.df > 1").select("node", "comp", "outside", "n", "e.token", "at"), "rare-runs")
+
+    def other(df: DataFrame) -> DataFrame:
+        return df.withColumnsRenamed({c: f"o_{c}" for c in df.columns})
+
+    most = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))
+    fits = (
+        (F.col("token") == F.col("o_token"))
+        & (F.col("comp") != F.col("o_comp"))
+        & _similar_sizes(F.col("n"), F.col("o_n"), similarity)
+        & (most >= similarity * (F.col("n") + F.col("o_n") - most) - 1e-9)
+    )
+    outside = stored(prefix.where("outside").join(other(prefix), fits, "left_semi"), "rare-outside")
+    facing = stored(prefix.join(other(outside), fits, "left_semi"), "rare-facing")
+    common = F.size(F.array_intersect("tokens", "o_tokens"))
+    exact = common >= similarity * (F.col("n") + F.col("o_n") - common) - 1e-9
+    met = outside.join(tokens, "node").join(other(facing.join(tokens, "node")), fits & exact)
+    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -212,8 +230,7 @@ def linked(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY,
     mixed = comp.groupBy("band").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last")
     mixed = broadcast_if_small(stored(mixed.select("band", "first"), "mixed-buckets"), 40)
     open_nodes = comp.join(mixed, "band").groupBy("node", "comp").agg(F.max(F.col("comp") != F.col("first")).alias("outside"))
-    rare = _rare_pairs(tokens, stored(open_nodes, "open-texts"), similarity).join(pairs, ["a", "b"], "left_anti")
-    more = stored(_verified(rare, tokens, similarity), "links")
+    more = stored(_rare_links(tokens, stored(open_nodes, "open-texts"), similarity), "links")
     return nodes.select("k", "node"), components(links.union(more))
 
 
