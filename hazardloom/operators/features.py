@@ -21,18 +21,9 @@ from .quantiles import value_counts
 from .schema import q, split_types
 from .sizing import small
 
-MAX_CATEGORIES = 1000
-
 
 def categories(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct values per column, all columns in one pass.
-
-    More than MAX_CATEGORIES values is an error and not a driver overload.
-    """
-    per_column = value_counts(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-    wide = per_column.where(F.col("n") > MAX_CATEGORIES).collect()
-    if wide:
-        raise ValueError(f"more than {MAX_CATEGORIES} distinct values: {[r['column'] for r in wide]}")
+    """Sorted distinct values per column, all columns in one pass: they become column names."""
     found: dict[str, list[str]] = {c: [] for c in cols}
     for r in value_counts(df, cols).select("column", "value").collect():
         found[r["column"]].append(r["value"])
@@ -216,10 +207,11 @@ def embed_text(
 
     Without an encoder: hashed term weights. With one: ``encoder()`` is called once per task and
     returns a function from a list of texts to a list of vectors; it receives ``batch`` texts at
-    a time. ``limit`` is the encoder's input length in tokens, ``None`` for no limit.
+    a time. ``limit`` is the encoder's input length in tokens, ``None`` for no limit; hashed
+    vectors always take the whole text.
     """
     words = tx.tokens(F.coalesce(F.col(q(col)).cast("string"), F.lit("")))
-    kept = words if limit is None else F.slice(words, 1, limit)
+    kept = words if limit is None or encoder is None else F.slice(words, 1, limit)
     source = df.select(F.col(q(key)).alias("row_id"), kept.alias("words"))
     if encoder is None:
         counted = HashingTF(inputCol="words", outputCol="tf", numFeatures=size).transform(source)

@@ -19,18 +19,6 @@ SPECIAL_PATTERNS = {
     "Time": ["Date", "Time", "Year", "Month"],
 }
 
-ADVICE = [
-    "drop columns with more than 95% missing values, they carry little information",
-    "fill numeric columns with less than 10% missing values with the median",
-    "fill text columns with less than 20% missing values with 'UNKNOWN'",
-    "railroad columns: consider 'Unknown Railroad'",
-    "location columns: consider 'Unknown Location'",
-    "accident type columns: consider 'Unknown Type'",
-    "time columns: consider forward or backward fill",
-    "equipment columns: consider 'Unknown Equipment'",
-]
-
-
 def _number_or(c: str, value: float) -> Column:
     return F.coalesce(F.col(q(c)).cast("double"), F.lit(float(value)))
 
@@ -112,9 +100,16 @@ def suggest_strategies(df: DataFrame) -> DataFrame:
     )
 
 
-def advice(spark) -> DataFrame:
-    """The fixed recommendations, numbered."""
-    return spark.createDataFrame(list(enumerate(ADVICE, 1)), "position int, recommendation string")
+def advice(spark, high: float = 0.95, numeric: float = 0.10, text: float = 0.20, placeholder: str = "UNKNOWN") -> DataFrame:
+    """``(position, applies_to, strategy, detail)``: the thresholds and column families of this module as rows."""
+    rows = [
+        ("all", "drop", f"null ratio above {high:.2f}"),
+        ("numeric", "median_imputation", f"null ratio up to {numeric:.2f}"),
+        ("text", "placeholder", f"{placeholder} up to a null ratio of {text:.2f}"),
+        *[(family.lower(), f"{family}_specific", ", ".join(names)) for family, names in SPECIAL_PATTERNS.items()],
+    ]
+    numbered = [(i, *r) for i, r in enumerate(rows, 1)]
+    return spark.createDataFrame(numbered, "position int, applies_to string, strategy string, detail string")
 
 
 def impute_median_mode(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -202,6 +197,8 @@ def advanced_imputation(
     numbers, _ = split_types(df)
     if method == "knn":
         others = [c for c in (features or numbers) if c not in (col, key)]
+        if not others:
+            return df  # nothing to measure a distance by
         filled = knn_impute(df, key, col, others, k, out="__filled")
     elif method in ("forward_fill", "backward_fill", "interpolation"):
         if not order:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,8 +13,6 @@ from ..session import cut
 from .schema import q
 from .sizing import BROADCAST_ROWS, match
 
-MAX_RULE_ITEMS = 12
-
 
 class Patterns(NamedTuple):
     itemsets: DataFrame
@@ -64,14 +63,14 @@ def _grow(
     """Frequent itemsets level by level from distinct item lists with a weight.
 
     ``weighted`` holds ``by``, ``extra``, sorted ``items`` and ``w``: equal rows were merged before,
-    so the work follows the number of distinct rows. A prefix is extended only by later items of
-    the same row and only while it is frequent itself. One materialized table per level:
-    ``by, items, extra, n, n_items, n_all``.
+    so the work follows the number of distinct rows. Infrequent items leave the rows after the
+    first level; a prefix is extended only by later items of the same row and only while it is
+    frequent itself. One materialized table per level: ``by, items, extra, n, n_items, n_all``.
     """
     after = F.expr("slice(items, p + 2, size(items))")
-    grown = weighted.select(*by, *extra, "w", F.posexplode("items").alias("p", "item"), "items").select(
-        *by, *extra, "w", F.array("item").alias("itemset"), after.alias("rest")
-    )
+    weighted = cut(weighted.withColumn("__row", F.monotonically_increasing_id()))
+    single = weighted.select(*by, *extra, "__row", "w", F.explode("items").alias("item"))
+    grown = single.withColumn("itemset", F.array("item"))
     levels: list[DataFrame] = []
     while max_len is None or len(levels) < max_len:
         counts = grown.groupBy(*by, "itemset", *extra).agg(F.sum("w").alias("n"))
@@ -83,13 +82,22 @@ def _grow(
         if rows == 0:
             break
         levels.append(level)
+        if max_len is not None and len(levels) == max_len:
+            break
         known = level.select(*by, "itemset").distinct()
         known = F.broadcast(known) if rows <= BROADCAST_ROWS else known
-        grown = (
-            match(grown.where(F.size("rest") > 0), known, [*by, "itemset"], "left_semi")
-            .select(*by, *extra, "w", "itemset", F.posexplode("rest").alias("p", "item"), F.col("rest").alias("items"))
-            .select(*by, *extra, "w", F.concat("itemset", F.array("item")).alias("itemset"), after.alias("rest"))
+        if len(levels) == 1:
+            # an infrequent item cannot extend anything: rows go on with their frequent items only
+            items = match(grown.select(*by, *extra, "__row", "w", "item", "itemset"), known, [*by, "itemset"], "left_semi")
+            lists = items.groupBy(*by, *extra, "__row", "w").agg(F.sort_array(F.collect_list("item")).alias("items"))
+            started = lists.select(*by, *extra, "w", F.posexplode("items").alias("p", "item"), "items")
+            alive = started.select(*by, *extra, "w", F.array("item").alias("itemset"), after.alias("rest"))
+        else:
+            alive = match(grown, known, [*by, "itemset"], "left_semi")
+        longer = alive.where(F.size("rest") > 0).select(
+            *by, *extra, "w", "itemset", F.posexplode("rest").alias("p", "item"), F.col("rest").alias("items")
         )
+        grown = cut(longer.select(*by, *extra, "w", F.concat("itemset", F.array("item")).alias("itemset"), after.alias("rest")))
     return levels
 
 
@@ -118,32 +126,30 @@ def frequent_itemsets(tx: DataFrame, min_support: float = 0.1, max_len: int | No
 def association_rules(
     itemsets: DataFrame, min_confidence: float = 0.5, min_lift: float | None = None
 ) -> DataFrame:
-    """Every split of every item set into antecedent and consequent, with the usual measures.
+    """Splits of every item set into antecedent and consequent, with the usual measures.
 
-    The splits of a set come from the bit masks 1 … 2^n-2; more than ``MAX_RULE_ITEMS`` items in
-    one set is an error instead of an endless job.
+    Confidence only falls when an item moves from the antecedent to the consequent, so consequents
+    grow item by item from those that still reach ``min_confidence``; sets of any size are fine.
     """
-    n = F.size("items")
-    checked = F.when(
-        n > MAX_RULE_ITEMS, F.raise_error(F.lit(f"an item set has more than {MAX_RULE_ITEMS} items"))
-    ).otherwise(F.expr("shiftleft(1, size(items))"))
-    splits = itemsets.where(n >= 2).select(
-        "items", F.col("support"), F.explode(F.sequence(F.lit(1), checked - 2)).alias("mask")
-    )
-    side = "filter(items, (x, i) -> (shiftright(mask, i) & 1) = {})"
-    splits = splits.select(
-        F.expr(side.format(1)).alias("antecedent"), F.expr(side.format(0)).alias("consequent"), "support"
-    )
     supports = itemsets.select("items", F.col("support").alias("s"))
     a = supports.select(F.col("items").alias("antecedent"), F.col("s").alias("antecedent_support"))
     c = supports.select(F.col("items").alias("consequent"), F.col("s").alias("consequent_support"))
-    confidence = F.col("support") / F.col("antecedent_support")
-    rules = (
-        splits.join(a, "antecedent")
-        .withColumn("confidence", confidence)
-        .where(F.col("confidence") >= min_confidence)
-        .join(c, "consequent")
+    grown = itemsets.where(F.size("items") >= 2).select(
+        "items", "support", F.expr("explode(transform(items, (x, i) -> array(i)))").alias("moved")
     )
+    levels: list[DataFrame] = []
+    while True:
+        split = grown.withColumn("antecedent", F.expr("filter(items, (x, i) -> not array_contains(moved, i))"))
+        kept = split.join(a, "antecedent").withColumn("confidence", F.col("support") / F.col("antecedent_support"))
+        level = cut(kept.where(F.col("confidence") >= min_confidence))
+        levels.append(level)
+        if level.isEmpty():
+            break
+        later = F.expr("explode(filter(sequence(0, size(items) - 1), i -> i > element_at(moved, -1)))")
+        grown = level.where(F.size("antecedent") > 1).select("items", "support", "moved", later.alias("next"))
+        grown = grown.select("items", "support", F.concat("moved", F.array("next")).alias("moved"))
+    found = reduce(DataFrame.unionByName, levels)
+    rules = found.withColumn("consequent", F.expr("transform(moved, i -> items[i])")).join(c, "consequent")
     sa, sc = F.col("antecedent_support"), F.col("consequent_support")
     rules = rules.select(
         "antecedent",

@@ -31,9 +31,9 @@ _ITEMS = ", ".join(f"'{c}_' || {c}" for c in _RULE_COLUMNS)
 TRANSACTIONS = f"""{FACTS},
 tx AS (SELECT list_sort([{_ITEMS}]) AS items, count(*) AS w FROM facts GROUP BY 1)"""
 
-# subsets of up to three items by position in the sorted list
+# all subsets of the seven items by position in the sorted list
 _SUBSETS = """
-subsets AS (SELECT m FROM (SELECT unnest(range(1, 128)) AS m) WHERE bit_count(m) <= 3),
+subsets AS (SELECT unnest(range(1, 128)) AS m),
 counted AS (
   SELECT s AS items, sum(w) AS n FROM (
     SELECT w, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s FROM tx, subsets)
@@ -51,7 +51,7 @@ def _rules(support: float, confidence: float) -> str:
     return f"""{_itemsets(support)},
 splits AS (
   SELECT support, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS a, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 0) AS c
-  FROM itemsets, (SELECT unnest(range(1, 7)) AS m) WHERE len(items) >= 2 AND m <= (1 << len(items)) - 2),
+  FROM itemsets, (SELECT unnest(range(1, 127)) AS m) WHERE len(items) >= 2 AND m <= (1 << len(items)) - 2),
 rules AS (
   SELECT array_to_string(a, ' & ') AS antecedent, array_to_string(c, ' & ') AS consequent, a AS alist, c AS clist, s.support,
     x.support AS sa, y.support AS sc, s.support / x.support AS confidence, s.support / x.support / y.support AS lift,
@@ -97,7 +97,7 @@ def _facts_tx(spark, sf) -> DataFrame:
 
 @query(f"WITH {_itemsets(0.05)} SELECT array_to_string(items, ' & ') AS items, round(support, 6) AS support, n FROM itemsets")
 def frequent_itemsets(spark, sf) -> DataFrame:
-    found = rules.frequent_itemsets(_facts_tx(spark, sf), 0.05, max_len=3)
+    found = rules.frequent_itemsets(_facts_tx(spark, sf), 0.05)
     return round_doubles(found.withColumn("items", F.array_join("items", " & ")))
 
 
@@ -123,7 +123,7 @@ SELECT antecedent, consequent, round(sa, 6) AS antecedent_support, round(sc, 6)
   round(confidence, 6) AS confidence, round(lift, 6) AS lift, round(leverage, 6) AS leverage, round(conviction, 6) AS conviction FROM rules
 """)
 def association_rules(spark, sf) -> DataFrame:
-    itemsets = rules.frequent_itemsets(_facts_tx(spark, sf), 0.02, max_len=3)
+    itemsets = rules.frequent_itemsets(_facts_tx(spark, sf), 0.02)
     return _joined(rules.association_rules(itemsets, 0.5))
 
 
@@ -133,7 +133,7 @@ SELECT count(*) AS total_rules, round(avg(confidence), 6) AS avg_confidence, rou
   count(*) FILTER (confidence > 0.8) AS high_confidence_rules, count(*) FILTER (lift > 2.0) AS high_lift_rules FROM rules
 """)
 def rule_summary(spark, sf) -> DataFrame:
-    mined = rules.mine_patterns(facts(spark, sf), _RULE_COLUMNS, max_len=3)
+    mined = rules.mine_patterns(facts(spark, sf), _RULE_COLUMNS)
     return round_doubles(mined.summary)
 
 
@@ -144,7 +144,7 @@ FROM rules WHERE lift >= 1.0 ORDER BY confidence DESC, alist, clist LIMIT 20
 """)
 def top_rules(spark, sf) -> DataFrame:
     """The one-call mining with the configured lift floor."""
-    mined = rules.mine_patterns(facts(spark, sf), _RULE_COLUMNS, max_len=3, min_lift=1.0)
+    mined = rules.mine_patterns(facts(spark, sf), _RULE_COLUMNS, min_lift=1.0)
     return _joined(mined.top).select("antecedent", "consequent", "support", "confidence", "lift")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import os
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -129,16 +130,29 @@ def save_class_a(df: DataFrame, root: str, mode: str = "append", columns: list[s
 
 
 def load_scenarios(spark: SparkSession, root: str, state: str | None = None) -> DataFrame:
-    """Saved scenario rows of all configurations; a state filter prunes directories.
+    """Saved scenario rows of all configurations; a state filter reads only that state's folders.
 
-    A configuration that was never written is simply absent.
+    A configuration that was never written is simply absent; files that lack a required column
+    are skipped with a warning. The report files are few (settings times writes), their footers
+    are read on the driver.
     """
-    df = spark.read.option("mergeSchema", True).parquet(root)
-    missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
-    if missing:
-        raise ValueError(f"scenario table lacks {missing}")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    # one entry per file, no content is read
+    files = [r["path"] for r in listed.load(root).select("path").collect()]
     if state is not None:
-        df = df.where(F.col("state") == state)
+        files = [f for f in files if f"/state={state}/" in unquote(f)]
+    good, lacking = [], set()
+    for f in sorted(files):
+        columns = spark.read.parquet(f).columns
+        missing = [c for c in REQUIRED_COLUMNS if c not in columns]
+        if missing:
+            log.warning("%s lacks %s and is skipped", f, missing)
+            lacking.update(missing)
+        else:
+            good.append(f)
+    if not good:
+        raise ValueError(f"no scenario file has all of {REQUIRED_COLUMNS}; missing: {sorted(lacking)}")
+    df = spark.read.option("basePath", root).option("mergeSchema", True).parquet(*good)
     typed = {c: F.col(c).cast("double") for c in ("w1", "w2") if c in df.columns}
     identified = F.concat_ws(" | ", "accident_type", "evidence")
     return df.withColumns({**typed, "scenario_id": identified})

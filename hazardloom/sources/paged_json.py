@@ -9,18 +9,21 @@ from __future__ import annotations
 
 import json
 import sys
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # workers receive these classes with the job and need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PAGE_SIZE = 1000
+PAGES_PER_TASK = 16
 
 
 class PageProvider(Protocol):
@@ -45,7 +48,9 @@ class RecordPages:
 class FolderPages:
     """Pages kept as JSON-lines files below ``<root>/filter=<value>/page=<n>/`` on shared storage.
 
-    ``value`` is the constant of the filter ``column='value'``, or ``all`` without a filter.
+    ``value`` is the constant of the filter ``column='value'``, or ``all`` without a filter. A root
+    without a scheme belongs to the session's default file system, see :func:`read_pages`; one that
+    does not exist is an error, not an empty source.
     """
 
     root: str
@@ -56,6 +61,8 @@ class FolderPages:
             raise ValueError("stored pages have a fixed size")
         value = where.split("=", 1)[1].strip().strip("'") if where else "all"
         system, root = _file_system(self.root)
+        if system.get_file_info(root).type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.root)
         folder = fs.FileSelector(f"{root}/filter={value}/page={offset // limit}", allow_not_found=True)
         names = sorted(f.path for f in system.get_file_info(folder) if f.path.endswith(".json"))
         rows: list[dict] = []
@@ -102,18 +109,21 @@ class PagedJsonReader(DataSourceReader):
         self.names = schema.fieldNames()
         self.where = options.get("where") or None
         self.size = int(options.get("page_size", PAGE_SIZE))
-        self.stripes = int(options.get("partitions", 8))
+        self.stripes = int(options.get("partitions", 0))
+        self.schema = schema
 
     def partitions(self):
         pages = page_count(self.provider, self.where, self.size)
-        stripes = max(1, min(self.stripes, pages))
+        stripes = max(1, min(self.stripes or -(-pages // PAGES_PER_TASK), pages))
         edges = [pages * i // stripes for i in range(stripes + 1)]
         return [PageRange(a, b) for a, b in zip(edges, edges[1:])]
 
     def read(self, partition):
+        arrow = to_arrow_schema(self.schema)
         for page in range(partition.first, partition.stop):
-            for record in self.provider.fetch(self.where, self.size, page * self.size):
-                yield tuple(record.get(n) for n in self.names)
+            records = self.provider.fetch(self.where, self.size, page * self.size)
+            columns = [pa.array([r.get(f.name) for r in records], f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
 
 def paged_json_source(provider: PageProvider) -> type[DataSource]:
@@ -135,12 +145,16 @@ def paged_json_source(provider: PageProvider) -> type[DataSource]:
 
 def read_pages(
     spark: SparkSession, provider: PageProvider, schema: str, where: str | None = None, page_size: int = PAGE_SIZE,
-    partitions: int = 8,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """All records the endpoint has for the filter."""
+    """All records the endpoint has for the filter; one task per ``PAGES_PER_TASK`` pages by default."""
+    if isinstance(provider, FolderPages):
+        where_it_is = spark._jvm.org.apache.hadoop.fs.Path(provider.root)
+        system = where_it_is.getFileSystem(spark._jsc.hadoopConfiguration())
+        provider = replace(provider, root=system.makeQualified(where_it_is).toString())
     spark.dataSource.register(paged_json_source(provider))
     reader = spark.read.format("paged_json").schema(schema).option("page_size", str(page_size))
-    reader = reader.option("partitions", str(partitions))
+    reader = reader.option("partitions", str(partitions or 0))
     return (reader.option("where", where) if where else reader).load()
 
 
