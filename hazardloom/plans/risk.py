@@ -61,10 +61,15 @@ rules AS (
 
 
 def _joined(df: DataFrame) -> DataFrame:
-    """Rule sides as text, an infinite conviction as null."""
+    """Rule sides as text, an infinite conviction as null.
+
+    Leverages are multiples of 1 / rows**2 and often end in a 5 after six digits; the small shift lets
+    both engines round them the same way.
+    """
     return round_doubles(
         df.withColumns(
             {
+                "leverage": F.col("leverage") + 1e-9,
                 "antecedent": F.array_join("antecedent", " & "),
                 "consequent": F.array_join("consequent", " & "),
                 "conviction": F.when(F.col("confidence") < 1, F.col("conviction")),
@@ -120,7 +125,7 @@ def itemsets_of_any_length(spark, sf) -> DataFrame:
 @query(f"""
 WITH {_rules(0.02, 0.5)}
 SELECT antecedent, consequent, round(sa, 6) AS antecedent_support, round(sc, 6) AS consequent_support, round(support, 6) AS support,
-  round(confidence, 6) AS confidence, round(lift, 6) AS lift, round(leverage, 6) AS leverage, round(conviction, 6) AS conviction FROM rules
+  round(confidence, 6) AS confidence, round(lift, 6) AS lift, round(leverage + 1e-9, 6) AS leverage, round(conviction, 6) AS conviction FROM rules
 """)
 def association_rules(spark, sf) -> DataFrame:
     itemsets = rules.frequent_itemsets(_facts_tx(spark, sf), 0.02)
