@@ -9,7 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from hazardloom.plans import catalog  # noqa: E402
+from hazardloom.plans import catalog, tables  # noqa: E402
 from hazardloom.session import build_session  # noqa: E402
 
 HEADLINE = [
@@ -55,10 +55,15 @@ def main() -> None:
     known = catalog.queries()
     spark.range(1_000_000).selectExpr("sum(id)").collect()
     seconds: dict[str, float] = {}
+    jobs: dict[str, int] = {}
     for name in HEADLINE:
+        # every query builds its own intermediate tables
+        tables.forget()
+        spark.sparkContext.setJobGroup(name, name)
         start = time.perf_counter()
         known[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        jobs[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
     print(
         json.dumps(
             {
@@ -66,6 +71,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "jobs": jobs,
                 "sf": os.path.basename(os.path.normpath(sf_dir)),
             }
         )

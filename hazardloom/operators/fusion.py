@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import competition_rank
-from .scenarios import min_max
+from .scenarios import min_max_all
 
 # Configured weights of the score paths and of the ranking criteria.
 PATH_WEIGHTS = {"association_score": 0.4, "model_score": 0.4, "confidence": 0.2}
@@ -29,8 +29,7 @@ def fuse_scores(
     """
     weights = weights or PATH_WEIGHTS
     paths = paths or list(weights)
-    for i, p in enumerate(paths):
-        df = min_max(df, p, f"__p{i}", by)
+    df = min_max_all(df, {p: f"__p{i}" for i, p in enumerate(paths)}, by)
     scaled = {p: F.coalesce(F.col(f"__p{i}"), F.lit(0.0)) for i, p in enumerate(paths)}
     average = _weighted({p: weights[p] for p in paths}, lambda p: scaled[p]) / float(sum(weights[p] for p in paths))
     largest = F.greatest(*scaled.values()) if len(paths) > 1 else scaled[paths[0]]

@@ -10,7 +10,6 @@ from ..session import cut
 from .ordered import distinct_running
 from .schema import q
 
-BRACKET_FROM_ROWS = 200_000
 ACCURACY = 20_000
 _SETS_AT_ONCE = 60
 
@@ -92,23 +91,21 @@ def _placed(df: DataFrame, series: dict[str, Column], wanted: list[tuple], rows_
 
 
 def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], bracket_from: int | None = None, rows_per_bucket=None, stats=None
+    df: DataFrame, cols: list[str], probs: list[float], rows_per_bucket=None, stats=None
 ) -> DataFrame:
     """``(column, prob, value)`` with linear interpolation between neighbours, nulls ignored.
 
-    Values are counted before they are ordered, so repeated values cost nothing. On larger inputs
-    approximate percentiles give a range around each target rank; all smaller values count as
-    minus infinity and all larger ones as infinity, so only the values of the range are shuffled
-    and ordered. A rank that then falls on an infinity was outside its range, and all values are
+    Values are counted before they are ordered, so repeated values cost nothing. Approximate
+    percentiles give a range around each target rank; all smaller values count as minus infinity
+    and all larger ones as infinity, so only the values of the range are shuffled and ordered. A rank that then falls on an infinity was outside its range, and all values are
     ordered instead. The result has one row per column and probability.
     """
-    threshold = BRACKET_FROM_ROWS if bracket_from is None else bracket_from
     if stats is None:
         stats = df.agg(*rank_statistics(df, cols, probs)).first()
     counts = {c: stats[f"__n{i}"] for i, c in enumerate(cols)}
     numbers = {c: x for c, x in _numbers(df, cols).items() if counts[c]}
     found = None
-    if max(counts.values(), default=0) >= threshold:
+    if numbers:
         series, wanted = {}, []
         for i, c in enumerate(cols):
             for j, p in enumerate(probs):

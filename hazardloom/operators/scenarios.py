@@ -117,25 +117,33 @@ def scenario_importance(
 
 
 def min_max(df: DataFrame, col: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """``(x - min) / (max - min)`` over the set, null for a constant set.
+    """``(x - min) / (max - min)`` over the set, null for a constant set."""
+    return min_max_all(df, {col: out}, by)
 
-    The range is aggregated first and joined back, so a group of any size is never held at once.
-    """
-    x = F.col(q(col))
 
-    def scaled(low: Column, high: Column) -> Column:
-        return F.try_divide(x - low, high - low)
+def min_max_all(df: DataFrame, columns: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """:func:`min_max` of several columns at once.
 
-    if not by:
-        rng = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("r")).scalar()
-        return df.withColumn("__r", rng).withColumn(out, scaled(F.col("__r.lo"), F.col("__r.hi"))).drop("__r")
-    ranges = measured(df.groupBy(*by).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi")))
-    return match(df, ranges, by).withColumn(out, scaled(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+    All ranges come from one aggregation and one join, so a group of any size is never held at once.
+    """
+    sides = {
+        f"__{x}{i}": f(F.col(q(c))) for i, c in enumerate(columns) for x, f in (("lo", F.min), ("hi", F.max))
+    }
+    ends = [agg.alias(name) for name, agg in sides.items()]
+    if by:
+        df = match(df, measured(df.groupBy(*by).agg(*ends)), by)
+    else:
+        df = df.withColumn("__r", df.agg(F.struct(*ends).alias("r")).scalar()).select("*", "__r.*").drop("__r")
+    scaled = {
+        out: F.try_divide(F.col(q(c)) - F.col(f"__lo{i}"), F.col(f"__hi{i}") - F.col(f"__lo{i}"))
+        for i, (c, out) in enumerate(columns.items())
+    }
+    return df.withColumns(scaled).drop(*sides)
 
 
 def normalized_scores(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``norm_uplift`` and ``norm_importance``; a constant column counts as 0 and is flagged."""
-    out = min_max(min_max(df, "uplift", "norm_uplift", by), "s2_2_importance", "norm_importance", by)
+    out = min_max_all(df, {"uplift": "norm_uplift", "s2_2_importance": "norm_importance"}, by)
     return out.withColumn(
         "is_constant", F.col("norm_uplift").isNull() | F.col("norm_importance").isNull()
     ).na.fill(0.0, ["norm_uplift", "norm_importance"])

@@ -220,6 +220,11 @@ def _saved(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
     return _SAVED[key]
 
 
+def forget() -> None:
+    """Let the next query build its intermediate tables anew."""
+    _SAVED.clear()
+
+
 def scenario_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk of every condition set of up to three conditions, one set per region as state."""
     return _saved(
