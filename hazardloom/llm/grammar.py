@@ -21,6 +21,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -199,11 +200,12 @@ class Encoder:
 
     A single blank between two other characters always starts a new pre-token of a byte-level
     tokenizer with the usual split pattern, so the runs between such blanks are encoded on their own
-    and remembered (at most ``REMEMBER`` of them).
+    and remembered (a bounded number of them).
     """
 
-    REMEMBER = 600_000
-    _edge = re.compile(r"\s\s|^\s|\s$|[^\S ] | [^\S ]")
+    REMEMBER_RUNS, REMEMBER_WORDS = 700_000, 1_000_000
+    #: White space other than blank and line feed.
+    _rare = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     _cut = re.compile(r"(?<=\S) (?=\S)")
     _plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
@@ -217,13 +219,13 @@ class Encoder:
         self._by_run = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self._by_run = self._by_run and spec.get("normalizer") is None
         self.size = self._t.get_vocab_size()
-        self._type = "<u2" if self.size <= 1 << 16 else "<u4"
+        self._type, self._code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         self._runs: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
         # the byte alphabet of byte-level tokenizers: printable bytes stand for themselves
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         rest = [b for b in range(256) if b not in own]
-        self._alphabet = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self._alphabet = {b: 256 + i for i, b in enumerate(rest)}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._t.encode(text, add_special_tokens=False).ids, self._type).tobytes()
@@ -232,36 +234,58 @@ class Encoder:
         """A pre-token of letters or marks, straight through the model."""
         found = self._words.get(word)
         if found is None:
-            mapped = "".join([self._alphabet[b] for b in word.encode()])
-            found = np.array([x.id for x in self._t.model.tokenize(mapped)], self._type).tobytes()
-            if len(self._words) < self.REMEMBER:
+            mapped = word.encode().decode("latin-1").translate(self._alphabet)
+            found = array(self._code, [x.id for x in self._t.model.tokenize(mapped)]).tobytes()
+            if len(self._words) < self.REMEMBER_WORDS:
                 self._words[word] = found
         return found
 
-    def _run(self, run: str) -> bytes:
-        """Ids of a blank and the run after it."""
+    def _run(self, run: str, blank: str = " ") -> bytes:
+        """Ids of a run, with the blank before it."""
         plain = self._plain.fullmatch(run)
-        if plain is None:
-            found = self._ids(" " + run)
-        else:
-            found = self._word(" " + plain[1]) + (self._word(plain[2]) if plain[2] else b"")
-        if len(self._runs) < self.REMEMBER:
-            self._runs[run] = found
-        return found
+        if plain:
+            return self._word(blank + plain[1]) + (self._word(plain[2]) if plain[2] else b"")
+        if "\n" in run:
+            # a lone line feed between other characters is a pre-token
+            lines = run.split("\n")
+            if all(map(self._plain.fullmatch, lines)):
+                return self._word("\n").join([self._run(x, "" if i else blank) for i, x in enumerate(lines)])
+        return self._ids(blank + run)
+
+    def _odd(self, text: str) -> bool:
+        """Whether a blank of the text has white space or an end of the text next to it."""
+        return (
+            "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
+            or self._rare.search(text) is not None
+        )
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
         if not self._by_run:
             return np.frombuffer(self._ids(text), self._type)
-        runs = self._cut.split(text) if self._edge.search(text) else text.split(" ")
-        known = self._runs
-        first = self._ids(runs[0])
-        try:
-            rest = b"".join(map(known.__getitem__, runs[1:]))
-        except KeyError:
-            rest = b"".join([known.get(r) or self._run(r) for r in runs[1:]])
-        return np.frombuffer(first + rest, self._type)
+        runs = self._cut.split(text) if self._odd(text) else text.split(" ")
+        known, rest = self._runs, runs[1:]
+        first = self._run(runs[0], "")
+        found = list(map(known.get, rest))
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    found[i] = x = known.get(rest[i]) or self._run(rest[i])
+                    if len(known) < self.REMEMBER_RUNS and "\n" not in rest[i]:
+                        known[rest[i]] = x
+        return np.frombuffer(first + b"".join(found), self._type)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process, so that later tasks find what earlier ones remembered."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 # ---- Spark --------------------------------------------------------------------------------------
@@ -282,7 +306,7 @@ def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
         from pyspark import TaskContext
 
         fs, root = file_system(folder)
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         part, shard = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         keys: list = []
@@ -321,6 +345,7 @@ def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
 
 def read(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """Per document, from the files: key, ``start`` (ids before it), ``n_tokens``, ``ids_crc32``, file and place."""
+    spark = manifest.sparkSession
     upto = Window.unboundedPreceding
     parts = manifest.groupBy("part").agg(F.sum("tokens").alias("t"))
     before = Window.orderBy("part").rowsBetween(upto, -1)  # one row per task of the writer
@@ -328,7 +353,9 @@ def read(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("shard").rowsBetween(upto, -1)
     placed = manifest.withColumn("inner", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(parts, F.col("part") == F.col("p"))
     placed = placed.select("path", (F.col("base") + F.col("inner")).cast("long").alias("start")).join(keys, "path")
-    placed = stored(placed, "token-files").repartition("path")
+    # a stated number of tasks: the rows are few and small, the files behind them are not
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    placed = stored(placed, "token-files").repartition(tasks, "path")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

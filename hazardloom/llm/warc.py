@@ -268,7 +268,10 @@ def read(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return archives.repartition("path").mapInArrow(task, _READ)
+    # a stated number of tasks: the rows are few and small, the files behind them are not
+    spark = archives.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return archives.repartition(tasks, "path").mapInArrow(task, _READ)
 
 
 def _page(fields: dict[str, str], block: bytes) -> tuple:
