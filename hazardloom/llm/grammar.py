@@ -242,15 +242,18 @@ class Encoder:
 
     def _run(self, run: str, blank: str = " ") -> bytes:
         """Ids of a run, with the blank before it."""
-        plain = self._plain.fullmatch(run)
-        if plain:
-            return self._word(blank + plain[1]) + (self._word(plain[2]) if plain[2] else b"")
-        if "\n" in run:
-            # a lone line feed between other characters is a pre-token
-            lines = run.split("\n")
-            if all(map(self._plain.fullmatch, lines)):
-                return self._word("\n").join([self._run(x, "" if i else blank) for i, x in enumerate(lines)])
-        return self._ids(blank + run)
+        # a lone line feed between other characters is a pre-token of its own
+        lines = run.split("\n")
+        plain = list(map(self._plain.fullmatch, lines))
+        if None in plain:
+            return self._ids(blank + run)
+        word = self._word
+        parts = []
+        for x in plain:
+            letters, marks = x.groups()
+            parts.append(word(blank + letters) + word(marks) if marks else word(blank + letters))
+            blank = ""
+        return word("\n").join(parts) if len(parts) > 1 else parts[0]
 
     def _odd(self, text: str) -> bool:
         """Whether a blank of the text has white space or an end of the text next to it."""
