@@ -85,7 +85,8 @@ def _pivot(rows: list[tuple[float, float]], last: bool) -> tuple[list[int | None
 
 
 def _round_group(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
-    pdf = pdf.sort_values(["size", "draw", "tie"], kind="stable").reset_index(drop=True)
+    # large documents first: what is left at the end, and is rounded last, is a small one
+    pdf = pdf.sort_values(["size", "draw", "tie"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     found, mass = _pivot(list(zip(pdf["p"], pdf["draw"])), last)
     pdf["extra"] = pd.array([None if x is None else x for x in found], dtype="Int64")
     pdf["p"] = [mass if x is None else 0.0 for x in found]
