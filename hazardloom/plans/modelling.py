@@ -231,6 +231,28 @@ def auc_of_one_class(spark, sf) -> DataFrame:
     return auc.where("class = '0'").select(F.lit("severe").alias("class"), F.round("auc", 4).alias("auc"))
 
 
+_AUC_SCORES = ["l_extendedprice", "l_quantity * 1000 + l_tax * 100", "l_extendedprice * l_discount"]
+_AUC_CLASSES = ["minor", "moderate", "severe"]
+
+
+def _auc_sql(name: str, score: str) -> str:
+    return f"""SELECT '{name}' AS class, (sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS auc
+  FROM (SELECT severity = '{name}' AS y, rank() OVER (ORDER BY {score}) + (count(*) OVER (PARTITION BY {score}) - 1) / 2 AS r FROM facts)"""
+
+
+@query(f"""
+WITH {FACTS}, one AS ({' UNION ALL '.join(_auc_sql(n, s) for n, s in zip(_AUC_CLASSES, _AUC_SCORES))})
+SELECT class, round(auc, 6) AS auc FROM one UNION ALL SELECT 'macro', round(avg(auc), 6) FROM one
+""")
+def auc_all_classes(spark, sf) -> DataFrame:
+    """Every class against the rest, on scores with thousands of distinct values, and the mean."""
+    code = F.array_position(F.array(*[F.lit(c) for c in _AUC_CLASSES]), F.col("severity")) - 1
+    rows = facts(spark, sf).select(code.alias("label"), F.array(*[F.expr(s) for s in _AUC_SCORES]).alias("probability"))
+    auc = models.auc_per_class(rows, len(_AUC_CLASSES))
+    named = F.coalesce(F.get(F.array(*[F.lit(c) for c in _AUC_CLASSES]), F.expr("try_cast(class as int)")), F.col("class"))
+    return round_doubles(auc.select(named.alias("class"), "auc"))
+
+
 @query("""
 SELECT vec_id, len(embedding) + 1 AS width, round(embedding[1]::DOUBLE, 4) AS first_value, CAST(label AS DOUBLE) AS last_value FROM embeddings
 """)

@@ -348,6 +348,21 @@ def csv_round_trip(spark, sf) -> DataFrame:
     return back.select("doc_id", "lang", F.length("text").cast("bigint").alias("n_text"), F.md5("text").alias("digest"))
 
 
+@query("""
+SELECT p_type, 3 * count(*) AS n, CAST(3 * sum(p_size) AS BIGINT) AS size, round(3 * sum(p_retailprice), 6) AS price FROM part GROUP BY ALL
+""")
+def read_by_ending(spark, sf) -> DataFrame:
+    """The same table through a parquet, a csv and a json file, each read by its ending."""
+    part = table(spark, sf, "part")
+    back = []
+    for kind in files.FORMATS:
+        path = f"{scratch_path(spark, 'part')}.{kind}"
+        files.save_results(part, path, kind)
+        back.append(files.read_table(spark, path, schema=part.schema).select(part.columns))
+    every = back[0].unionByName(back[1]).unionByName(back[2])
+    return every.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("size"), r6(F.sum("p_retailprice"), "price"))
+
+
 @query("""
 SELECT event_type, 2 * count(*) AS n, round(2 * sum(value), 6) AS total FROM events GROUP BY ALL
 """)
