@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .hashing import lists, mix, pieces
-from .shared import broadcast_if_small, small_batches, stored, text_key, words
+from .shared import BROADCAST_BYTES, broadcast_if_small, small_batches, stored, text_key, words
 
 LEAST, SPAN, GRAM = 50, 20, 8
 CHUNK = 500_000
@@ -176,7 +176,9 @@ def spans(
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     shared = repeated_suffixes(kept_suffixes(docs, text, least, span, gram))
     places = stored(shared.groupBy("code").agg(F.collect_set("pos").alias("places")), "suffix-places")
-    wanted = broadcast_if_small(places, 400)
+    # positions per text vary widely, so their real bytes are summed
+    held = places.agg(F.sum(F.size("places") * 8 + 48)).first()[0] or 0
+    wanted = F.broadcast(places) if held <= BROADCAST_BYTES else places
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
