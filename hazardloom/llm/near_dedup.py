@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .hashing import lists, mix, pieces
-from .shared import HAS_WORD, broadcast_if_small, shingle_hashes, small_batches, stored, text_key, words
+from .shared import BROADCAST_BYTES, HAS_WORD, broadcast_if_small, shingle_hashes, small_batches, stored, text_key, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 6
@@ -206,7 +206,11 @@ def _rare_links(tokens: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     facing = stored(prefix.join(other(outside), fits, "left_semi"), "rare-facing")
     common = F.size(F.array_intersect("tokens", "o_tokens"))
     exact = common >= similarity * (F.col("n") + F.col("o_n") - common) - 1e-9
-    met = outside.join(tokens, "node").join(other(facing.join(tokens, "node")), fits & exact)
+    whole = outside.join(tokens, "node")
+    held = outside.agg(F.sum(F.col("n") * 8 + 64)).first()[0] or 0
+    # the texts outside are usually few: broadcast, a run that many texts share needs no shuffle
+    whole = F.broadcast(whole) if held <= BROADCAST_BYTES else whole
+    met = other(facing.join(tokens, "node")).join(whole, fits & exact)
     return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
 
