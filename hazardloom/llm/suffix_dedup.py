@@ -177,7 +177,7 @@ def spans(
     shared = repeated_suffixes(kept_suffixes(docs, text, least, span, gram))
     places = stored(shared.groupBy("code").agg(F.collect_set("pos").alias("places")), "suffix-places")
     # positions per text vary widely, so their real bytes are summed
-    held = places.agg(F.sum(F.size("places") * 8 + 48)).first()[0] or 0
+    held = places.agg(F.sum(F.size("places") * 4 + 48)).first()[0] or 0
     wanted = F.broadcast(places) if held <= BROADCAST_BYTES else places
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
