@@ -2,9 +2,9 @@
 
 A line is normalised (words joined by one blank, lower case) and hashed. For each host the
 distinct documents that hold the line are counted; exact copies of one text count as one document,
-so copies alone never turn a text into boilerplate. Lines of at most ``max_line_chars`` characters that
-more than ``max_docs`` documents of a host share are removed, and a document that keeps less than
-``min_left`` of its words is rejected. Longer shared passages are left to the duplicate operators.
+so copies alone never turn a text into boilerplate. Lines of any length that more than ``max_docs``
+documents of a host share are removed, and a document that keeps less than ``min_left`` of its words is
+rejected.
 
 Edge cases: a null text is an empty text, it has no words and fails the base rule; null hosts form
 one host; rows with the same id or the same text each get their own result row; an empty table
@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import HAS_WORD, broadcast_if_small, let, stored, text_key, words
 
-MAX_DOCS, MAX_LINE_CHARS, MIN_LEFT = 10, 200, 0.3
+MAX_DOCS, MIN_LEFT = 10, 0.3
+#: Read by the SQL of ``oracles.py`` only, which leaves longer lines out; the operator has no limit.
+MAX_LINE_CHARS = 200
 
 
 def _text(text: str) -> Column:
@@ -68,15 +70,14 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", failed).drop("__w", "__l", "__h3")
 
 
-def _short_lines(text: str, max_line_chars: int) -> Column:
-    """(hash, words) of the lines that line frequency looks at."""
-    short = F.filter(_lines(_text(text)), lambda x: F.length(x) <= max_line_chars)
+def _hashed_lines(text: str) -> Column:
+    """(hash, words) of all lines with words."""
 
     def hashed(w: Column) -> Column:
         line = F.unhex(F.md5(F.lower(F.array_join(w, " ")).cast("binary")))
         return F.struct(line.alias("line"), F.size(w).cast("long").alias("n"))
 
-    return F.transform(short, lambda x: let(words(x), hashed))
+    return F.transform(_lines(_text(text)), lambda x: let(words(x), hashed))
 
 
 def removed_words(texts: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
@@ -116,11 +117,11 @@ def removed_words(texts: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
 
 def judge(
     docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_left: float = MIN_LEFT,
-    max_docs: int = MAX_DOCS, max_line_chars: int = MAX_LINE_CHARS,
+    max_docs: int = MAX_DOCS,
 ) -> DataFrame:
     """Per row of ``docs``: ``key``, the base counts, ``words_left`` and ``kept``."""
     rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{host}`").alias("__h"), F.col(f"`{text}`").alias("__t"))
-    rows = rows.withColumns({"__k": text_key(F.col("__t")), "lines": _short_lines("__t", max_line_chars)})
+    rows = rows.withColumns({"__k": text_key(F.col("__t")), "lines": _hashed_lines("__t")})
     base = stored(with_base(rows, "__t").drop("__t"), "base-counts")
     removed = removed_words(base.select(F.col("__h").alias("h"), F.col("__k").alias("k"), "n_words", "lines"), max_docs)
     on = F.col("__h").eqNullSafe(F.col("h")) & (F.col("__k") == F.col("k"))
@@ -137,7 +138,6 @@ def judge(
 
 def keep_good(
     docs: DataFrame, text: str = "text", host: str = "source", min_left: float = MIN_LEFT, max_docs: int = MAX_DOCS,
-    max_line_chars: int = MAX_LINE_CHARS,
 ) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns unchanged.
 
@@ -146,7 +146,7 @@ def keep_good(
     h, t = F.col(f"`{host}`"), F.col(f"`{text}`")
     texts = docs.select(
         h.alias("h"), text_key(t).alias("k"), F.size(words(t)).cast("long").alias("n_words"),
-        _short_lines(text, max_line_chars).alias("lines"),
+        _hashed_lines(text).alias("lines"),
     )
     lost = removed_words(texts, max_docs).where(F.col("total") - F.col("gone") < min_left * F.col("total"))
     lost = broadcast_if_small(stored(lost.select("h", "k"), "depleted"), 200)

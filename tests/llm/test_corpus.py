@@ -62,6 +62,17 @@ def test_line_frequency(spark):
     assert all(found[200 + i]["kept"] for i in range(30))  # one text, however often
 
 
+def test_line_frequency_of_long_lines(spark):
+    notice = sentence(400, 60)
+    assert len(notice) > 200
+    rows = [(i, notice + "\n" + sentence(i, 10), "h") for i in range(12)]
+    rows += [(100 + i, notice + "\n" + sentence(i, 10), "other") for i in range(3)]
+    found = by_id(quality_rules.judge(docs_of(spark, rows)).collect())
+    assert all(found[i]["words_left"] == 10 and not found[i]["kept"] for i in range(12))
+    assert all(found[100 + i]["words_left"] == 70 and found[100 + i]["kept"] for i in range(3))
+    assert sorted(r["doc_id"] for r in quality_rules.keep_good(docs_of(spark, rows)).collect()) == [100, 101, 102]
+
+
 # ---- 2 ------------------------------------------------------------------------------------------
 
 
