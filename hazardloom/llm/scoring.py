@@ -1,10 +1,11 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 All one- and two-word counts of the training documents are gathered exactly. A count is quantised as
-``1 + floor(log_BASE(count / least))`` and the filter gets that many entries (n-gram, 1), (n-gram, 2), ...;
+``1 + floor(log_BASE(count))`` and the filter gets that many entries (n-gram, 1), (n-gram, 2), ...;
 a probe asks for 1, 2, ... until one is missing, which gives the level back. The filter is blocked (all entries
 of an n-gram lie in one 64-byte block) and has a fixed largest size: where the n-grams need more, those
-below a count cutoff stay out, the cutoff coming from the exact count histogram. The filter is broadcast;
+below a count cutoff stay out, the cutoff coming from the exact count histogram. Tokens with an n-gram that
+the filter lacks then meet the counts below the cutoff in a join, so every count is used. The filter is broadcast;
 a word after another has probability (c2 + MU * p1) / (c1 + MU), p1 being its smoothed share of all
 tokens, with lower counts in the numerator and upper counts in the denominator, so it never passes 1.
 
@@ -28,7 +29,9 @@ from .hashing import lists, mix, pieces
 from .shared import broadcast_if_small, lower_ascii, small_batches, stored, text_key, words
 
 BASE, MU, BITS_PER_ENTRY, HASHES, BLOCK_BITS = 1.5, 4.0, 24, 4, 512
-FILTER_BYTES, HEAD_WORDS, SEGMENT_BLOCKS, LEAST_PAIR = 64 << 20, 1_000_000, 1 << 14, 2
+FILTER_BYTES, HEAD_WORDS, SEGMENT_BLOCKS = 64 << 20, 1_000_000, 1 << 14
+#: Stands for a level that the filter lacks and the counts below the cutoff may have.
+OPEN = 255
 CHUNK = 1_000_000
 
 _PAIR = np.uint64(1 << 40)
@@ -141,7 +144,7 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     tokens = docs.where(is_training(F.col(f"`{key}`"))).select(token_hashes(F.col(f"`{text}`")).alias("t"))
     # the tasks have combined their n-grams already, so a second map-side pass would be wasted
     counted = tokens.mapInArrow(task, "n int, h long, c long").repartition("n", "h").groupBy("n", "h").agg(F.sum("c").alias("c"))
-    return stored(counted.where((F.col("n") == 1) | (F.col("c") >= LEAST_PAIR)), "ngram-counts")
+    return stored(counted, "ngram-counts")
 
 
 def _cutoff(histogram: list, entries: int) -> int:
@@ -156,7 +159,10 @@ def _cutoff(histogram: list, entries: int) -> int:
 
 
 def build_filter(grams: DataFrame, max_bytes: int = FILTER_BYTES) -> tuple[bytes, int, dict[int, int]]:
-    """(bits, blocks, least count by n) of the filter over counted n-grams; at most ``max_bytes``."""
+    """(bits, blocks, least count by n) of the filter over counted n-grams; at most ``max_bytes``.
+
+    The least count is 1 if no n-gram stays out.
+    """
     # at most 64 * 4 buckets of counts and two n
     hist = grams.groupBy("n", F.floor(F.log2("c") * 4).alias("q")).agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("least")).collect()
     room = max_bytes * 8 // BITS_PER_ENTRY
@@ -166,6 +172,7 @@ def build_filter(grams: DataFrame, max_bytes: int = FILTER_BYTES) -> tuple[bytes
     used = sum(r["size"] for r in ones if r["least"] >= least[1])
     least[2] = _cutoff(twos, room - used)
     used += sum(r["size"] for r in twos if r["least"] >= least[2])
+    least = {n: m if any(r["least"] < m for r in of) else 1 for (n, m), of in zip(least.items(), (ones, twos))}
     blocks = max(1, -(-used * BITS_PER_ENTRY // BLOCK_BITS))
     segments = -(-blocks // SEGMENT_BLOCKS)
 
@@ -173,10 +180,7 @@ def build_filter(grams: DataFrame, max_bytes: int = FILTER_BYTES) -> tuple[bytes
         import pandas as pd
 
         keys = pdf["h"].to_numpy().view(np.uint64)
-        # levels count from 1 for words and from LEAST_PAIR for pairs, whatever the cutoff
-        levels = levels_of(pdf["c"].to_numpy(), 1)
-        pairs = pdf["n"].to_numpy() == 2
-        levels[pairs] = levels_of(pdf["c"].to_numpy()[pairs], LEAST_PAIR)
+        levels = levels_of(pdf["c"].to_numpy(), 1)  # whatever the cutoff
         return pd.DataFrame({"segment": [int(key[0])], "bits": [segment_bytes(keys, levels, blocks, int(key[0]))]})
 
     kept = grams.where(F.col("c") >= F.when(F.col("n") == 1, least[1]).otherwise(least[2]))
@@ -194,6 +198,41 @@ def build_filter(grams: DataFrame, max_bytes: int = FILTER_BYTES) -> tuple[bytes
     return bytes(whole), blocks, least
 
 
+def _level(count: Column) -> Column:
+    """``levels_of`` counts from 1 on; 0 for null."""
+    return F.coalesce(1 + F.floor(F.log(count.cast("double")) / math.log(BASE) + 1e-9), F.lit(0)).cast("int")
+
+
+def _bounds(level: Column) -> tuple[Column, Column]:
+    """``count_bounds`` of levels from 1 on."""
+    low = F.ceil(F.pow(F.lit(BASE), level - 1) - 1e-6).cast("double")
+    high = F.greatest(F.ceil(F.pow(F.lit(BASE), level) - 1e-6).cast("double") - 1, low)
+    return F.when(level > 0, low).otherwise(0.0), F.when(level > 0, high).otherwise(0.0)
+
+
+def _open_scores(scored: DataFrame, grams: DataFrame, least: dict[int, int], denominator: float) -> DataFrame:
+    """(k, held_out, model): what the open tokens add to the score of each text.
+
+    Copies of a text that are alike in ``held_out`` bring the same tokens.
+    """
+    known = scored.select("k", "held_out", F.explode("open").alias("x")).groupBy("k", "held_out", "x").agg(F.count(F.lit(1)).alias("m"))
+    known = known.select("k", "held_out", "m", "x.pair", "x.word", "x.before", *[F.col(f"x.{c}").alias(c) for c in ("lp", "lw", "lb")])
+    for n, key, level in ((2, "pair", "lp"), (1, "word", "lw"), (1, "before", "lb")):
+        if least[n] == 1:
+            continue
+        below = grams.where((F.col("n") == n) & (F.col("c") < least[n])).select(F.col("h").alias("bh"), _level(F.col("c")).alias("bl"))
+        # a level that is known needs no partner: its row is spread by the pair
+        open_ = F.col(level) == OPEN
+        known = known.withColumn("at", F.when(open_, F.col(key)).otherwise(F.xxhash64("pair", "k")))
+        known = known.join(below, (F.col("at") == F.col("bh")) & open_, "left")
+        known = known.withColumn(level, F.when(open_, F.coalesce("bl", F.lit(0))).otherwise(F.col(level))).drop("at", "bh", "bl")
+    low2, _ = _bounds(F.col("lp"))
+    low1, _ = _bounds(F.col("lw"))
+    _, high1 = _bounds(F.col("lb"))
+    model = F.log10(low2 + MU * (low1 + 1) / denominator) - F.log10(F.greatest(high1, low2) + MU)
+    return known.groupBy("k", "held_out").agg(F.sum(F.col("m") * model).alias("model"))
+
+
 def score(
     docs: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: int = FILTER_BYTES, head_words: int = HEAD_WORDS
 ) -> DataFrame:
@@ -211,39 +250,59 @@ def score(
     bits, blocks, least = build_filter(grams, max_bytes)
     shared = spark.sparkContext.broadcast((head_h[order], head_c[order], bits))
     denominator = float(total + vocabulary + 1)
+    some_out = max(least.values()) > 1
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_h, known_c, raw = shared.value
         filter_bits = np.frombuffer(raw, np.uint8)
 
-        def part(values: np.ndarray, offsets: np.ndarray):
+        def part(values: np.ndarray, offsets: np.ndarray, held_out: np.ndarray):
             words_here, at = np.unique(values, return_inverse=True)
             place = np.searchsorted(known_h, words_here)
             place[place == len(known_h)] = 0
             in_head = known_h[place] == words_here if len(known_h) else np.zeros(len(words_here), bool)
             count = np.where(in_head, known_c[place] if len(known_c) else 0, 0)
             base = (np.log10(count + 1) - math.log10(denominator))[at]
-            low1, high1 = count_bounds(probe(filter_bits, words_here, blocks), 1)
+            level1 = probe(filter_bits, words_here, blocks)
+            low1, high1 = count_bounds(level1, 1)
             share = (low1 + 1) / denominator
             before = _previous(values, offsets)
             history = _previous(at.astype(np.int64), offsets)
-            low2, _ = count_bounds(probe(filter_bits, pair_keys(before, values), blocks), LEAST_PAIR)
+            pairs = pair_keys(before, values)
+            level2 = probe(filter_bits, pairs, blocks)
+            if least[2] == 2:
+                # a training document's own pair has a count, and only 1 stayed out
+                level2[(level2 == 0) & np.repeat(~held_out, np.diff(offsets))] = 1
+            low2, _ = count_bounds(level2, 1)
             model = np.log10(low2 + MU * share[at]) - np.log10(np.maximum(high1[history], low2) + MU)
             sums = lambda x: np.add.reduceat(x, offsets[:-1])
             seen = in_head[at]
             rest = ~seen
             rest_offsets = np.concatenate([[0], np.cumsum(sums(rest.astype(np.int64)))])
-            return sums(seen.astype(np.int64)), sums(base), sums(model), values[rest].view(np.int64), rest_offsets
+            lacks1 = (level1 == 0) & (least[1] > 1)
+            lacks2 = (level2 == 0) & (least[2] > 1)
+            is_open = lacks2 | lacks1[at] | lacks1[history]
+            model[is_open] = 0.0
+            open_offsets = np.concatenate([[0], np.cumsum(sums(is_open.astype(np.int64)))])
+            level1 = np.where(lacks1, OPEN, level1)
+            levels = (np.where(lacks2, OPEN, level2), level1[at], level1[history])
+            tokens = pa.StructArray.from_arrays(
+                [pa.array(x[is_open].view(np.int64)) for x in (pairs, values, before)] + [pa.array(x[is_open].astype(np.int32)) for x in levels],
+                ["pair", "word", "before", "lp", "lw", "lb"],
+            )
+            tokens = pa.ListArray.from_arrays(pa.array(open_offsets.astype(np.int32)), tokens)
+            return sums(seen.astype(np.int64)), sums(base), sums(model), values[rest].view(np.int64), rest_offsets, tokens
 
         for batch in batches:
             for piece in pieces(batch, 0, CHUNK):
                 values, offsets = lists(piece, 0)
-                known, base, model, rest, rest_offsets = part(values, offsets)
+                held_out = piece.column(3).to_numpy(zero_copy_only=False)
+                known, base, model, rest, rest_offsets, tokens = part(values, offsets, held_out)
                 rest = pa.ListArray.from_arrays(pa.array(rest_offsets.astype(np.int32)), pa.array(rest))
                 yield pa.record_batch(
                     [piece.column(1), piece.column(2), piece.column(3), pa.array(np.diff(offsets)), pa.array(known),
-                     pa.array(base), pa.array(model), rest],
-                    names=["id", "k", "held_out", "n_tokens", "n_head", "base", "score", "rest"],
+                     pa.array(base), pa.array(model), rest, tokens],
+                    names=["id", "k", "held_out", "n_tokens", "n_head", "base", "score", "rest", "open"],
                 )
 
     t, k = F.col(f"`{text}`"), F.col(f"`{key}`")
@@ -251,7 +310,9 @@ def score(
     kind = rows.schema["id"].dataType.simpleString()
     scored = stored(
         rows.mapInArrow(
-            task, f"id {kind}, k binary, held_out boolean, n_tokens long, n_head long, base double, score double, rest array<long>"
+            task,
+            f"id {kind}, k binary, held_out boolean, n_tokens long, n_head long, base double, score double, rest array<long>, "
+            "open array<struct<pair: long, word: long, before: long, lp: int, lw: int, lb: int>>",
         ),
         "scored",
     )
@@ -263,7 +324,14 @@ def score(
     )
     met = met.join(copies, "k").select(F.col("k").alias("mk"), F.expr("more div copies").alias("more"), (F.col("gain") / F.col("copies")).alias("gain"))
     met = broadcast_if_small(stored(met, "scored-rest"), 60)
-    zero = F.lit(0).cast("long")
+    zero, score_ = F.lit(0).cast("long"), F.col("score")
+    if some_out:
+        each = scored.groupBy("k", "held_out").agg(F.count(F.lit(1)).alias("copies"))
+        added = _open_scores(scored, grams, least, denominator).join(each, ["k", "held_out"])
+        added = added.select(F.col("k").alias("ok"), F.col("held_out").alias("oh"), (F.col("model") / F.col("copies")).alias("model"))
+        added = broadcast_if_small(stored(added, "scored-open"), 60)
+        scored = scored.join(added, (F.col("k") == F.col("ok")) & (F.col("held_out") == F.col("oh")), "left")
+        score_ = score_ + F.coalesce("model", F.lit(0.0))
     return scored.join(met, F.col("k") == F.col("mk"), "left").select(
         F.col("id").alias(key),
         "held_out",
@@ -271,5 +339,5 @@ def score(
         (F.col("n_head") + F.coalesce("more", zero)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
-        "score",
+        score_.alias("score"),
     )

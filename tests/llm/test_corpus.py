@@ -162,6 +162,44 @@ def test_scores_against_counts(spark):
         assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_score_uses_every_count(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(scoring, "BITS_PER_ENTRY", 1024)  # no false hits
+    rows = [(i, " ".join(f"w{i % 3}{j % (5 + i % 11)} v{i * j % 37}" for j in range(40)) + f" only{i}", "a") for i in range(60)]
+    rows += [(i + 60, rows[i][1], "a") for i in range(5)]
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    words_of = {i: ["\n", *t.split(), "\n"] for i, t, _ in rows}
+    one, two = collections.Counter(), collections.Counter()
+    for i, w in words_of.items():
+        if i not in held:
+            one.update(w[1:])
+            two.update(zip(w, w[1:]))
+    assert min(one.values()) == min(two.values()) == 1
+    places = sum(one.values()) + len(one) + 1
+
+    def bounds(count):
+        if not count:
+            return 0, 0
+        low, high = scoring.count_bounds(scoring.levels_of(np.array([count]), 1), 1)
+        return low[0], high[0]
+
+    def expected(w):
+        total = 0
+        for a, b in zip(w, w[1:]):
+            low2, share = bounds(two[a, b])[0], (bounds(one[b])[0] + 1) / places
+            total += math.log10(low2 + scoring.MU * share) - math.log10(max(bounds(one[a])[1], low2) + scoring.MU)
+        return total
+
+    # all n-grams in the filter, all but pairs seen once, only frequent ones, none
+    n_often = sum(c > 1 for c in two.values())
+    for room in (1 << 16, len(one) + n_often + 5, 2 * (len(one) // 2), 0):
+        found = by_id(scoring.score(docs_of(spark, rows), max_bytes=room * 128, head_words=20).collect())
+        assert len(found) == len(rows)
+        for i, w in words_of.items():
+            assert found[i]["score"] == pytest.approx(expected(w)), (room, i)
+
+
 def test_filter_levels():
     import numpy as np
 
