@@ -4,7 +4,9 @@ A line is normalised (words joined by one blank, lower case) and hashed. For eac
 distinct documents that hold the line are counted; exact copies of one text count as one document,
 so copies alone never turn a text into boilerplate. Lines of any length that more than ``max_docs``
 documents of a host share are removed, and a document that keeps less than ``min_left`` of its words is
-rejected.
+rejected. ``keep_good`` counts near copies as one document, too: texts whose runs of five words agree by
+``SIMILARITY`` (found by bands of smallest hashes, verified on all runs). ``judge`` counts distinct texts, as
+its SQL does.
 
 Edge cases: a null text is an empty text, it has no words and fails the base rule; null hosts form
 one host; rows with the same id or the same text each get their own result row; an empty table
@@ -13,11 +15,14 @@ gives an empty result; extra columns are ignored (``keep_good`` returns them unc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import HAS_WORD, broadcast_if_small, let, stored, text_key, words
+from .shared import HAS_WORD, broadcast_if_small, let, shingle_hashes, stored, text_key, words
 
 MAX_DOCS, MIN_LEFT = 10, 0.3
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 10, 3
 #: Read by the SQL of ``oracles.py`` only, which leaves longer lines out; the operator has no limit.
 MAX_LINE_CHARS = 200
 
@@ -80,11 +85,46 @@ def _hashed_lines(text: str) -> Column:
     return F.transform(_lines(_text(text)), lambda x: let(words(x), hashed))
 
 
-def removed_words(texts: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+def near_copies(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
+    """(ck, class) of the texts among ``keys`` (k) that are near copies of a text with a smaller key.
+
+    A text meets the smallest key of each of its bands only, so a large group is not paired with itself.
+    """
+
+    def runs(some: DataFrame) -> DataFrame:
+        found = docs.select(text_key(F.col(f"`{text}`")).alias("k"), F.col(f"`{text}`").alias("t"))
+        found = found.join(broadcast_if_small(some, 60), "k", "left_semi")
+        return found.select("k", F.array_distinct(shingle_hashes(words(F.col("t")), SHINGLE)).alias("s"))
+
+    x = F.col("x")
+    row = F.pmod(F.shiftrightunsigned(x, 8), F.lit(ROWS))
+    least = [F.min(F.when(row == j, x)).alias(f"m{j}") for j in range(ROWS)]
+    bands = runs(keys).select("k", F.explode("s").alias("x")).groupBy("k", F.pmod(x, F.lit(BANDS)).alias("band")).agg(*least)
+    bands = stored(bands.select("k", F.xxhash64("band", *[F.coalesce(f"m{j}", F.lit(0)) for j in range(ROWS)]).alias("b")), "line-bands")
+    first = bands.groupBy("b").agg(F.min("k").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    pairs = stored(bands.join(first, "b").where("k <> lead").select("k", "lead").distinct(), "line-pairs")
+    met = stored(pairs.select("k").union(pairs.select("lead")).distinct(), "line-met")
+    sets = stored(runs(met).groupBy("k").agg(F.first("s").alias("s")), "line-runs")
+    both = pairs.join(sets, "k").join(sets.select(F.col("k").alias("lead"), F.col("s").alias("ls")), "lead")
+    common = F.size(F.array_intersect("s", "ls"))
+    near = both.where(common >= SIMILARITY * (F.size("s") + F.size("ls") - common))
+    found = stored(near.groupBy("k").agg(F.min("lead").alias("class")), "line-classes")
+    # a class may itself have a smaller one; each round halves what is left of a chain
+    while True:
+        up = found.select(F.col("k").alias("uk"), F.col("class").alias("up"))
+        further = found.join(up, F.col("class") == F.col("uk"), "left")
+        if not further.where("up is not null").limit(1).count():
+            return found.withColumnRenamed("k", "ck")
+        found = stored(further.select("k", F.coalesce("up", "class").alias("class")), "line-classes")
+
+
+def removed_words(
+    texts: DataFrame, max_docs: int = MAX_DOCS, near: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """``gone`` of ``total`` words per (host ``h``, text key ``k``) that loses any to line frequency.
 
     ``texts`` has (h, k, n_words, lines). A row without a line in every document carries its words and
-    counts the copies of (host, text).
+    counts the copies of (host, text). ``near`` gives the classes of near copies among text keys.
     """
     zero = F.lit(0).cast("long")
     whole = F.array(F.struct(F.lit(None).cast("binary").alias("line"), F.col("n_words").alias("n"), F.lit(1).cast("long").alias("copies")))
@@ -101,7 +141,16 @@ def removed_words(texts: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     )
     frequent = broadcast_if_small(stored(frequent, "frequent-lines"), 200)
     same = F.col("h").eqNullSafe(F.col("fh")) & (F.col("line") == F.col("fl"))
-    lost = counted.join(frequent, same, "left_semi").union(counted.where(F.col("line").isNull()))
+    held = counted.join(frequent, same, "left_semi")
+    if near is not None:
+        # classes only lower a line's count, so only lines that are frequent by texts are counted again
+        held = stored(held, "held-lines")
+        classes = near(stored(held.select("k").distinct(), "held-keys"))
+        again = held.join(broadcast_if_small(classes, 80), F.col("k") == F.col("ck"), "left")
+        again = again.groupBy("h", "line").agg(F.count_distinct(F.coalesce("class", "k")).alias("docs")).where(F.col("docs") > max_docs)
+        again = again.select(F.col("h").alias("fh"), F.col("line").alias("fl"))
+        held = held.join(broadcast_if_small(stored(again, "frequent-lines"), 200), same, "left_semi")
+    lost = held.union(counted.where(F.col("line").isNull()))
     own = F.col("line").isNull()
     return (
         lost.groupBy("h", "k")
@@ -148,7 +197,7 @@ def keep_good(
         h.alias("h"), text_key(t).alias("k"), F.size(words(t)).cast("long").alias("n_words"),
         _hashed_lines(text).alias("lines"),
     )
-    lost = removed_words(texts, max_docs).where(F.col("total") - F.col("gone") < min_left * F.col("total"))
+    lost = removed_words(texts, max_docs, lambda keys: near_copies(docs, keys, text)).where(F.col("total") - F.col("gone") < min_left * F.col("total"))
     lost = broadcast_if_small(stored(lost.select("h", "k"), "depleted"), 200)
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     rows = with_base(docs.select(packed, h.alias("__h"), t.alias("__t")), "__t")

@@ -73,6 +73,18 @@ def test_line_frequency_of_long_lines(spark):
     assert sorted(r["doc_id"] for r in quality_rules.keep_good(docs_of(spark, rows)).collect()) == [100, 101, 102]
 
 
+def test_near_copies_count_once(spark):
+    lines = [sentence(500 + i, 6) for i in range(30)]
+    copies = [lines[:i] + [lines[i] + "x"] + lines[i + 1 :] for i in range(12)]
+    rows = [(i, "\n".join(x), "h") for i, x in enumerate(copies)]
+    # pages of one menu are no near copies
+    menu = "\n".join(sentence(300 + i, 5) for i in range(12))
+    rows += [(100 + i, menu + "\n" + sentence(i, 10), "h") for i in range(12)]
+    rows += [(200 + i, lines[20] + "\n" + sentence(600 + i, 60), "h") for i in range(3)]
+    kept = quality_rules.keep_good(docs_of(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [*range(12), 200, 201, 202]
+
+
 # ---- 2 ------------------------------------------------------------------------------------------
 
 
