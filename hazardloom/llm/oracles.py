@@ -140,3 +140,44 @@ span as (
 select doc_id, s::bigint start_word, e::bigint end_word, (e - s)::bigint n_words
 from d join distinct_text using (t) join span using (node)
 """
+
+# ids rewritten as the query has it; runs from all pairs of equal least seeds at distances up to a quarter of the text
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), "
+    "lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, i: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295)"
+)
+ORACLES["op11_kruskal_runs"] = f"""
+with d as (select row_number() over () r, doc_id, {_WORDS} w, {_CRC} h from documents),
+a as (select *, len(w) n, (h // 10) % greatest(len(w), 1) a0, h // 10 g from d),
+b as (select *, 1 + (n - a0) // (3 + g % 8) p from a),
+v as (
+    select r, doc_id, n, case when h % 10 = 0 and n > 0
+        then list_transform(range(n), lambda i: w[1 + case when i < a0 then i else a0 + (i - a0) % p end]) else w end w
+    from b
+),
+tok as (select r, n, unnest(w) x, generate_subscripts(w, 1) - 1 i from v),
+gram as (
+    select r, n, i, concat_ws(' ', x, lead(x) over o, lead(x, 2) over o, lead(x, 3) over o, lead(x, 4) over o) y
+    from tok window o as (partition by r order by i) qualify lead(x, 4) over o is not null
+),
+pair as (select s.r, s.i, t.i - s.i q from gram s join gram t on s.r = t.r and s.y = t.y and t.i > s.i and 4 * (t.i - s.i) <= s.n),
+stretch as (
+    select r, q, min(i) start, count(*) + 4 + q length
+    from (select *, i - row_number() over (partition by r, q order by i) z from pair) group by r, q, z
+),
+long as (select * from stretch where length >= greatest(6, 4 * q)),
+run as (
+    select r, start, length, q period from long x
+    where not exists (from long y where y.r = x.r and y.q < x.q and y.start <= x.start and y.start + y.length >= x.start + x.length)
+),
+dropped as (select distinct r, i from (select r, unnest(range(start + period, start + length)) i from run)),
+kept as (select r, string_agg(x, ' ' order by i) t from tok anti join dropped using (r, i) group by r),
+per as (
+    select r, count(*) n_runs, string_agg(concat_ws(',', start, length, period) || chr(10), '' order by start, period) listed,
+        list(row(start, length, period) order by (length::double / period) desc, start, period)[1] best
+    from run group by r
+)
+select doc_id, coalesce(n_runs, 0) n_runs, best[1] start, best[2] length, best[3] period, 1000 * best[2] // best[3] exponent_milli,
+    sha256(coalesce(listed, '')) runs_sha256, sha256(coalesce(t, '')) collapsed_sha256, n::bigint n_words
+from v left join per using (r) left join kept using (r)
+"""

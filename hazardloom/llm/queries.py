@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontamination, grammar, mixing, near_dedup, oracles, quality_rules, scoring, sharding, suffix_dedup, url_filter,
-    warc,
+    decontamination, grammar, mixing, near_dedup, oracles, periodic_runs, quality_rules, scoring, sharding,
+    suffix_dedup, url_filter, warc,
 )
 from .shared import read
 
@@ -70,6 +70,11 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
+def op11_kruskal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_periodic_tails(read(spark, sf_dir, "documents"))
+    return periodic_runs.summary(periodic_runs.find(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +84,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_line_frequency, op2_pivotal_mix, op3_bloom_lm, op4_prefix_decontamination, op5_url_rules, op6_warc_salvage,
-        op7_bagminhash, op8_sparse_suffixes, op9_repair_ids, op10_hilbert_shards, pipeline,
+        op7_bagminhash, op8_sparse_suffixes, op9_repair_ids, op10_hilbert_shards,
+        op11_kruskal_runs, pipeline,
     ]
     return {f.__name__: f for f in found}
 
