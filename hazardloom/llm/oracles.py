@@ -181,3 +181,52 @@ select doc_id, coalesce(n_runs, 0) n_runs, best[1] start, best[2] length, best[3
     sha256(coalesce(listed, '')) runs_sha256, sha256(coalesce(t, '')) collapsed_sha256, n::bigint n_words
 from v left join per using (r) left join kept using (r)
 """
+
+
+def _codebook_rounds(rounds: int) -> str:
+    """Nearest entries by full comparison, then floored means; once more for the final codes."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+n{i} as (
+    select r, p, any_value(x) x, min(row(d, e)) best
+    from (
+        select r, part.p, e, part.x,
+            list_sum(list_transform(range(1, len(part.x) + 1), lambda j: (part.x[j] - b.x[j]) * (part.x[j] - b.x[j])))::bigint d
+        from part join b{i} b on b.p = part.p
+    ) group by r, p
+),""")
+        if i < rounds:
+            steps.append(f"""
+m{i} as (select p, best[2] e, j, sum(x[j])::bigint s, count(*) c from n{i}, (select unnest(range(1, 5)) j) group by p, best[2], j),
+f{i} as (select p, e, list((s - ((s % c) + c) % c) // c order by j) x from m{i} group by p, e),
+b{i + 1} as (select p, e, coalesce(f{i}.x, b{i}.x) x from b{i} left join f{i} using (p, e)),""")
+    return "".join(steps)
+
+
+ORACLES["op12_orchard_codes"] = f"""
+with k as (
+    select row_number() over () r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v
+    from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+part as (select r, p, v[4 * p + 1:4 * p + 4] x from k, (select unnest(range(16)) p)),
+lead64 as (select r, row_number() over (order by vec_id) - 1 e from k qualify e < 64),
+b0 as (select p, e, x from part join lead64 using (r)),{_codebook_rounds(2)}
+coded as (select r, string_agg(printf('%02x', best[2]), '' order by p) code, sum(best[1])::bigint error from n2 group by r),
+book as (select sha256(string_agg(y, ',' order by p, e, j)) s from (select p, e, unnest(x)::varchar y, generate_subscripts(x, 1) j from b2))
+select vec_id, code, error, (sum(error) over (partition by label))::bigint label_error, s codebooks_sha256
+from k join coded using (r), book
+"""
+
+# the given pages have one article element each; its blocks by pattern
+_DECODED = "x"
+for _name, _char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")]:
+    _DECODED = f"replace({_DECODED}, '{_name}', '{_char}')"
+ORACLES["op13_tree_extract"] = f"""
+with a as (select row_number() over () r, page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) h from pages),
+b as (select r, unnest(regexp_split_to_array(h, '</?(p|h1)>')) x, generate_subscripts(regexp_split_to_array(h, '</?(p|h1)>'), 1) i from a),
+c as (select r, i, {_DECODED} x from (select r, i, regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g') x from b)),
+d as (select r, i, trim(regexp_replace(x, '\\s+', ' ', 'g')) x from c),
+t as (select r, string_agg(x, chr(10) || chr(10) order by i) x from d where x <> '' group by r)
+select page_id, url, coalesce(x, '') text, length(coalesce(x, ''))::bigint n_chars from a left join t using (r)
+"""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    decontamination, grammar, mixing, near_dedup, oracles, periodic_runs, quality_rules, scoring, sharding,
-    suffix_dedup, url_filter, warc,
+    decontamination, grammar, html_extract, mixing, near_dedup, oracles, periodic_runs, quality_rules, scoring, sharding,
+    suffix_dedup, url_filter, vector_codes, warc,
 )
 from .shared import read
 
@@ -75,6 +75,18 @@ def op11_kruskal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.summary(periodic_runs.find(docs))
 
 
+def op12_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    codebooks = vector_codes.fit(vectors)
+    coded = vector_codes.with_label_error(vector_codes.encode(vectors, codebooks))
+    return coded.withColumn("codebooks_sha256", F.lit(codebooks.digest()))
+
+
+def op13_tree_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_extract.main_text(html_extract.extract(pages, html_extract.fit(pages)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_line_frequency, op2_pivotal_mix, op3_bloom_lm, op4_prefix_decontamination, op5_url_rules, op6_warc_salvage,
         op7_bagminhash, op8_sparse_suffixes, op9_repair_ids, op10_hilbert_shards,
-        op11_kruskal_runs, pipeline,
+        op11_kruskal_runs, op12_orchard_codes, op13_tree_extract, pipeline,
     ]
     return {f.__name__: f for f in found}
 
