@@ -46,8 +46,8 @@ STEMS = {
     "header": "header masthead topbar logo branding tagline",
     "footer": "footer copyright colophon legal imprint",
     "side": "sidebar aside rail secondary widget related recommend popular trending teaser",
-    "notice": "notice cookie consent alert warning gdpr popup modal overlay toast privacy",
-    "advert": "advert sponsor promo banner dfp adsense outbrain taboola affiliate",
+    "notice": "notice cookie consent alert warning message gdpr popup modal overlay toast privacy",
+    "advert": "advert sponsor promo banner adbox adsbox adslot adsense dfp outbrain taboola affiliate",
     "form": "form login signup subscribe newsletter search register contact",
     "comment": "comment reply replies disqus respond discussion feedback",
     "share": "share sharing social follow tags meta byline author",

@@ -8,9 +8,9 @@ nodes in which no kept node lies below a dropped one; kept text runs in page ord
 The labelled rows for fitting are written here: texts of a bounded sample of the given pages
 (``SAMPLE_PAGES``, those with the smallest ids) are laid out ``LAYOUTS`` times each as pages with menus, headers,
 footers, sidebars, notices, adverts, forms, sharing bars and reader comments around and inside an
-article, so each run's label is known. Spark fits the trees; their nodes go to the tasks (a bound of
-``TREES * 2 ** DEPTH``). Every page is then read whole in one pass without a shuffle; a task holds one
-Arrow batch and its nodes.
+article, so each run's label is known. The trees are fitted in one task on at most ``FIT_NODES`` of these nodes and go to
+all tasks (at most ``TREES * 2 ** (DEPTH + 1)`` nodes). Every page is then read whole in one pass without a
+shuffle; a task holds one Arrow batch and its nodes.
 
 Null and empty pages, and pages without text, give an empty text. Very long pages are parsed in linear
 time. Ties (keeping a node is worth as much as dropping it) keep the node. Repeated rows give repeated
@@ -23,21 +23,19 @@ import html as entities
 import random
 import re
 import zlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators import boosting
 from .dom_features import FEATURES, Nodes, consistent, measure, parse
-from .shared import scratch_path, small_batches
+from .shared import small_batches
 
 SAMPLE_PAGES = 150
-LAYOUTS = 6
-TREES = 30
-DEPTH = 5
+LAYOUTS = 8
+FIT_NODES = 100_000
+TREES, DEPTH, STEP = 60, 6, 0.3
 #: Marks main text in pages that are written for fitting; a private-use character.
 MARK = "\ue000"
 
@@ -114,7 +112,12 @@ class Writer:
         """One piece of page furniture, without any main text."""
         r = self.r
         end = self.open(part, 0.8 if part in ("menu", "footer", "related") else 1.0)
-        if part == "menu":
+        if end != "</p>" and r.random() < 0.3:  # anything can stand in any part
+            if r.random() < 0.4:
+                self.put(r.choice(["h2", "h3", "h4", "div"]), self.words(1, 5))
+            for _ in range(r.choice([1, 1, 2, 4])):
+                self.links(1, 6) if r.random() < 0.35 else self.sentences(1, 40)
+        elif part == "menu":
             self.links(2, 12)
         elif part == "header":
             self.put(r.choice(["h1", "div", "p"]), self.words(1, 5), link=r.random() < 0.5)
@@ -240,7 +243,7 @@ def pool_of(page: str) -> list[str]:
 
 
 def labelled(pages: DataFrame, sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS) -> DataFrame:
-    """Feature rows of nodes with text, label 1.0 for those that hold main text, from written pages."""
+    """Feature rows of nodes with text, label 1 for those that hold main text, from written pages."""
     known = pages.select("page_id", "html").where(F.col("html").isNotNull())
     ends = known.select("page_id").orderBy(F.col("page_id").asc_nulls_last()).limit(sample)
     last = ends.agg(F.max("page_id")).first()[0]
@@ -262,85 +265,31 @@ def labelled(pages: DataFrame, sample: int = SAMPLE_PAGES, layouts: int = LAYOUT
                 x = measure(nodes)
                 used = x[:, FEATURES.index("words")] > 0
                 rows = pa.array(list(x[used]), pa.list_(pa.float64()))
-                label = pa.array(np.array(main, np.float64)[used])
+                label = pa.array(np.array(main, np.int32)[used])
                 yield pa.RecordBatch.from_arrays([rows, label], names=["x", "label"])
 
-    rows = few.select("html").mapInArrow(lay_out, "x array<double>, label double")
-    return rows.select(array_to_vector("x").alias("features"), "label")
-
-
-@dataclass(frozen=True)
-class Trees:
-    """Boosted trees as arrays: of each node the feature (-1: leaf), threshold, left child and value."""
-
-    weight: np.ndarray
-    root: np.ndarray
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-
-    def chance(self, x: np.ndarray) -> np.ndarray:
-        total, rows = np.zeros(len(x)), np.arange(len(x))
-        for weight, root in zip(self.weight, self.root):
-            at = np.full(len(x), root)
-            while True:
-                feature = self.feature[at]
-                inner = feature >= 0
-                if not inner.any():
-                    break
-                low = x[rows, np.maximum(feature, 0)] <= self.threshold[at]
-                at = np.where(inner, np.where(low, self.left[at], self.right[at]), at)
-            total += weight * self.value[at]
-        return 1 / (1 + np.exp(-2 * total))
-
-
-def trees_of(model, spark) -> Trees:
-    """A fitted model's trees, read from its saved form."""
-    path = scratch_path(spark, "page-trees")
-    model.save(path)
-    split = F.col("nodeData.split")
-    saved = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
-        split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], 0).alias("threshold"),
-    )
-    rows = saved.orderBy("treeID", "id").collect()
-    base, size = {}, 0
-    for i, row in enumerate(rows):
-        base.setdefault(row["treeID"], i)
-    leaf = [row["leftChild"] < 0 for row in rows]
-    start = [base[row["treeID"]] for row in rows]
-    return Trees(
-        np.array(model.treeWeights),
-        np.array([base[t] for t in sorted(base)]),
-        np.array([-1 if z else row["feature"] for z, row in zip(leaf, rows)]),
-        np.array([0.0 if z else row["threshold"] for z, row in zip(leaf, rows)]),
-        np.array([0 if z else s + row["leftChild"] for z, s, row in zip(leaf, start, rows)]),
-        np.array([0 if z else s + row["rightChild"] for z, s, row in zip(leaf, start, rows)]),
-        np.array([row["prediction"] for row in rows]),
-    )
-
-
-def fit(pages: DataFrame, sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS) -> Trees | None:
+    return few.select("html").mapInArrow(lay_out, "x array<double>, label int")
+
+
+def fit(pages: DataFrame, sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS) -> boosting.Boosted | None:
     """Trees fitted on pages written from a bounded sample; None for a table without any page."""
     if not pages.select("html").where(F.col("html").isNotNull()).head(1):
         return None
-    rows = labelled(pages, sample, layouts).cache()
-    try:
-        booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, subsamplingRate=1.0, maxBins=32)
-        return trees_of(booster.fit(rows), pages.sparkSession)
-    finally:
-        rows.unpersist()
+    rows = labelled(pages, sample, layouts)
+    fitted = boosting.fit(rows, "x", "label", TREES, DEPTH, STEP, classes=2, most=FIT_NODES)
+    # of two classes the trees are the same with opposite values: those of main text are enough
+    main = fitted.nodes[fitted.nodes["class"] == 1]
+    return boosting.Boosted(1, fitted.width, main.assign(**{"class": 0}))
 
 
-def blocks(sources: list[str | None], trees: Trees) -> list[list[str]]:
+def blocks(sources: list[str | None], trees: boosting.Boosted) -> list[list[str]]:
     """The main text blocks of each page."""
     nodes = Nodes()
     for page, source in enumerate(sources):
         parse(page, source or "", nodes)
     found: list[list[str]] = [[] for _ in sources]
-    kept = consistent(nodes, trees.chance(measure(nodes)))
+    chance = 1 / (1 + np.exp(-2 * trees.margins(measure(nodes))[:, 0]))
+    kept = consistent(nodes, chance)
     for i in np.flatnonzero(kept):
         row = nodes.rows[i]
         if row[5] is not None:
@@ -348,7 +297,7 @@ def blocks(sources: list[str | None], trees: Trees) -> list[list[str]]:
     return found
 
 
-def extract(pages: DataFrame, trees: Trees | None) -> DataFrame:
+def extract(pages: DataFrame, trees: boosting.Boosted | None) -> DataFrame:
     """page_id, url and the blocks of main text of every page."""
     small_batches(pages.sparkSession, 4 << 20)
     kinds = dict(pages.dtypes)

@@ -119,12 +119,14 @@ def fit(
     order = [F.col("vec_id").asc_nulls_last(), F.col("v")]
     divided = found.where((F.size("v") > 0) & (F.size("v") % parts == 0))
     first = divided.orderBy(*order).select(F.size("v")).head()
-    dims = first[0] if first else 0
+    if not first:
+        return Codebooks(np.zeros((parts, 0, 0), np.int64))
+    dims = first[0]
     width = dims // parts
     usable = found.where(_fits(dims))
     start = [r["v"] for r in usable.orderBy(*order).limit(entries).collect()]
     books = np.array(start, np.int64).reshape(len(start), parts, width).transpose(1, 0, 2)
-    for _ in range(rounds if start else 0):
+    for _ in range(rounds if start else 0):  # none if all components are too large
         books = _moved(usable, books)
     return Codebooks(books)
 
