@@ -6,7 +6,7 @@ links, leaves per node), depth and its siblings. The decoder then chooses the mo
 nodes in which no kept node lies below a dropped one; kept text runs in page order are the main text.
 
 The labelled rows for fitting are written here: texts of a bounded sample of the given pages
-(``SAMPLE_PAGES``, those with the smallest ids) are laid out ``LAYOUTS`` times each as pages with menus, headers,
+(``SAMPLE_PAGES``, those with the smallest ids) are laid out, ``WRITTEN_PAGES`` in all, as pages with menus, headers,
 footers, sidebars, notices, adverts, forms, sharing bars and reader comments around and inside an
 article, so each run's label is known. The trees are fitted in one task on at most ``FIT_NODES`` of these nodes and go to
 all tasks (at most ``TREES * 2 ** (DEPTH + 1)`` nodes). Every page is then read whole in one pass without a
@@ -33,7 +33,7 @@ from .dom_features import FEATURES, Nodes, consistent, measure, parse
 from .shared import small_batches
 
 SAMPLE_PAGES = 150
-LAYOUTS = 8
+WRITTEN_PAGES = 1200
 FIT_NODES = 100_000
 TREES, DEPTH, STEP = 60, 6, 0.3
 #: Marks main text in pages that are written for fitting; a private-use character.
@@ -242,13 +242,14 @@ def pool_of(page: str) -> list[str]:
     return found if len(found) >= 40 else found + [f"word{i}." if i % 7 == 0 else f"word{i}" for i in range(40)]
 
 
-def labelled(pages: DataFrame, sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS) -> DataFrame:
+def labelled(pages: DataFrame, sample: int = SAMPLE_PAGES, written: int = WRITTEN_PAGES) -> DataFrame:
     """Feature rows of nodes with text, label 1 for those that hold main text, from written pages."""
     known = pages.select("page_id", "html").where(F.col("html").isNotNull())
     ends = known.select("page_id").orderBy(F.col("page_id").asc_nulls_last()).limit(sample)
     last = ends.agg(F.max("page_id")).first()[0]
     near = known.where(F.col("page_id") <= F.lit(last)) if last is not None else known
-    few = near.orderBy(F.col("page_id").asc_nulls_last(), "html").limit(sample).repartition(16, "html")
+    few = near.orderBy(F.col("page_id").asc_nulls_last(), "html").limit(sample)
+    layouts = -(-written // max(few.count(), 1))
 
     def lay_out(batches):
         for batch in batches:
@@ -268,14 +269,14 @@ def labelled(pages: DataFrame, sample: int = SAMPLE_PAGES, layouts: int = LAYOUT
                 label = pa.array(np.array(main, np.int32)[used])
                 yield pa.RecordBatch.from_arrays([rows, label], names=["x", "label"])
 
-    return few.select("html").mapInArrow(lay_out, "x array<double>, label int")
+    return few.repartition(16, "html").select("html").mapInArrow(lay_out, "x array<double>, label int")
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS) -> boosting.Boosted | None:
+def fit(pages: DataFrame, sample: int = SAMPLE_PAGES, written: int = WRITTEN_PAGES) -> boosting.Boosted | None:
     """Trees fitted on pages written from a bounded sample; None for a table without any page."""
     if not pages.select("html").where(F.col("html").isNotNull()).head(1):
         return None
-    rows = labelled(pages, sample, layouts)
+    rows = labelled(pages, sample, written)
     fitted = boosting.fit(rows, "x", "label", TREES, DEPTH, STEP, classes=2, most=FIT_NODES)
     # of two classes the trees are the same with opposite values: those of main text are enough
     main = fitted.nodes[fitted.nodes["class"] == 1]

@@ -154,7 +154,7 @@ def test_empty_tables(spark, tmp_path):
 
 def test_fit_repeats_and_bounds_its_sample(spark):
     rows = [(7, f"<p>{'word ' * i}</p>") for i in range(40)]
-    few = html_extract.labelled(pages_of(spark, rows), sample=3, layouts=2)
-    again = html_extract.labelled(pages_of(spark, rows).repartition(7), sample=3, layouts=2)
+    few = html_extract.labelled(pages_of(spark, rows), sample=3, written=6)
+    again = html_extract.labelled(pages_of(spark, rows).repartition(7), sample=3, written=6)
     assert sorted(map(str, few.collect())) == sorted(map(str, again.collect()))
     assert few.count() < 6 * 400
