@@ -84,7 +84,7 @@ class Grower:
             gain = left[0] ** 2 / (left[1] + self.shrink) + right[0] ** 2 / (right[1] + self.shrink) - parent[:, None]
         gain = np.where(enough, gain, -np.inf)
         # sums that differ by rounding only count as equal
-        top = gain.max(1)
+        top = gain.max(1, initial=-np.inf)
         near = gain >= (top - np.abs(top) * 1e-9)[:, None]
         at = near.argmax(1)
         feature = np.searchsorted(self.starts, at, side="right") - 1
@@ -112,7 +112,10 @@ class Grower:
             if level < self.depth and self.total:
                 if sums is None:
                     sums = self.histogram(rows[entries], slot, slots, gradient[entries], hessian[entries])
-                gain, feature, at = self.best(sums, g_sum, h_sum)
+                # a node of too little weight has no two children; most deep ones are like that
+                heavy = np.flatnonzero(h_sum >= 2 * self.least_weight)
+                feature, at, gain = np.zeros(slots, np.int64), np.zeros(slots, np.int64), np.full(slots, -np.inf)
+                gain[heavy], feature[heavy], at[heavy] = self.best(sums[:, heavy], g_sum[heavy], h_sum[heavy])
                 split = gain > 1e-6
             value = -g_sum / (h_sum + self.shrink) * self.step
             for s in np.flatnonzero(~split):
@@ -261,7 +264,7 @@ def _numbers(df: DataFrame, features: str) -> Column:
 
 def bounded_sample(df: DataFrame, features: str, label: str, most: int = FIT_ROWS, cells: int = FIT_CELLS, seed: int = 42) -> DataFrame:
     """``(x, y)`` of at most ``most`` labelled rows and about ``cells`` values, all rows if they fit."""
-    rows = cut(df.select(_numbers(df, features).alias("x"), F.col(label).cast("int").alias("y")).where(F.col(label).isNotNull()))
+    rows = cut(df.select(_numbers(df, features).alias("x"), F.col(label).cast("int").alias("y")).where("y is not null"))
     total, width = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
     most = max(1, min(most, cells // max(width or 1, 1)))
     return rows if total <= most else rows.sample(min(1.0, most / total), seed).limit(most)

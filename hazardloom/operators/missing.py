@@ -181,10 +181,11 @@ def interpolate(
 
 
 def knn_impute(
-    df: DataFrame, key: str, col: str, features: list[str], k: int = 5, out: str | None = None, cells: int | None = None
+    df: DataFrame, key: str, col: str, features: list[str], k: int = 5, out: str | None = None,
+    leaf_rows: int | None = None,
 ) -> DataFrame:
     """Mean of the ``k`` nearest rows that hold ``col``; see :mod:`neighbours`."""
-    return neighbours.knn_impute(df, key, col, features, k, out or f"{col}_knn", cells)
+    return neighbours.knn_impute(df, key, col, features, k, out or f"{col}_knn", leaf_rows)
 
 
 def advanced_imputation(

@@ -1,69 +1,97 @@
-"""Exact k-nearest-neighbour imputation by cells.
+"""Exact k-nearest-neighbour imputation by a k-d partition tree.
 
 Rows without a value look for the nearest rows that hold one. Pairing every such row with every
-donor is quadratic, so both sides are sorted into cells of neighbouring feature values first. The
-boxes around the cells give, for each query cell, a radius that surely contains ``k`` donors, and
-a lower bound for every donor cell; cells beyond the radius cannot hold a neighbour and are never
-paired. The rest is searched in full, so the answer is the one a full comparison gives.
+donor is quadratic, so donors and queries are cut into leaves first: every node with too many rows is
+split at the quantiles of its widest coordinate, level by level, until a leaf's rows fit ``LEAF_BYTES``. Rows
+with the same missing coordinates have a tree of their own, as distances to them are scaled alike.
+
+Every query leaf first meets the one donor leaf that surely is near. That bounds how far its
+neighbours can be; with this bound it goes down the donors' tree, nodes before their children, and
+leaves out each node whose box lies beyond. Leaves that are left are compared in full,
+so the answer is the one a full comparison gives. Both trees are tables: nothing here grows with the data
+outside of them, and no task holds more than two leaves at a time.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
 from .schema import q
-from .sizing import match, measured
+from .sizing import match, measured, small
 
-MAX_CELLS = 4096
-DONORS_PER_CELL = 500
+LEAF_BYTES = 128 << 10
+#: Children of a node, and shares of a hot vector's donors that are reduced apart.
+FAN = 16
+SALTS = 64
+_QUERIES_AT_ONCE = 512
 
 
 def _vector(features: list[str]) -> Column:
     x = [F.col(q(f)).cast("double") for f in features]
-    return F.array(*[F.when(~F.isnan(v), v) for v in x])
+    return F.array(*[F.when(F.abs(v) < float("inf"), v) for v in x])
 
 
 def _sum(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def squared_distance(a: Column, b: Column, size: int, total: int) -> Column:
-    """Squared distance over the coordinates both sides hold, scaled up to ``total``; null if none."""
-    diffs = [F.get(a, F.lit(i)) - F.get(b, F.lit(i)) for i in range(size)]
-    present = _sum([d.isNotNull().cast("int") for d in diffs])
-    summed = _sum([F.coalesce(d * d, F.lit(0.0)) for d in diffs])
-    return F.when(present > 0, summed * total / present)
-
+def _pattern(size: int) -> Column:
+    """One bit per coordinate that is there."""
+    return _sum([F.when(F.get("vec", F.lit(i)).isNotNull(), 1 << i).otherwise(0) for i in range(size)])
 
-def _cell(vec: Column, splits: list[list[float]]) -> Column:
-    """Bin per coordinate, -1 where the value is missing."""
-    parts = []
-    for i, edges in enumerate(splits):
-        x = F.get(vec, F.lit(i))
-        place = _sum([(x >= e).cast("int") for e in edges]) if edges else F.lit(0)
-        parts.append(F.when(x.isNull(), F.lit(-1)).otherwise(place))
-    return F.array(*parts)
 
+def partition_tree(points: DataFrame, size: int, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``points`` with their ``node``, and all nodes: ``node, parent, pattern, n, low, high, leaf``.
 
-def _boxes(vectors: DataFrame, size: int) -> DataFrame:
+    Splits are approximate quantiles of the coordinate with the widest range; where one value fills
+    nearly all of a node, its middle. A node whose points are all equal is a leaf.
+    """
     x = [F.get("vec", F.lit(i)) for i in range(size)]
-    return vectors.groupBy("cell").agg(
-        F.sum("n").alias("n"),
-        F.array(*[F.min(v) for v in x]).alias("low"),
-        F.array(*[F.max(v) for v in x]).alias("high"),
-    )
+    shares = [i / FAN for i in range(1, FAN)]
+    open_points = points.withColumn("pattern", _pattern(size)).withColumn("node", F.col("pattern").cast("string"))
+    open_points = cut(open_points.withColumn("parent", F.lit(None).cast("string")))
+    closed, nodes = [], []
+    while True:
+        seen = open_points.groupBy("node").agg(
+            F.first("parent").alias("parent"),
+            F.first("pattern").alias("pattern"),
+            F.count(F.lit(1)).alias("n"),
+            F.array(*[F.min(v) for v in x]).alias("low"),
+            F.array(*[F.max(v) for v in x]).alias("high"),
+            F.array(*[F.percentile_approx(v, shares, 1000) for v in x]).alias("at"),
+        )
+        spans = F.zip_with("high", "low", lambda h, lo: F.coalesce(h - lo, F.lit(0.0)))
+        seen = seen.withColumn("span", F.array_max(spans)).withColumn("axis", F.array_position(spans, F.array_max(spans)) - 1)
+        leaf = (F.col("n") <= leaf_rows) | (F.col("span") <= 0)
+        seen = cut(seen.withColumn("leaf", leaf))
+        nodes.append(seen.select("node", "parent", "pattern", "n", "low", "high", "leaf"))
+        lo, hi = F.get("low", F.col("axis").cast("int")), F.get("high", F.col("axis").cast("int"))
+        useful = F.array_distinct(F.filter(F.get("at", F.col("axis").cast("int")), lambda v: v < hi))
+        middle = lo + (hi - lo) / 2
+        cuts = F.when(F.size(useful) > 0, useful).otherwise(F.array(F.when(middle < hi, middle).otherwise(lo)))
+        known = small(seen.select(F.col("node").alias("of"), "leaf", "axis", cuts.alias("cuts")))
+        placed = open_points.join(known, F.col("node") == F.col("of")).drop("of")
+        closed.append(placed.where("leaf").drop("leaf", "axis", "cuts", "parent"))
+        if seen.where("not leaf").isEmpty():
+            break
+        here = F.get("vec", F.col("axis").cast("int"))
+        child = F.size(F.filter("cuts", lambda c: c < here)).cast("string")
+        below = placed.where("not leaf").withColumn("parent", F.col("node")).withColumn("node", F.concat_ws("/", "node", child))
+        open_points = cut(below.drop("leaf", "axis", "cuts"))
+    return cut(reduce(DataFrame.unionByName, closed)), cut(reduce(DataFrame.unionByName, nodes))
 
 
-def _bounds(low: Column, high: Column, donor: Column, size: int, total: int) -> tuple[Column, Column]:
-    """Smallest and largest squared distance between a query box and a donor box."""
+def _bounds(size: int, total: int) -> tuple[Column, Column]:
+    """Smallest and largest squared distance between the boxes (low, high) and (d_low, d_high)."""
     near, far, present = [], [], []
     for i in range(size):
         at = F.lit(i)
-        ql, qh = F.get(low, at), F.get(high, at)
-        dl, dh = F.get(donor["low"], at), F.get(donor["high"], at)
+        ql, qh, dl, dh = (F.get(c, at) for c in ("low", "high", "d_low", "d_high"))
         gap = F.greatest(F.lit(0.0), dl - qh, ql - dh)
         span = F.greatest(qh - dl, dh - ql)
         both = ql.isNotNull() & dl.isNotNull()
@@ -75,80 +103,182 @@ def _bounds(low: Column, high: Column, donor: Column, size: int, total: int) ->
     return F.when(some > 0, _sum(near) * scale), F.when(some > 0, _sum(far) * scale)
 
 
-def knn_impute(df: DataFrame, key: str, col: str, features: list[str], k: int, out: str, cells: int | None = None) -> DataFrame:
+def _met(blocks: DataFrame, nodes: DataFrame, size: int, total: int) -> DataFrame:
+    """Bounds between query leaves and donor nodes; pairs without a common coordinate have none."""
+    near, far = _bounds(size, total)
+    both = blocks.join(nodes, "donor_node").withColumn("near", near).withColumn("far", far)
+    return both.where("far is not null").drop("low", "high")
+
+
+def _donor_nodes(tree: DataFrame) -> DataFrame:
+    return tree.select(
+        F.col("node").alias("donor_node"), F.col("parent").alias("donor_parent"), F.col("n").alias("d_n"),
+        F.col("low").alias("d_low"), F.col("high").alias("d_high"), F.col("leaf").alias("d_leaf"),
+    )
+
+
+def _roots(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every query leaf with the donors' roots: one per pattern of missing coordinates."""
+    names = [r[0] for r in nodes.where("donor_parent is null").select("donor_node").collect()]
+    roots = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    return blocks.withColumn("donor_node", F.explode(roots))
+
+
+def _home(blocks: DataFrame, nodes: DataFrame, size: int, total: int, k: int) -> DataFrame:
+    """Of every query leaf one donor leaf that is near and holds ``k`` rows, if there is one."""
+    children = small(nodes.drop("donor_parent").withColumn("up", F.col("donor_node")))
+    below = small(nodes.where("donor_parent is not null").select(F.col("donor_parent").alias("up"), F.col("donor_node").alias("down")))
+    at = _roots(blocks.select("block", "low", "high"), nodes)
+    ended = []
+    best = Window.partitionBy("block").orderBy("far", "near", "donor_node")
+    while True:
+        met = _met(at, children.drop("up"), size, total).where(F.col("d_n") >= k)
+        one = cut(met.withColumn("__r", F.row_number().over(best)).where("__r = 1").select("block", "donor_node", "d_leaf"))
+        ended.append(one.where("d_leaf").select("block", "donor_node"))
+        going = one.where("not d_leaf").withColumnRenamed("donor_node", "up")
+        if going.isEmpty():
+            return reduce(DataFrame.unionByName, ended)
+        at = going.join(below, "up").select("block", F.col("down").alias("donor_node")).join(blocks.select("block", "low", "high"), "block")
+
+
+def _reach(blocks: DataFrame, nodes: DataFrame, size: int, total: int, k: int) -> DataFrame:
+    """``(block, donor_node)`` of all donor leaves that can hold a neighbour of a query leaf's rows.
+
+    ``blocks`` has the distance ``bound`` known so far (null: none). Going down, the largest distance to
+    nodes that together hold ``k`` rows is a bound as well.
+    """
+    below = small(nodes.where("donor_parent is not null").select(F.col("donor_parent").alias("up"), F.col("donor_node").alias("down")))
+    known = small(nodes.drop("donor_parent"))
+    at = _roots(blocks, nodes)
+    while True:
+        met = _met(at, known, size, total)
+        upto = Window.partitionBy("block").orderBy("far").rowsBetween(Window.unboundedPreceding, 0)
+        enough = F.min(F.when(F.col("upto") >= k, F.col("far"))).over(Window.partitionBy("block"))
+        met = met.withColumn("upto", F.sum("d_n").over(upto)).withColumn("enough", enough)
+        # the margin covers rounding in the bounds; least() passes over nulls
+        radius = F.coalesce(F.least("bound", "enough"), F.lit(float("inf"))) * (1 + 1e-9) + 1e-12
+        kept = cut(met.where(F.col("near") <= radius).select("block", "bound", "donor_node", "d_leaf"))
+        leaves = kept.where("d_leaf").select("block", "bound", "donor_node")
+        going = kept.where("not d_leaf").withColumnRenamed("donor_node", "up")
+        if going.isEmpty():
+            return leaves.drop("bound")
+        # leaves met on the way stay, their rows count for the next bound
+        down = going.join(below, "up").select("block", "bound", F.col("down").alias("donor_node"))
+        at = down.unionByName(leaves).join(blocks.select("block", "low", "high"), "block")
+
+
+def _packed(points: DataFrame, donors: bool) -> DataFrame:
+    """One row per leaf: its points side by side (a missing coordinate as NaN), donors by key."""
+    x = F.transform("vec", lambda v: F.coalesce(v, F.lit(float("nan"))))
+    if not donors:
+        rows = F.array_sort(F.collect_list(F.struct(x.alias("x"))))
+        return points.groupBy("node").agg(F.first("pattern").alias("pattern"), rows.alias("r")).select(
+            F.col("node").alias("block"), "pattern", F.flatten("r.x").alias("x")
+        )
+    rows = F.array_sort(F.collect_list(F.struct("key", "value", x.alias("x"))))
+    return points.groupBy("node").agg(F.first("pattern").alias("d_pattern"), rows.alias("r")).select(
+        F.col("node").alias("donor_node"), "d_pattern", F.col("r.key").alias("keys"), F.col("r.value").alias("given"),
+        F.flatten("r.x").alias("d_x"),
+    )
+
+
+def _compare(pairs: DataFrame, size: int, total: int, k: int, key_type: str) -> DataFrame:
+    """``(block, place, distance, key, value)``: of every pair of leaves the ``k`` nearest donors of every query
+    within its bound ``limits`` (null: none)."""
+
+    def search(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                common = row["pattern"].as_py() & row["d_pattern"].as_py()
+                axes = [a for a in range(size) if common >> a & 1]
+                a = row["x"].values.to_numpy(zero_copy_only=False).reshape(-1, size)
+                b = row["d_x"].values.to_numpy(zero_copy_only=False).reshape(-1, size)
+                limits = row["limits"].values
+                limit = np.full(len(a), np.inf) if limits is None else limits.to_numpy(zero_copy_only=False).astype(float)
+                limit = np.where(np.isnan(limit), np.inf, limit)
+                for start in range(0, len(a), _QUERIES_AT_ONCE):
+                    part = a[start : start + _QUERIES_AT_ONCE]
+                    summed = np.zeros((len(part), len(b)))
+                    for axis in axes:
+                        summed += (part[:, axis, None] - b[None, :, axis]) ** 2
+                    distance = summed * total / len(axes)
+                    most = limit[start : start + len(part)]
+                    if len(b) > k:
+                        most = np.minimum(most, np.partition(distance, k - 1, axis=1)[:, k - 1])
+                    at, donor = np.nonzero(distance <= most[:, None])
+                    order = np.lexsort((donor, distance[at, donor], at))  # donors are in the order of their keys
+                    at, donor = at[order], donor[order]
+                    first = np.searchsorted(at, at)
+                    near = np.arange(len(at)) - first < k
+                    at, donor = at[near], donor[near]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([row["block"].as_py()] * len(at)), pa.array(at + start, pa.int32()),
+                                pa.array(distance[at, donor]), row["keys"].values.take(pa.array(donor)), row["given"].values.take(pa.array(donor)),
+                            ],
+                            names=["block", "place", "distance", "key", "value"],
+                        )
+
+    schema = f"block string, place int, distance double, key {key_type}, value double"
+    columns = pairs.select("block", "pattern", "x", "limits", "d_pattern", "keys", "given", "d_x")
+    # a row is two leaves: few of them at a time
+    return columns.mapInArrow(search, schema)
+
+
+def _nearest(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of every query, ties by key."""
+    listed = F.slice(F.array_sort(F.collect_list(F.struct("distance", "key", "value"))), 1, k)
+    return found.groupBy("block", "place").agg(listed.alias("near"))
+
+
+def knn_impute(df: DataFrame, key: str, col: str, features: list[str], k: int, out: str, leaf_rows: int | None = None) -> DataFrame:
     """Add ``out``: the value of ``col``, or the mean over its ``k`` nearest holders (ties by key).
 
     Rows with the same features share one search. Of donors with the same features only the
-    ``k`` smallest keys are kept, because no other one can be among the ``k`` nearest. The number
-    of cells follows the donors unless it is given.
+    ``k`` smallest keys are kept, because no other one can be among the ``k`` nearest.
     """
     size, total = len(features), len(features) + 1
+    leaf_rows = leaf_rows or max(64, LEAF_BYTES // (8 * (size + 4)))
     rows = df.withColumn("__vec", _vector(features))
     holds = F.col(q(col)).isNotNull()
     all_donors = rows.where(holds).select(
         F.col("__vec").alias("vec"), F.col(q(key)).alias("key"), F.col(q(col)).cast("double").alias("value")
     )
-    per_vector = Window.partitionBy("vec").orderBy("key")
-    donors = all_donors.withColumn("__r", F.row_number().over(per_vector)).where(F.col("__r") <= k).drop("__r")
-    donors = cut(donors)
-    queries = rows.where(~holds).select(F.col("__vec").alias("vec")).distinct()
-
-    # about the same number of bins for every coordinate, together at most MAX_CELLS cells
-    wanted = min(cells or max(16, donors.count() // DONORS_PER_CELL), MAX_CELLS)
-    bins = max(2, int(round(wanted ** (1.0 / size))))
-    binned = min(size, next(m for m in range(size, 0, -1) if m == 1 or (bins + 1) ** m <= MAX_CELLS * 2))
-    asked = [i / bins for i in range(1, bins)]
-    edges = donors.agg(
-        *[F.percentile_approx(F.get("vec", F.lit(i)), asked, 2000).alias(f"e{i}") for i in range(binned)]
-    ).first()
-    splits = [sorted(set(edges[f"e{i}"] or [])) for i in range(binned)] + [[] for _ in range(size - binned)]
-    donors = donors.withColumn("cell", _cell(F.col("vec"), splits))
-    queries = cut(queries.withColumn("cell", _cell(F.col("vec"), splits)))
-
-    # at most one entry per donor cell, so this list is bounded by the grid
-    grid = _boxes(donors.withColumn("n", F.lit(1)), size).agg(F.collect_list(F.struct("cell", "n", "low", "high")).alias("g"))
-    query_cells = _boxes(queries.withColumn("n", F.lit(1)), size)
-
-    def bounded(d: Column) -> Column:
-        near, far = _bounds(F.col("low"), F.col("high"), d, size, total)
-        return F.struct(far.alias("far"), near.alias("near"), d["n"].alias("n"), d["cell"].alias("cell"))
-
-    boxes = query_cells.withColumn("g", grid.scalar()).select(
-        "cell", F.array_sort(F.filter(F.transform("g", bounded), lambda d: d["far"].isNotNull())).alias("g")
-    )
-    # the far bound at which k donors are certain; none if there are fewer than k
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(float("inf")).alias("radius"))
-    radius = F.aggregate(
-        "g",
-        start,
-        lambda acc, d: F.struct(
-            (acc["n"] + d["n"]).alias("n"),
-            F.when((acc["n"] < k) & (acc["n"] + d["n"] >= k), d["far"]).otherwise(acc["radius"]).alias("radius"),
-        ),
-        lambda acc: acc["radius"],
-    )
-    # the margin covers rounding in the bounds
-    reach = (
-        boxes.withColumn("radius", radius * (1 + 1e-9) + 1e-12)
-        .select("cell", F.explode(F.expr("filter(g, d -> d.near <= radius)")).alias("d"))
-        .select("cell", F.col("d.cell").alias("donor_cell"))
-    )
-    candidates = (
-        queries.join(reach, "cell")
-        .select(F.col("vec").alias("query"), "donor_cell")
-        .join(donors.withColumnRenamed("cell", "donor_cell"), "donor_cell")
-        .withColumn("distance", squared_distance(F.col("query"), F.col("vec"), size, total))
-        .where("distance is not null")
+    key_type = dict(all_donors.dtypes)["key"]
+    # a vector that many donors share is reduced in shares first
+    donors = all_donors.withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS)))
+    for part in (["vec", "salt"], ["vec"]):
+        first = Window.partitionBy(*part).orderBy("key")
+        donors = donors.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k).drop("__r")
+    donors, donor_tree = partition_tree(donors.drop("salt"), size, leaf_rows)
+    queries, query_tree = partition_tree(rows.where(~holds).select(F.col("__vec").alias("vec")).distinct(), size, leaf_rows)
+    nodes = cut(_donor_nodes(donor_tree))
+    blocks = cut(query_tree.where("leaf").select(F.col("node").alias("block"), "low", "high"))
+    leaves, packed = cut(_packed(donors, True)), cut(_packed(queries, False))
+    unlimited = F.lit(None).cast("array<double>")
+
+    home = packed.join(_home(blocks, nodes, size, total, k), "block").join(leaves, "donor_node").withColumn("limits", unlimited)
+    near = cut(_nearest(_compare(home, size, total, k, key_type), k))
+    # the k-th distance of every query bounds its search, the largest one that of its leaf
+    kth = F.when(F.size("near") == k, F.element_at("near", -1)["distance"])
+    limits = near.groupBy("block").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", kth.alias("d")))), lambda r: r["d"]).alias("limits"),
+        F.when(F.count(kth) == F.count(F.lit(1)), F.max(kth)).alias("bound"),
     )
-    nearest = Window.partitionBy("query").orderBy("distance", "key")
-    found = (
-        candidates.withColumn("__r", F.row_number().over(nearest))
-        .where(F.col("__r") <= k)
-        .groupBy(F.col("query").alias("__vec"))
-        .agg(F.avg("value").alias("__mean"))
+    limits = cut(limits)
+    reach = _reach(blocks.join(limits.select("block", "bound"), "block", "left"), nodes, size, total, k)
+    pairs = packed.join(limits.select("block", "limits"), "block", "left").join(reach, "block").join(leaves, "donor_node")
+    found = _nearest(_compare(pairs, size, total, k, key_type), k)
+    mean = F.aggregate("near", F.lit(0.0), lambda s, r: s + r["value"]) / F.size("near")
+    vectors = packed.select("block", F.posexplode(F.sequence(F.lit(0), F.size("x") - 1, F.lit(size))).alias("place", "at"), "x")
+    vectors = vectors.select(
+        "block", "place", F.transform(F.slice("x", F.col("at") + 1, size), lambda v: F.when(~F.isnan(v), v)).alias("__vec")
     )
+    means = vectors.join(found.select("block", "place", mean.alias("__mean")), ["block", "place"]).select("__vec", "__mean")
     overall = all_donors.agg(F.avg("value")).scalar()
-    missing = match(rows.where(~holds), measured(found), ["__vec"], "left").withColumn(out, F.coalesce("__mean", overall))
+    missing = match(rows.where(~holds), measured(means), ["__vec"], "left").withColumn(out, F.coalesce("__mean", overall))
     known = rows.where(holds).withColumn(out, F.col(q(col)).cast("double"))
     columns = [F.col(q(c)) for c in df.columns] + [F.col(out)]
     return known.select(*columns).unionByName(missing.select(*columns))

@@ -151,3 +151,38 @@ def nearest_neighbour_imputation(spark, sf) -> DataFrame:
         F.length("p_name").cast("double").alias("b"),
     )
     return missing.knn_impute(rows, "p_partkey", "p_size", ["a", "b"], 5).select("p_partkey", r6("p_size_knn"))
+
+
+_AROUND = ["o_custkey", "c_nationkey", "c_acctbal", "year", "month", "day"]
+
+
+@query(f"""
+WITH rows AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS o_totalprice, o_custkey::DOUBLE AS o_custkey, c_nationkey::DOUBLE AS c_nationkey,
+    CASE WHEN o_orderkey % 7 <> 0 THEN c_acctbal END AS c_acctbal, year(o_orderdate)::DOUBLE AS year,
+    CASE WHEN o_orderkey % 17 <> 0 THEN month(o_orderdate)::DOUBLE END AS month, day(o_orderdate)::DOUBLE AS day
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+donors AS (SELECT * FROM rows WHERE o_totalprice IS NOT NULL),
+apart AS (
+  SELECT q.o_orderkey, d.o_orderkey AS donor, d.o_totalprice, ({' + '.join(f"coalesce((q.{c} - d.{c}) * (q.{c} - d.{c}), 0.0)" for c in _AROUND)}) * 7
+      / ({' + '.join(f"CASE WHEN (q.{c} - d.{c}) IS NULL THEN 0 ELSE 1 END" for c in _AROUND)}) AS distance
+  FROM (SELECT * FROM rows WHERE o_totalprice IS NULL) q, donors d),
+near AS (SELECT o_orderkey, unnest(min(row(distance, donor, o_totalprice), 5)) AS n FROM apart GROUP BY 1)
+SELECT o_orderkey, round(avg(n[3]), 4) AS o_totalprice_knn FROM near GROUP BY 1
+UNION ALL SELECT o_orderkey, round(o_totalprice, 4) FROM donors
+""")
+def neighbours_in_all_numbers(spark, sf) -> DataFrame:
+    """Prices from the five orders nearest in all six other numbers, some of which are missing."""
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = orders.select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 13 != 0, F.col("o_totalprice")).alias("o_totalprice"),
+        "o_custkey",
+        "c_nationkey",
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("c_acctbal")).alias("c_acctbal"),
+        F.year("o_orderdate").alias("year"),
+        F.when(F.col("o_orderkey") % 17 != 0, F.month("o_orderdate")).alias("month"),
+        F.dayofmonth("o_orderdate").alias("day"),
+    )
+    found = missing.knn_impute(rows, "o_orderkey", "o_totalprice", _AROUND, 5)
+    return found.select("o_orderkey", F.round("o_totalprice_knn", 4).alias("o_totalprice_knn"))

@@ -397,13 +397,6 @@ def test_unknown_model_kind(training):
         models.train_and_evaluate(training, training, ["a", "b", "c"], "svm")
 
 
-def test_boosted_prediction_equals_the_class_with_the_largest_margin(training):
-    model = models.train_boosted(training, trees=3, depth=2)
-    ours = models.predict(model, training).select("id", "prediction")
-    theirs = model.transform(training).select("id", "prediction")
-    assert ours.exceptAll(theirs).isEmpty() and ours.count() == 600
-
-
 def test_importances_hide_text_features(spark, training):
     model = models.train_forest(training, trees=3, depth=3)
     table = models.importance_table(spark, model, ["num__a", "num__b"])

@@ -114,9 +114,9 @@ def brute_knn(rows, size, k):
     return out
 
 
-@pytest.mark.parametrize("cells", [None, 1, 8, 64, 512])
+@pytest.mark.parametrize("leaf_rows", [None, 1, 8, 64])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_nearest_neighbours_against_all_pairs(spark, cells, seed):
+def test_nearest_neighbours_against_all_pairs(spark, leaf_rows, seed):
     rng = random.Random(seed)
 
     def feature(spread):
@@ -129,7 +129,7 @@ def test_nearest_neighbours_against_all_pairs(spark, cells, seed):
     ]
     rows.append((9999, None, None, None, None))
     df = spark.createDataFrame(rows, "id long, v double, a double, b double, c double")
-    got = {r["id"]: r["f"] for r in neighbours.knn_impute(df, "id", "v", ["a", "b", "c"], 5, "f", cells).collect()}
+    got = {r["id"]: r["f"] for r in neighbours.knn_impute(df, "id", "v", ["a", "b", "c"], 5, "f", leaf_rows).collect()}
     want = brute_knn(rows, 3, 5)
     assert got.keys() == want.keys()
     for key in want:
