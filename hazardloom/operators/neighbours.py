@@ -1,15 +1,16 @@
 """Exact k-nearest-neighbour imputation by a k-d partition tree.
 
 Rows without a value look for the nearest rows that hold one. Pairing every such row with every
-donor is quadratic, so donors and queries are cut into leaves first: every node with too many rows is
-split at the quantiles of its widest coordinate, level by level, until a leaf's rows fit ``LEAF_BYTES``. Rows
-with the same missing coordinates have a tree of their own, as distances to them are scaled alike.
-
-Every query leaf first meets the one donor leaf that surely is near. That bounds how far its
-neighbours can be; with this bound it goes down the donors' tree, nodes before their children, and
-leaves out each node whose box lies beyond. Leaves that are left are compared in full,
-so the answer is the one a full comparison gives. Both trees are tables: nothing here grows with the data
-outside of them, and no task holds more than two leaves at a time.
+donor is quadratic, so donors and queries are cut into the leaves of one tree first: every node with too many
+rows is split at the quantiles of its widest coordinate, level by level, until a leaf's rows fit
+``LEAF_BYTES``. Rows with the same missing coordinates have a root of their own, as distances to them
+are scaled alike.
+
+The queries of a leaf first meet the donors of the same leaf. That bounds how far their neighbours can
+be; with this bound they go down the tree, nodes before their children, and leave out each node whose
+box lies beyond. Leaves that are left are compared in full, so the answer is the one a full comparison
+gives. The tree is a table: nothing here grows with the data outside of tables, and a task holds two
+leaves at a time.
 """
 
 from __future__ import annotations
@@ -45,45 +46,50 @@ def _pattern(size: int) -> Column:
     return _sum([F.when(F.get("vec", F.lit(i)).isNotNull(), 1 << i).otherwise(0) for i in range(size)])
 
 
-def partition_tree(points: DataFrame, size: int, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
-    """``points`` with their ``node``, and all nodes: ``node, parent, pattern, n, low, high, leaf``.
+def partition_tree(points: DataFrame, size: int, leaf_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """``points`` (with ``asks``: a query) with their ``node``, all nodes, and the number of levels.
 
-    Splits are approximate quantiles of the coordinate with the widest range; where one value fills
-    nearly all of a node, its middle. A node whose points are all equal is a leaf.
+    Nodes have ``node, parent, leaf`` and count and box of their donors (``d_n, d_low, d_high``) and of their queries
+    (``low, high``). Splits are approximate quantiles of the coordinate with the widest range; where one value
+    fills nearly all of a node, its middle. A node whose points are all equal is a leaf.
     """
     x = [F.get("vec", F.lit(i)) for i in range(size)]
     shares = [i / FAN for i in range(1, FAN)]
-    open_points = points.withColumn("pattern", _pattern(size)).withColumn("node", F.col("pattern").cast("string"))
-    open_points = cut(open_points.withColumn("parent", F.lit(None).cast("string")))
+    open_points = points.withColumn("pattern", _pattern(size))
+    open_points = cut(open_points.withColumn("node", F.col("pattern").cast("string")).withColumn("parent", F.lit(None).cast("string")))
     closed, nodes = [], []
     while True:
+        asked, given = [[F.when(c, v) for v in x] for c in (F.col("asks"), ~F.col("asks"))]
         seen = open_points.groupBy("node").agg(
             F.first("parent").alias("parent"),
-            F.first("pattern").alias("pattern"),
-            F.count(F.lit(1)).alias("n"),
-            F.array(*[F.min(v) for v in x]).alias("low"),
-            F.array(*[F.max(v) for v in x]).alias("high"),
+            F.count_if("asks").alias("q_n"),
+            F.count_if(~F.col("asks")).alias("d_n"),
+            F.array(*[F.min(v) for v in asked]).alias("low"),
+            F.array(*[F.max(v) for v in asked]).alias("high"),
+            F.array(*[F.min(v) for v in given]).alias("d_low"),
+            F.array(*[F.max(v) for v in given]).alias("d_high"),
             F.array(*[F.percentile_approx(v, shares, 1000) for v in x]).alias("at"),
         )
-        spans = F.zip_with("high", "low", lambda h, lo: F.coalesce(h - lo, F.lit(0.0)))
-        seen = seen.withColumn("span", F.array_max(spans)).withColumn("axis", F.array_position(spans, F.array_max(spans)) - 1)
-        leaf = (F.col("n") <= leaf_rows) | (F.col("span") <= 0)
-        seen = cut(seen.withColumn("leaf", leaf))
-        nodes.append(seen.select("node", "parent", "pattern", "n", "low", "high", "leaf"))
-        lo, hi = F.get("low", F.col("axis").cast("int")), F.get("high", F.col("axis").cast("int"))
-        useful = F.array_distinct(F.filter(F.get("at", F.col("axis").cast("int")), lambda v: v < hi))
+        bottom = F.zip_with("low", "d_low", lambda a, b: F.least(a, b))
+        top = F.zip_with("high", "d_high", lambda a, b: F.greatest(a, b))
+        spans = F.zip_with(top, bottom, lambda h, lo: F.coalesce(h - lo, F.lit(0.0)))
+        seen = seen.withColumn("axis", (F.array_position(spans, F.array_max(spans)) - 1).cast("int"))
+        leaf = (F.greatest("q_n", "d_n") <= leaf_rows) | (F.array_max(spans) <= 0)
+        lo, hi = F.get(bottom, F.col("axis")), F.get(top, F.col("axis"))
+        useful = F.array_distinct(F.filter(F.get("at", F.col("axis")), lambda v: v < hi))
         middle = lo + (hi - lo) / 2
         cuts = F.when(F.size(useful) > 0, useful).otherwise(F.array(F.when(middle < hi, middle).otherwise(lo)))
-        known = small(seen.select(F.col("node").alias("of"), "leaf", "axis", cuts.alias("cuts")))
+        seen = cut(seen.withColumn("leaf", leaf).withColumn("cuts", cuts).drop("at", "q_n"))
+        nodes.append(seen.drop("axis", "cuts"))
+        known = small(seen.select(F.col("node").alias("of"), "leaf", "axis", "cuts"))
         placed = open_points.join(known, F.col("node") == F.col("of")).drop("of")
         closed.append(placed.where("leaf").drop("leaf", "axis", "cuts", "parent"))
         if seen.where("not leaf").isEmpty():
-            break
-        here = F.get("vec", F.col("axis").cast("int"))
+            return reduce(DataFrame.unionByName, closed), reduce(DataFrame.unionByName, nodes), len(nodes)
+        here = F.get("vec", F.col("axis"))
         child = F.size(F.filter("cuts", lambda c: c < here)).cast("string")
         below = placed.where("not leaf").withColumn("parent", F.col("node")).withColumn("node", F.concat_ws("/", "node", child))
         open_points = cut(below.drop("leaf", "axis", "cuts"))
-    return cut(reduce(DataFrame.unionByName, closed)), cut(reduce(DataFrame.unionByName, nodes))
 
 
 def _bounds(size: int, total: int) -> tuple[Column, Column]:
@@ -103,68 +109,31 @@ def _bounds(size: int, total: int) -> tuple[Column, Column]:
     return F.when(some > 0, _sum(near) * scale), F.when(some > 0, _sum(far) * scale)
 
 
-def _met(blocks: DataFrame, nodes: DataFrame, size: int, total: int) -> DataFrame:
-    """Bounds between query leaves and donor nodes; pairs without a common coordinate have none."""
-    near, far = _bounds(size, total)
-    both = blocks.join(nodes, "donor_node").withColumn("near", near).withColumn("far", far)
-    return both.where("far is not null").drop("low", "high")
-
-
-def _donor_nodes(tree: DataFrame) -> DataFrame:
-    return tree.select(
-        F.col("node").alias("donor_node"), F.col("parent").alias("donor_parent"), F.col("n").alias("d_n"),
-        F.col("low").alias("d_low"), F.col("high").alias("d_high"), F.col("leaf").alias("d_leaf"),
-    )
-
-
-def _roots(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Every query leaf with the donors' roots: one per pattern of missing coordinates."""
-    names = [r[0] for r in nodes.where("donor_parent is null").select("donor_node").collect()]
-    roots = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    return blocks.withColumn("donor_node", F.explode(roots))
-
-
-def _home(blocks: DataFrame, nodes: DataFrame, size: int, total: int, k: int) -> DataFrame:
-    """Of every query leaf one donor leaf that is near and holds ``k`` rows, if there is one."""
-    children = small(nodes.drop("donor_parent").withColumn("up", F.col("donor_node")))
-    below = small(nodes.where("donor_parent is not null").select(F.col("donor_parent").alias("up"), F.col("donor_node").alias("down")))
-    at = _roots(blocks.select("block", "low", "high"), nodes)
-    ended = []
-    best = Window.partitionBy("block").orderBy("far", "near", "donor_node")
-    while True:
-        met = _met(at, children.drop("up"), size, total).where(F.col("d_n") >= k)
-        one = cut(met.withColumn("__r", F.row_number().over(best)).where("__r = 1").select("block", "donor_node", "d_leaf"))
-        ended.append(one.where("d_leaf").select("block", "donor_node"))
-        going = one.where("not d_leaf").withColumnRenamed("donor_node", "up")
-        if going.isEmpty():
-            return reduce(DataFrame.unionByName, ended)
-        at = going.join(below, "up").select("block", F.col("down").alias("donor_node")).join(blocks.select("block", "low", "high"), "block")
-
-
-def _reach(blocks: DataFrame, nodes: DataFrame, size: int, total: int, k: int) -> DataFrame:
-    """``(block, donor_node)`` of all donor leaves that can hold a neighbour of a query leaf's rows.
+def _reach(blocks: DataFrame, nodes: DataFrame, levels: int, size: int, total: int, k: int) -> DataFrame:
+    """``(block, donor_node)`` of all donor leaves that can hold a neighbour of a leaf's queries.
 
     ``blocks`` has the distance ``bound`` known so far (null: none). Going down, the largest distance to
-    nodes that together hold ``k`` rows is a bound as well.
+    nodes that together hold ``k`` rows is a bound as well. Leaves met on the way stay: their rows count.
     """
-    below = small(nodes.where("donor_parent is not null").select(F.col("donor_parent").alias("up"), F.col("donor_node").alias("down")))
-    known = small(nodes.drop("donor_parent"))
-    at = _roots(blocks, nodes)
-    while True:
-        met = _met(at, known, size, total)
-        upto = Window.partitionBy("block").orderBy("far").rowsBetween(Window.unboundedPreceding, 0)
+    donors = nodes.where("d_n > 0").select(F.col("node").alias("donor_node"), "parent", "leaf", "d_n", "d_low", "d_high")
+    boxes, known = small(blocks), small(donors)
+    names = [r[0] for r in donors.where("parent is null").select("donor_node").collect()]  # one per pattern
+    roots = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    at = blocks.select("block", F.explode(roots).alias("donor_node"))
+    upto = Window.partitionBy("block").orderBy("far").rowsBetween(Window.unboundedPreceding, 0)
+    near, far = _bounds(size, total)
+    for level in range(levels):
+        met = at.join(boxes, "block").join(known.drop("parent"), "donor_node").withColumn("near", near).withColumn("far", far)
+        met = met.where("far is not null").withColumn("upto", F.sum("d_n").over(upto))
         enough = F.min(F.when(F.col("upto") >= k, F.col("far"))).over(Window.partitionBy("block"))
-        met = met.withColumn("upto", F.sum("d_n").over(upto)).withColumn("enough", enough)
         # the margin covers rounding in the bounds; least() passes over nulls
-        radius = F.coalesce(F.least("bound", "enough"), F.lit(float("inf"))) * (1 + 1e-9) + 1e-12
-        kept = cut(met.where(F.col("near") <= radius).select("block", "bound", "donor_node", "d_leaf"))
-        leaves = kept.where("d_leaf").select("block", "bound", "donor_node")
-        going = kept.where("not d_leaf").withColumnRenamed("donor_node", "up")
-        if going.isEmpty():
-            return leaves.drop("bound")
-        # leaves met on the way stay, their rows count for the next bound
-        down = going.join(below, "up").select("block", "bound", F.col("down").alias("donor_node"))
-        at = down.unionByName(leaves).join(blocks.select("block", "low", "high"), "block")
+        radius = F.coalesce(F.least("bound", enough), F.lit(float("inf"))) * (1 + 1e-9) + 1e-12
+        kept = met.withColumn("radius", radius).where("near <= radius").select("block", "donor_node", "leaf")
+        if level + 1 < levels:
+            below = known.select(F.col("parent").alias("up"), F.col("donor_node").alias("down")).where("up is not null")
+            down = kept.where("not leaf").withColumnRenamed("donor_node", "up").join(below, "up")
+            at = kept.where("leaf").drop("leaf").unionByName(down.select("block", F.col("down").alias("donor_node")))
+    return kept.drop("leaf")
 
 
 def _packed(points: DataFrame, donors: bool) -> DataFrame:
@@ -252,15 +221,15 @@ def knn_impute(df: DataFrame, key: str, col: str, features: list[str], k: int, o
     for part in (["vec", "salt"], ["vec"]):
         first = Window.partitionBy(*part).orderBy("key")
         donors = donors.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k).drop("__r")
-    donors, donor_tree = partition_tree(donors.drop("salt"), size, leaf_rows)
-    queries, query_tree = partition_tree(rows.where(~holds).select(F.col("__vec").alias("vec")).distinct(), size, leaf_rows)
-    nodes = cut(_donor_nodes(donor_tree))
-    blocks = cut(query_tree.where("leaf").select(F.col("node").alias("block"), "low", "high"))
-    leaves, packed = cut(_packed(donors, True)), cut(_packed(queries, False))
-    unlimited = F.lit(None).cast("array<double>")
-
-    home = packed.join(_home(blocks, nodes, size, total, k), "block").join(leaves, "donor_node").withColumn("limits", unlimited)
-    near = cut(_nearest(_compare(home, size, total, k, key_type), k))
+    queries = rows.where(~holds).select(F.col("__vec").alias("vec")).distinct()
+    points = donors.drop("salt").withColumn("asks", F.lit(False)).unionByName(
+        queries.withColumn("asks", F.lit(True)), allowMissingColumns=True
+    )
+    points, nodes, levels = partition_tree(points, size, leaf_rows)
+    leaves, packed = cut(_packed(points.where("not asks"), True)), cut(_packed(points.where("asks"), False))
+
+    home = packed.join(leaves, F.col("block") == F.col("donor_node")).withColumn("limits", F.lit(None).cast("array<double>"))
+    near = _nearest(_compare(home, size, total, k, key_type), k)
     # the k-th distance of every query bounds its search, the largest one that of its leaf
     kth = F.when(F.size("near") == k, F.element_at("near", -1)["distance"])
     limits = near.groupBy("block").agg(
@@ -268,7 +237,9 @@ def knn_impute(df: DataFrame, key: str, col: str, features: list[str], k: int, o
         F.when(F.count(kth) == F.count(F.lit(1)), F.max(kth)).alias("bound"),
     )
     limits = cut(limits)
-    reach = _reach(blocks.join(limits.select("block", "bound"), "block", "left"), nodes, size, total, k)
+    blocks = nodes.where("leaf").select(F.col("node").alias("block"), "low", "high").join(packed.select("block"), "block")
+    blocks = cut(blocks.join(limits.select("block", "bound"), "block", "left"))
+    reach = _reach(blocks, nodes, levels, size, total, k)
     pairs = packed.join(limits.select("block", "limits"), "block", "left").join(reach, "block").join(leaves, "donor_node")
     found = _nearest(_compare(pairs, size, total, k, key_type), k)
     mean = F.aggregate("near", F.lit(0.0), lambda s, r: s + r["value"]) / F.size("near")
