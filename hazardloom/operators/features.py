@@ -14,12 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
 from ..functions.values import safe_log1p, safe_sqrt
-from ..session import cut
 from .missing import impute_median_mode
 from .ordered import OrderedRows
 from .quantiles import value_counts
 from .schema import q, split_types
-from .sizing import small
+from .sizing import measured
 
 
 def categories(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
@@ -174,12 +173,12 @@ def stratified_split(
     df: DataFrame, label: str, key: list[str], ratio: float = 0.25, seed: int = 42, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Add ``is_test``: exactly ``round(ratio * n)`` rows of every class, chosen by hashed key."""
-    sizes = cut(df.groupBy(F.col(q(label)).alias("__l")).agg(F.count(F.lit(1)).alias("__n")))
-    total = sizes.agg(F.sum("__n")).first()[0] or 0
-    sizes = small(sizes.select("__l", F.round(F.col("__n") * ratio).alias("__take")))
     marked = df.withColumn("__mark", _mark(key, seed))
     order = ["__mark", *[F.col(q(k)) for k in key]]
-    placed = OrderedRows(marked, [label], order, rows_per_bucket, total).row_number("__rn").result()
+    scan = OrderedRows(marked, [label], order, rows_per_bucket)
+    counts = scan.stored.groupBy(F.col(q(label)).alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = measured(counts.select("__l", F.round(F.col("__n") * ratio).alias("__take")))
+    placed = scan.row_number("__rn").result()
     matched = placed.join(sizes, F.col(q(label)).eqNullSafe(F.col("__l")))
     return matched.withColumn("is_test", F.col("__rn") <= F.col("__take")).drop("__mark", "__rn", "__l", "__take")
 
@@ -192,11 +191,10 @@ def split(
         raise ValueError("ratio must be in [0, 1)")
     if ratio == 0:
         return df.withColumn("is_validation", F.lit(False))
-    total = df.count()
-    take = max(1, round(total * ratio))
     marked = df.withColumn("__mark", _mark(key, seed))
-    order = ["__mark", *[F.col(q(k)) for k in key]]
-    placed = OrderedRows(marked, [], order, rows_per_bucket, total).row_number("__rn").result()
+    scan = OrderedRows(marked, [], ["__mark", *[F.col(q(k)) for k in key]], rows_per_bucket)
+    take = max(1, round(scan.count * ratio))
+    placed = scan.row_number("__rn").result()
     return placed.withColumn("is_validation", F.col("__rn") <= take).drop("__mark", "__rn")
 
 

@@ -167,9 +167,8 @@ def interpolate(
     before the neighbours are known.
     """
     name = out or f"{col}_linear"
-    rows = OrderedRows(df, by, order, rows_per_bucket).row_number("__pos").result()
     point = F.when(F.col(q(col)).isNotNull(), F.struct(F.col("__pos").alias("pos"), F.col(q(col)).cast("double").alias("v")))
-    ordered = OrderedRows(rows.withColumn("__point", point), by, ["__pos"], rows_per_bucket)
+    ordered = OrderedRows(df, by, order, rows_per_bucket).row_number("__pos").then("__pos", "__point", point)
     known = ordered.previous("__point", "__before").following("__point", "__after").result()
     before, after = F.col("__before"), F.col("__after")
     gap = after["pos"] - before["pos"]

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut
 from .ordered import OrderedRows
-from .sizing import match, small
+from .sizing import match, measured
 
 A_LIMIT, B_LIMIT = 0.80, 0.90
 
@@ -25,13 +24,11 @@ def running_share(
 ) -> DataFrame:
     """``cumulative_score`` and ``cumulative_percentage`` from the highest score down."""
     by = list(by or [])
-    totals = cut(df.groupBy(*by).agg(F.sum(score).alias("__total"), F.count(F.lit(1)).alias("__n")))
-    rows = totals.agg(F.sum("__n")).first()[0] or 0
-    totals = totals.drop("__n")
-    ordered = OrderedRows(df, by, [-F.col(score), F.col(key)], rows_per_bucket, rows)
+    ordered = OrderedRows(df, by, [-F.col(score), F.col(key)], rows_per_bucket)
+    totals = ordered.stored.groupBy(*by).agg(F.sum(score).alias("__total"))
     running = ordered.running_sum(score, "cumulative_score").result()
     if by:
-        running = match(running, small(totals), by)
+        running = match(running, measured(totals), by)
     else:
         running = running.withColumn("__total", totals.scalar())
     return running.withColumn("cumulative_percentage", F.try_divide("cumulative_score", "__total")).drop("__total")

@@ -11,7 +11,7 @@ from ..functions.evidence import scenario_id
 from ..functions.values import plain_text
 from ..session import cut
 from .schema import q
-from .sizing import BROADCAST_ROWS, match
+from .sizing import match, small
 
 
 class Patterns(NamedTuple):
@@ -78,14 +78,12 @@ def _grow(
         sized = match(sums, totals, by) if by else sums.withColumn("n_all", totals.select("n_all").scalar())
         frequent = sized.where(F.col("n_items") / F.col("n_all") >= min_support)
         level = cut(match(counts, frequent, [*by, "itemset"]) if extra else frequent.withColumn("n", F.col("n_items")))
-        rows = level.count()
-        if rows == 0:
+        if level.isEmpty():
             break
         levels.append(level)
         if max_len is not None and len(levels) == max_len:
             break
-        known = level.select(*by, "itemset").distinct()
-        known = F.broadcast(known) if rows <= BROADCAST_ROWS else known
+        known = small(level.select(*by, "itemset").distinct())
         if len(levels) == 1:
             # an infrequent item cannot extend anything: rows go on with their frequent items only
             items = match(grown.select(*by, *extra, "__row", "w", "item", "itemset"), known, [*by, "itemset"], "left_semi")

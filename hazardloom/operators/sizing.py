@@ -4,28 +4,48 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import cut
 
-BROADCAST_ROWS = 100_000
+#: Most bytes of a broadcast table.
+BROADCAST_BYTES = 16 << 20
+_LEAST_ROW = 8
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``rows`` rows; beyond that the shuffle join stays.
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: texts and binaries as long as they are, nested values as their text."""
+    fixed, varying = 8 * len(df.columns), []
+    for field in df.schema.fields:
+        x = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            varying.append(F.octet_length(x))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            varying.append(F.octet_length(F.to_json(F.struct(x.alias("v")))))
+    return reduce(lambda a, b: a + F.coalesce(b, F.lit(0)), varying, F.lit(fixed))
 
-    Meant for materialized or directly read tables, where counting up to the limit is cheap.
+
+def fits(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a table's measured bytes are at most ``most``; stops reading where its rows alone exceed them."""
+    head = df.limit(most // _LEAST_ROW + 1)
+    return (head.agg(F.sum(row_bytes(head) + _LEAST_ROW)).first()[0] or 0) <= most
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if it measures at most ``most`` bytes; beyond that the shuffle join stays.
+
+    Meant for materialized or directly read tables, where measuring up to the limit is cheap.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if fits(df, most) else df
 
 
-def measured(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def measured(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """Store a table aggregated from the large side and broadcast it if it turned out small.
 
     Without the measurement both join sides start to shuffle at once, and the large side has
     crossed the network before the small one is known to fit.
     """
-    return small(cut(df), rows)
+    return small(cut(df), most)
 
 
 def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -50,31 +50,75 @@ def test_scans_match_a_plain_window(skewed, size):
 
 def test_hot_group_is_cut_into_many_buckets(skewed):
     scan = ordered.OrderedRows(skewed, ["g"], ["t", "id"], 100)
-    sizes = scan._base.where("g = 'hot'").groupBy("__b").count().collect()
+    sizes = scan._base.where("g = 'hot'").groupBy("__path").count().collect()
     assert len(sizes) >= 8
-    assert max(r["count"] for r in sizes) <= 400
+    assert max(r["count"] for r in sizes) <= 100
 
 
-def test_carry_has_fewer_rows_than_buckets(skewed):
+def test_carry_has_fewer_rows_than_leaves(skewed):
     scan = ordered.OrderedRows(skewed, ["g"], ["t", "id"], 100)
-    buckets = scan._base.select("__b").distinct().count()
-    assert scan._carry(F.count(F.lit(1)), F.sum, False).count() < buckets
+    leaves = scan._base.where("size(__path) > 0").select("__path").distinct().count()
+    assert 8 <= scan._carry(F.count(F.lit(1)), F.sum, False).count() < leaves
 
 
 def test_one_order_value_for_all_rows_is_still_cut(spark):
     rows = spark.range(2000).select(F.lit(1.0).alias("score"), "id")
     scan = ordered.OrderedRows(rows, [], [-F.col("score"), "id"], 100)
-    assert scan._base.select("__b").distinct().count() > 10
+    assert scan._base.select("__path").distinct().count() > 10
     got = scan.row_number("n").result()
     assert got.where("n <> id + 1").isEmpty()
 
 
-def test_bucket_search_over_several_levels(spark):
-    rows = spark.range(5000)
-    key = F.struct(F.col("id").alias("k0"))
-    cuts = [(i,) for i in range(10, 5000, 10)]
-    got = rows.select("id", ordered.bucket_of(key, cuts, "struct<k0:bigint>").alias("b"))
-    assert got.where("b <> id div 10").isEmpty()
+def test_rows_equal_in_every_key_are_dealt_out(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id").where("id <> 7")
+    scan = ordered.OrderedRows(rows, [], ["k"], 100)
+    sizes = [r["count"] for r in scan._base.groupBy("__path").count().collect()]
+    assert max(sizes) <= 100 and len(sizes) >= 30
+    got = scan.row_number("n").running_sum(F.lit(1), "s").result()
+    assert got.count() == got.select("n").distinct().count() == rows.count() and got.where("n <> s").isEmpty()
+    first = rows.where("k < 7").count()
+    hot = got.where("k = 7").agg(F.min("n"), F.max("n"), F.count("n")).first()
+    assert tuple(hot) == (first + 1, first + 1000, 1000)
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "date", "boolean", "decimal(20,3)", "binary", "bigint"])
+def test_keys_of_every_kind(spark, kind):
+    rng = random.Random(4)
+    if kind == "boolean":
+        values = [None, True, False]
+    elif kind in ("string", "binary"):
+        values = [None, "", "a", "ab", "abc", "ab\u00e9", "ab\U0001f600", "ab\uffee", "b", "common/prefix/x", "common/prefix/xy", "common/prefix/", "Z"]
+    elif kind == "date":
+        values = [None, *[f"20{rng.randrange(10, 25)}-0{rng.randrange(1, 9)}-11" for _ in range(60)]]
+    else:
+        values = [None, "0", "-1", "1000000000000", "-99999", *[str(rng.randrange(-50, 50)) for _ in range(40)]]
+    rows = [(i, rng.choice(values)) for i in range(1200)]
+    df = spark.createDataFrame(rows, f"id long, k {'boolean' if kind == 'boolean' else 'string'}").select("id", F.col("k").cast(kind).alias("k"))
+    got = ordered.OrderedRows(df, [], ["k", "id"], 40).row_number("n").result()
+    want = df.select("id", F.row_number().over(Window.orderBy("k", "id")).cast("long").alias("n"))
+    same(got.select("id", "n"), want)
+
+
+def test_input_is_run_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 1000, 1, 4).mapInArrow(seen, "id long")
+    assert ordered.OrderedRows(rows, [], ["id"], 50).row_number("n").result().count() == 1000
+    assert runs.value == 1000
+    line = rows.withColumn("v", F.when(F.col("id") % 7 == 0, F.col("id").cast("double")))
+    assert missing.interpolate(line, "v", ["id"], [], rows_per_bucket=100).count() == 1000
+    assert runs.value == 2000
+
+
+def test_leaf_size_follows_bytes_and_cores():
+    assert ordered.leaf_size(1000, 100.0, 8) == ordered.LEAST_BYTES // 100
+    assert ordered.leaf_size(10**12, 100.0, 8) == ordered.MOST_BYTES // 100
+    assert ordered.leaf_size(10**7, 100.0, 20) == 10**7 // 40
 
 
 def test_average_rank_and_competition_rank(spark):
