@@ -213,8 +213,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
-        self._t.encode_special_tokens = True
         spec = json.loads(self._t.to_str())
+        # texts that hold an added token's own text are left to the tokenizer
+        added = [re.escape(x["content"]) for x in spec.get("added_tokens") or [] if x["content"]]
+        self._added = re.compile("|".join(added)) if added else None
         pre = spec.get("pre_tokenizer") or {}
         self._by_run = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self._by_run = self._by_run and spec.get("normalizer") is None
@@ -265,7 +267,7 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if not self._by_run:
+        if not self._by_run or (self._added and self._added.search(text)):
             return np.frombuffer(self._ids(text), self._type)
         runs = self._cut.split(text) if self._odd(text) else text.split(" ")
         known, rest = self._runs, runs[1:]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import MAX_DOCS, MAX_LINE_CHARS, MIN_LEFT
+from .quality_rules import MAX_DOCS, MIN_LEFT
 from .shared import UPPER
 from .suffix_dedup import LEAST
 
@@ -26,7 +26,7 @@ own as (select r, x from line where regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
 dup as (select r, count(*) - count(distinct x) n_dup from own group by r),
 norm as (
     select r, len(lw) n, lower(array_to_string(lw, ' ')) y
-    from (select r, list_filter(regexp_split_to_array(x, '{_BLANKS}'), lambda v: v <> '') lw from own where length(x) <= {MAX_LINE_CHARS})
+    from (select r, list_filter(regexp_split_to_array(x, '{_BLANKS}'), lambda v: v <> '') lw from own)
 ),
 freq as (select source, y from norm join d using (r) group by source, y having count(distinct k) > {MAX_DOCS}),
 gone as (

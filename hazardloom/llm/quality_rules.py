@@ -23,8 +23,6 @@ from .shared import HAS_WORD, broadcast_if_small, let, shingle_hashes, stored, t
 
 MAX_DOCS, MIN_LEFT = 10, 0.3
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 10, 3
-#: Read by the SQL of ``oracles.py`` only, which leaves longer lines out; the operator has no limit.
-MAX_LINE_CHARS = 200
 
 
 def _text(text: str) -> Column:

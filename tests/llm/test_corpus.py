@@ -474,10 +474,9 @@ def test_token_files_equal_the_tokenizer(spark):
 
     path = queries.tokenizer_path()
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     texts = [
         "it's  two   blanks", " lead", "trail ", "a\n b", "a \nb\n\n c\td", "x\u00a0y z", "Élan déjà-vu, n'est-ce pas?!", "1234 56,7 8", "...! ?",
-        "<|endoftext|> a <|endoftext|>", "日本 語 text", "🙂 🙂🙂 a", "don't we'll I'M", "a\x1cb \x1c c", "é e\u0301 ñ", None, "", sentence(1, 3000), "A B\u2003C \u2003 D",
+        "<|endoftext|> a <|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>\n<|endoftext|", "日本 語 text", "🙂 🙂🙂 a", "don't we'll I'M", "a\x1cb \x1c c", "é e\u0301 ñ", None, "", sentence(1, 3000), "A B\u2003C \u2003 D",
     ]
     rows = [(i - 3, t) for i, t in enumerate(texts)] + [(None, "null key"), (4, "same key"), (4, "same key")]
     found = grammar.encode_and_read(docs_of(spark, rows), path, shard_tokens=500).collect()
