@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
 from ..functions.values import safe_log1p, safe_sqrt
+from ..session import cut
 from .missing import impute_median_mode
 from .ordered import OrderedRows
 from .quantiles import value_counts
 from .schema import q, split_types
-from .sizing import measured
+from .sizing import measured, small
 
 
 def categories(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
@@ -29,22 +30,51 @@ def categories(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
     return {c: sorted(values) for c, values in found.items()}
 
 
-def encode_categorical(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Indicator ``<col>_<value>`` per value and alphabetical code ``<col>_encoded`` ('nan' for null)."""
+def _written(c: str) -> Column:
+    """A value as text; a missing one is 'nan'."""
+    return F.coalesce(F.col(q(c)).cast("string"), F.lit("nan"))
+
+
+def dictionary(df: DataFrame, cols: list[str], rows_per_bucket: int | None = None) -> DataFrame:
+    """``(column, value, code)``: the distinct values of every column, numbered in alphabetical order.
+
+    Values are numbered in leaves of an ordered scan, so a column of any number of values stays a
+    table. 'nan' is there for columns with missing values.
+    """
+    each = F.array(*[F.struct(F.lit(c).alias("column"), _written(c).alias("value")) for c in cols])
+    distinct = df.select(F.inline(each)).distinct()
+    numbered = OrderedRows(distinct, ["column"], ["value"], rows_per_bucket).row_number("__rn").result()
+    return cut(numbered.select("column", "value", (F.col("__rn") - 1).cast("int").alias("code")))
+
+
+def encode_categorical(df: DataFrame, cols: list[str], columns: bool = True, rows_per_bucket: int | None = None) -> DataFrame:
+    """Alphabetical code ``<col>_encoded`` ('nan' for null) and indicators per value, none set for null.
+
+    Indicators are columns ``<col>_<value>``, whose names come to the driver, or for columns of many values
+    (``columns=False``) one sparse vector ``<col>_indicators`` with the slot of the value's code.
+    """
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    known = categories(df, cols)
-    gaps = df.agg(*[F.max(F.col(q(c)).isNull()).alias(f"g{i}") for i, c in enumerate(cols)]).first()
-    added: dict[str, Column] = {}
+    known = dictionary(df, cols, rows_per_bucket)
+    sizes = {r["column"]: r["n"] for r in known.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = df
     for i, c in enumerate(cols):
-        value = F.col(q(c)).cast("string")
-        for v in known[c]:
-            added[f"{c}_{v}"] = F.coalesce(value == v, F.lit(False))
-        classes = sorted(set(known[c]) | ({"nan"} if gaps[f"g{i}"] else set()))
-        code = F.array_position(F.array(*[F.lit(v) for v in classes]), F.coalesce(value, F.lit("nan")))
-        added[f"{c}_encoded"] = (code - 1).cast("int")
-    return df.withColumns(added)
+        own = small(known.where(F.col("column") == c).select(F.col("value").alias("__v"), F.col("code").alias(f"{c}_encoded")))
+        out = out.join(own, _written(c) == F.col("__v"), "left").drop("__v")
+        if columns or c not in sizes:
+            continue
+        slot = F.when(F.col(q(c)).isNull(), sizes[c]).otherwise(F.col(q(f"{c}_encoded"))).cast("double")
+        # the index behind the last value stands for a missing one and is dropped: no slot is set
+        encoder = OneHotEncoder(inputCol="__slot", outputCol=f"{c}_indicators", dropLast=True, handleInvalid="keep")
+        model = encoder.fit(df.sparkSession.createDataFrame([(float(sizes[c] - 1),)], "__slot double"))
+        out = model.transform(out.withColumn("__slot", slot)).drop("__slot")
+    if not columns:
+        return out
+    found = categories(df, cols)
+    flags = {f"{c}_{v}": F.coalesce(F.col(q(c)).cast("string") == v, F.lit(False)) for c in cols for v in found[c]}
+    codes = [F.col(q(f"{c}_encoded")) for c in cols]
+    return out.withColumns(flags).select(*[F.col(q(c)) for c in df.columns], *[F.col(q(n)) for n in flags], *codes)
 
 
 def numeric_features(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -28,6 +28,25 @@ def encoded_categories(spark, sf) -> DataFrame:
     return out.select("p_partkey", "p_type_ECONOMY", "p_type_PROMO", "p_type_encoded")
 
 
+@query("""
+WITH named AS (SELECT c_custkey, CASE WHEN c_custkey % 13 <> 0 THEN c_name END AS name FROM customer)
+SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY coalesce(name, 'nan')) - 1 AS INTEGER) AS code,
+  CASE WHEN name IS NOT NULL THEN dense_rank() OVER (ORDER BY coalesce(name, 'nan')) - 1 END AS slot,
+  (SELECT count(DISTINCT coalesce(name, 'nan')) FROM named) AS width FROM named
+""")
+def encoded_many_values(spark, sf) -> DataFrame:
+    """Codes and sparse indicators of a column with a value of its own in nearly every row."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 13 != 0, F.col("c_name")).alias("name"))
+    out = features.encode_categorical(rows, ["name"], columns=False)
+    # a sparse vector's text is (size,[slots],[values])
+    written = F.col("name_indicators").cast("string")
+    return out.select(
+        "c_custkey", F.col("name_encoded").alias("code"),
+        F.regexp_extract(written, r"\[(\d+)\],\[1.0\]", 1).try_cast("bigint").alias("slot"),
+        F.regexp_extract(written, r"^\((\d+),", 1).try_cast("bigint").alias("width"),
+    )
+
+
 @query(f"""
 WITH {FACTS}, stats AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM facts)
 SELECT l_returnflag, l_quantity, round(any_value(ln(1 + l_quantity)), 6) AS l_quantity_log, round(any_value(sqrt(l_quantity)), 6) AS l_quantity_sqrt,

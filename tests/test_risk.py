@@ -315,6 +315,27 @@ def test_many_categories(spark):
     assert tuple(row) == (True, False, 77)
 
 
+def test_codes_of_a_column_with_very_many_values(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 10 > 0, F.format_string("x%06d", F.col("id") * 7 % 20_011)).alias("c"))
+    out = features.encode_categorical(rows, ["c"], columns=False, rows_per_bucket=3000)
+    assert out.columns == ["id", "c", "c_encoded", "c_indicators"]
+    want = sorted({"nan" if r["c"] is None else r["c"] for r in rows.collect()})
+    code = {v: i for i, v in enumerate(want)}
+    for r in out.collect():
+        assert r["c_encoded"] == code[r["c"] or "nan"]
+        assert r["c_indicators"].size == len(want)
+        assert r["c_indicators"].indices.tolist() == ([] if r["c"] is None else [r["c_encoded"]])
+
+
+def test_codes_where_nan_is_a_value(spark):
+    rows = spark.createDataFrame([(1, "nan"), (2, None), (3, "a"), (4, "z")], "i int, c string")
+    got = {r["i"]: r for r in features.encode_categorical(rows, ["c"], columns=False).collect()}
+    assert [got[i]["c_encoded"] for i in (1, 2, 3, 4)] == [1, 1, 0, 2]
+    assert [got[i]["c_indicators"].toArray().sum() for i in (1, 2, 3, 4)] == [1, 0, 1, 1]
+    empty = features.encode_categorical(rows.where("i < 0"), ["c"], columns=False)
+    assert empty.collect() == []
+
+
 def test_hashed_vectors_read_the_whole_text(spark):
     rows = spark.createDataFrame([(1, "a " * 4096 + "tail"), (2, "a")], "id int, t string")
     got = {r["row_id"]: r["embedding"] for r in features.embed_text(rows, "id", "t", size=4096).collect()}
