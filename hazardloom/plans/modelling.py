@@ -325,10 +325,13 @@ def assembled_blocks(spark, sf) -> DataFrame:
     )
 
 
-@query()
+@query("""
+SELECT doc_id AS row_id, CAST(64 AS BIGINT) AS width, len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0 AS weighted FROM documents
+""")
 def text_vectors(spark, sf) -> DataFrame:
-    """Hashed term weights of whole documents."""
-    return features.embed_text(table(spark, sf, "documents"), "doc_id", "text", size=64, limit=None)
+    """Hashed term weights of whole documents: their width, and whether a text has any weight."""
+    vectors = features.embed_text(table(spark, sf, "documents"), "doc_id", "text", size=64, limit=None)
+    return vectors.select("row_id", F.size("embedding").cast("bigint").alias("width"), F.exists("embedding", lambda x: x > 0).alias("weighted"))
 
 
 @query("""

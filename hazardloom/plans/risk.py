@@ -8,7 +8,7 @@ from ..functions import evidence as ev
 from ..functions.values import alnum_key, condition_key, feature_key
 from ..operators import fusion, quality, rules, scenarios, schema, sequences
 from ..operators.models import top_features
-from ..session import scratch_path
+from ..session import cut, scratch_path
 from ..sources import files
 from .registry import query, r6, round_doubles, table
 from .tables import (
@@ -379,14 +379,26 @@ def token_statistics(spark, sf) -> DataFrame:
     return round_doubles(sequences.token_statistics(seq))
 
 
-@query()
+@query(f"""
+WITH {_VOCABULARY}
+SELECT state, scenario_id, round(uplift, 6) AS label,
+  row_number() OVER (ORDER BY md5(concat_ws('|', state, scenario_id, '42')), state, scenario_id) <= greatest(1, round_even(count(*) OVER () * 0.2, 0)) AS is_validation,
+  true AS informed
+FROM tokens
+""")
 def learned_index(spark, sf) -> DataFrame:
-    """Regression of the uplift on the sequence features, early stop, all scenarios predicted."""
+    """Regression of the uplift on the sequence features, early stop, all scenarios predicted; whether the
+    predictions of scenarios held out are nearer than the mean label."""
     seq = sequences.sequences(
         scenario_set(spark, sf), importance_set(spark, sf), by=["state"], match="condition",
         label=sequences.weak_label("uplift"),
     )
-    return round_doubles(sequences.learned_cri(seq, ["state"], trees=20))
+    found = cut(sequences.learned_cri(seq, ["state"]))
+    held, mean = F.col("is_validation"), found.where("not is_validation").agg(F.avg("label")).scalar()
+    missed = F.avg(F.when(held, F.pow(F.col("CRI_Learned") - F.col("label"), 2)))
+    guessed = F.avg(F.when(held, F.pow(mean - F.col("label"), 2)))
+    informed = found.agg((missed < guessed).alias("informed")).scalar()
+    return round_doubles(found.select("state", "scenario_id", "label", "is_validation").withColumn("informed", informed))
 
 
 _PATHS = f"""{SCORED},
