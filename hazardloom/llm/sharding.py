@@ -1,7 +1,7 @@
 """Hilbert-curve sharding: rows near each other in several metadata dimensions share a shard.
 
-Each dimension is quantised into 2**BITS steps at its own quantiles (strings by their first seven
-bytes, which keeps their order), the steps give the index on the Hilbert curve, rows are sorted by
+Each dimension is quantised into 2**BITS steps at its own quantiles (strings by their whole values, dates and
+times as numbers), the steps give the index on the Hilbert curve, rows are sorted by
 that index (ties by key hash), and the run is cut into shards whose row counts differ by at most one.
 Files written in this order carry narrow minima and maxima in every dimension, so a filter on any of
 them skips most files.
@@ -10,29 +10,45 @@ Ranks come without one big window: the rows of a curve cell are dealt by key has
 ``slice_rows``, a window numbers the rows of a slice, and cell and slice offsets come from count tables
 (at most 2**(BITS * dimensions) cells). A cell that owns all rows has as many slices as it needs.
 
-Edge cases: null values sort first in every dimension; null texts count 0 bytes plus 8 and have the
+Edge cases: null values sort first in every dimension; long strings count whole; equal values share a step; null texts count 0 bytes plus 8 and have the
 checksum of the empty text; rows equal in every column are interchangeable; an empty table gives an
 empty result; extra columns are ignored by ``assign`` and kept by ``write_shards``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..operators.ordered import distinct_running
 from .shared import broadcast_if_small, stored
 
 BITS, SHARDS, SLICE_ROWS = 4, 24, 2_000
 
 
 def _number(df: DataFrame, name: str) -> Column:
-    """An order-keeping long for a column; null is the smallest."""
-    kind = dict(df.dtypes)[name]
+    """An order-keeping number for a column that is no string; null is the smallest."""
+    kind = df.schema[name].dataType
     c = F.col(f"`{name}`")
-    if kind == "string":
-        c = F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    if isinstance(kind, T.DateType):
+        c = F.unix_date(c)
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(kind, T.BooleanType):
+        c = c.cast("int")
     return F.coalesce(c.cast("double"), F.lit(-1e300))
 
 
+def _text_cuts(df: DataFrame, name: str, steps: int) -> list[str]:
+    """Values at which a string column is cut, from the counts of its distinct values: steps - 1 at most."""
+    counts = df.groupBy(F.col(f"`{name}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    running = distinct_running(counts, [], "v", "n")
+    total = running.agg(F.max("upto")).scalar()
+    # the step in which a value's first row lies
+    step = F.floor((F.col("upto") - F.col("n")) * steps / total)
+    first = running.where("v is not null").groupBy(step.alias("step")).agg(F.min("v").alias("v")).where("step > 0")
+    return [r["v"] for r in first.orderBy("v").collect()]
+
+
 def hilbert_index(steps: list[Column], bits: int = BITS) -> Column:
     """Position on the Hilbert curve of a point with ``bits`` bits per dimension (Skilling's
     transpose form, unrolled into column arithmetic)."""
@@ -86,26 +102,30 @@ def hilbert_index(steps: list[Column], bits: int = BITS) -> Column:
     return layer(x, weave)
 
 
-def _cuts(df: DataFrame, numbers: list[Column], steps: int, accuracy: int = 10_000) -> list[list[float]]:
-    """Quantile cuts of every dimension, one pass over all rows (steps - 1 numbers each)."""
+def _codes(df: DataFrame, dims: list[str], steps: int, accuracy: int = 10_000) -> list[Column]:
+    """The step of every dimension; numbers are cut in one pass over all rows, strings in one each."""
+    texts = {d: _text_cuts(df, d, steps) for d in dims if isinstance(df.schema[d].dataType, T.StringType)}
+    numbers = {d: _number(df, d) for d in dims if d not in texts}
     shares = [i / steps for i in range(1, steps)]
-    row = df.agg(*[F.percentile_approx(c, shares, accuracy).alias(f"q{i}") for i, c in enumerate(numbers)]).first()
-    return [sorted(set(q)) if q else [] for q in row]
+    found = [F.percentile_approx(c, shares, accuracy).alias(f"q{i}") for i, c in enumerate(numbers.values())]
+    row = df.agg(F.lit(1), *found).first()
+    cuts = texts | {d: sorted(set(row[f"q{i}"] or [])) for i, d in enumerate(numbers)}
+
+    def code(d: str) -> Column:
+        x = numbers.get(d, F.col(f"`{d}`"))
+        # a null string lies below all cuts
+        return F.size(F.filter(F.array(*[F.lit(q) for q in cuts[d]]), lambda q: q <= x)) if cuts[d] else F.lit(0)
+
+    return [code(d) for d in dims]
 
 
 def order(df: DataFrame, key: list[str], dims: list[str], bits: int = BITS, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, int]:
     """``df`` plus ``__cell`` (curve index) and ``__rank`` (0, 1, ... in curve order); the row count."""
-    steps = 1 << bits
-    numbers = [_number(df, d) for d in dims]
-    cuts = _cuts(df, numbers, steps)
-    codes = [
-        F.size(F.filter(F.array(*[F.lit(q) for q in c]), lambda q: q <= x)) if c else F.lit(0) for x, c in zip(numbers, cuts)
-    ]
-    cells = df.withColumn("__cell", hilbert_index(codes, bits))
+    cells = df.withColumn("__cell", hilbert_index(_codes(df, dims, 1 << bits), bits))
     bounds = stored(cells.groupBy(F.col("__cell").alias("__c")).agg(F.count(F.lit(1)).alias("__m")), "curve-cells")
     total = bounds.agg(F.coalesce(F.sum("__m"), F.lit(0))).first()[0]
     part = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key]), F.ceil(F.col("__m") / slice_rows))
-    sliced = cells.join(F.broadcast(bounds), F.col("__cell") == F.col("__c")).withColumn("__part", part.cast("long"))
+    sliced = cells.join(broadcast_if_small(bounds, 16), F.col("__cell") == F.col("__c")).withColumn("__part", part.cast("long"))
     sliced = sliced.drop("__c", "__m")
     counts = stored(sliced.groupBy("__cell", "__part").agg(F.count(F.lit(1)).alias("__n")), "curve-slices")
     upto = Window.unboundedPreceding
@@ -116,7 +136,7 @@ def order(df: DataFrame, key: list[str], dims: list[str], bits: int = BITS, slic
     in_cell = Window.partitionBy("__cell").orderBy("__part").rowsBetween(upto, 0)
     offsets = (
         counts.withColumn("__first", F.sum("__n").over(in_cell) - F.col("__n"))
-        .join(F.broadcast(by_cell), F.col("__cell") == F.col("__oc"))
+        .join(by_cell, F.col("__cell") == F.col("__oc"))
         .select(F.col("__cell").alias("__oc"), F.col("__part").alias("__op"), (F.col("__base") + F.col("__first")).alias("__off"))
     )
     offsets = broadcast_if_small(stored(offsets, "curve-offsets"), 40)

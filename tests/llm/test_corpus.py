@@ -536,6 +536,41 @@ def test_shards(spark, tmp_path):
     assert sum(r["s"] / 3 * min(1, ((r["b"] or 0) - (r["a"] or 0)) / 180) for r in spans_) / len(spans_) < 0.6
 
 
+def test_strings_count_whole_and_dates_are_numbers(spark):
+    rows = spark.range(500).select(
+        "id", F.format_string("https://site%02d.example.org/a/very/long/path", F.col("id") % 50).alias("host"),
+        F.expr("date_add(date'2020-01-01', cast(id % 90 as int))").alias("day"), (F.col("id") % 2 == 0).alias("flag"),
+        F.expr("timestamp'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 100)").alias("at"),
+    )
+    one, total = sharding.order(rows, ["id"], ["host"])
+    # sixteen steps of whole hosts, in their order
+    steps = one.groupBy("__cell").agg(F.min("host").alias("a"), F.max("host").alias("b")).orderBy("__cell").collect()
+    assert total == 500 and len(steps) == 16 and all(x["b"] < y["a"] for x, y in zip(steps, steps[1:]))
+    for dims in (["host", "day"], ["day", "at", "flag"], ["host", "id", "day"]):
+        found, _ = sharding.order(rows, ["id"], dims, slice_rows=7)
+        ranks = [(r["__rank"], r["__cell"]) for r in found.orderBy("__rank").collect()]
+        assert [r for r, _ in ranks] == list(range(500))
+        assert [c for _, c in ranks] == sorted(c for _, c in ranks) and len({c for _, c in ranks}) > 8
+
+
+def test_cells_equal_a_plain_count(spark):
+    """Steps from sorted values, ranks from sorting all rows by cell: one dimension at a time."""
+    r = random.Random(6)
+    rows = [(i, r.choice([None, "", "a", "ab", "b" * 300, "common-prefix-1", "common-prefix-2", "z"])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    found = {x["id"]: x["__cell"] for x in sharding.order(df, ["id"], ["s"])[0].collect()}
+    values = sorted((s for _, s in rows), key=lambda s: (s is not None, s or ""))
+    first = {}
+    for at, s in enumerate(values):
+        first.setdefault(s, at * 16 // len(values))
+    cuts = {}
+    for s, step in first.items():
+        if s is not None and step > 0:
+            cuts[step] = min(s, cuts.get(step, s))
+    for i, s in rows:
+        assert found[i] == (0 if s is None else sum(c <= s for c in cuts.values()))
+
+
 # ---- pipeline -----------------------------------------------------------------------------------
 
 
