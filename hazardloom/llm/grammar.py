@@ -3,7 +3,7 @@
 Documents are range-partitioned and sorted by key; every task encodes its texts and writes shards of
 about ``shard_tokens`` ids. Per shard the most frequent id pairs are replaced by nonterminals, round
 after round (many pairs a round, left to right, never across a document's end), until no pair is
-frequent. A shard holds its rules, their expansion lengths, the documents' symbol and id counts and
+frequent or all symbols are in use. A shard holds its rules, their expansion lengths, the documents' symbol and id counts and
 the symbols, so one document is decoded by reading only its own symbols.
 
 Files are named per task attempt and listed in a manifest that Spark commits; files of a lost or
@@ -11,7 +11,7 @@ repeated attempt are in no manifest and are never read.
 
 Edge cases: null texts are empty and hold only the end id; null keys sort first; rows with the same
 key are ordered by text, and identical rows follow each other; an empty table gives an empty result;
-extra columns are ignored.
+extra columns are ignored; a text longer than a shard is one document of a larger shard.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import scratch_path
 from .shared import file_system, qualified, small_batches, stored
 
-SHARD_TOKENS, ROUNDS, MIN_COUNT, RULES_WIDE = 2_000_000, 5, 16, 16_384
+SHARD_TOKENS, MIN_COUNT, RULES_WIDE = 2_000_000, 16, 16_384
+#: A round takes at most this part of the symbols, so that later rounds can build on earlier ones.
+ROUND_PART = 5
 END_ID = 0
 MAGIC = b"RPAIR1\0\0"
 _HEAD = struct.Struct("<8sIIIIQ")
@@ -56,7 +58,7 @@ def _slots(keys: np.ndarray) -> np.ndarray:
 
 
 def compress(
-    ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT
+    ids: np.ndarray, lengths: np.ndarray, base: int, min_count: int = MIN_COUNT
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair of documents of ``lengths`` ids below ``base``: (symbols, symbols per document, rules).
 
@@ -68,10 +70,8 @@ def compress(
     ends = np.cumsum(lengths)
     rules: list[np.ndarray] = []
     made = 0
-    for step in range(rounds):
-        most = min(room - made, -(-room // rounds))
-        if most <= 0 or len(seq) < 2:
-            break
+    while made < room and len(seq) > 1:
+        most = min(room - made, -(-room // ROUND_PART))
         keys, inside = _pairs(seq, ends[lengths > 0])
         order = np.sort(keys[inside])
         first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, int)
@@ -228,6 +228,7 @@ class Encoder:
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         rest = [b for b in range(256) if b not in own]
         self._alphabet = {b: 256 + i for i, b in enumerate(rest)}
+        self._blank = chr(self._alphabet[32])
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._t.encode(text, add_special_tokens=False).ids, self._type).tobytes()
@@ -236,7 +237,10 @@ class Encoder:
         """A pre-token of letters or marks, straight through the model."""
         found = self._words.get(word)
         if found is None:
-            mapped = word.encode().decode("latin-1").translate(self._alphabet)
+            if word.isascii() and word[1:].isalpha() and word[0] == " ":
+                mapped = self._blank + word[1:]
+            else:
+                mapped = word.encode().decode("latin-1").translate(self._alphabet)
             found = array(self._code, [x.id for x in self._t.model.tokenize(mapped)]).tobytes()
             if len(self._words) < self.REMEMBER_WORDS:
                 self._words[word] = found

@@ -469,6 +469,30 @@ def test_grammar_round_trip():
         assert (shard.sizes == [len(x) for x in grammar._expansions(shard.rules, base)]).all()
 
 
+def test_no_pair_stays_frequent():
+    import numpy as np
+
+    g = np.random.default_rng(8)
+    passage = g.integers(0, 5_000, 300)
+    ids = np.concatenate([np.concatenate([passage, g.integers(0, 5_000, 40)]) for _ in range(50)] + [np.zeros(5_000, int)]).astype(np.uint32)
+    lengths = np.array([340] * 50 + [5_000])
+    symbols, counts, rules = grammar.compress(ids, lengths, 50_257)
+    sizes = grammar.expansion_lengths(rules, 50_257)
+    # the shared passage ends up as one symbol, equal ids as powers of two
+    assert sizes.max() >= 256 and len(symbols) < 50 * 60
+    at, left = 0, collections.Counter()
+    for n in counts:
+        row = symbols[at : at + n].tolist()
+        at += n
+        # equal neighbours overlap: count them left to right without overlap
+        i = 0
+        while i + 1 < len(row):
+            left[row[i], row[i + 1]] += 1
+            i += 2 if row[i] == row[i + 1] else 1
+    assert max(left.values()) < grammar.MIN_COUNT
+    assert (grammar.decode(symbols, rules, sizes, 50_257) == ids).all()
+
+
 def test_token_files_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
