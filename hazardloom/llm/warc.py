@@ -4,12 +4,13 @@ Writer: every task writes archives of gzip members, one record each, up to ``arc
 records with equal payloads of at least ``revisit_bytes`` the one with the largest page id carries
 the payload as a response, the others are revisits that refer to it.
 
-Reader: a record counts if its member inflates with a right checksum, its head starts with a version line,
-its Content-Length fits and its block digest matches. After a failed check the reader searches for
-the next place where a valid member or version line starts, goes on there, and logs the bytes between
-as quarantined. Files are read through a window, so memory follows the largest record.
+Reader: a record counts if its head starts with a version line and holds fields only, its Content-Length
+fits and its block digest matches; in a gzip member either the member's checksum is right or the record names
+its digest. Members may hold any number of records, also all of a file. After a failed check the
+reader searches for the next place where a member or version line starts, inside the member first, goes on there, and
+logs the bytes between as quarantined. Files and members are read through windows, so memory follows the largest record.
 
-Edge cases: null payloads are empty; null urls give no target line; rows without an id are responses or
+Edge cases: heads have any length; null payloads are empty; null urls give no target line; rows without an id are responses or
 revisit the largest id of their payload; rows with the same id and payload are all responses;
 an empty table gives an empty result; extra columns are ignored.
 """
@@ -31,10 +32,11 @@ from ..session import scratch_path
 from .shared import broadcast_if_small, file_system, qualified, small_batches, stored
 
 VERSION, GZIP = b"WARC/1.1", b"\x1f\x8b\x08"
+#: Members that inflate to more are inflated twice instead of being held.
+HOLD = 4 << 20
 REVISIT_BYTES, ARCHIVE_BYTES, CHUNK = 1000, 64 << 20, 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-MAX_HEAD = 1 << 20
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 
 # ---- records ------------------------------------------------------------------------------------
@@ -75,7 +77,7 @@ def _parse(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
     if not line:
         return None
     end = data.find(b"\r\n\r\n", line.end() - 2)
-    if end < 0 or end > MAX_HEAD:
+    if end < 0:
         return None
     fields: dict[str, str] = {}
     for raw in data[line.end() : end].split(b"\r\n"):
@@ -114,48 +116,84 @@ class _Window:
         return self._data[at - self._at : at - self._at + n]
 
 
-def _member(w: _Window, at: int) -> tuple[bytes, int] | None:
-    """The inflated gzip member at ``at`` and where it ends; None if it is damaged."""
-    inflate, parts, place = zlib.decompressobj(31), [], at
+def _inflate(w: _Window, at: int) -> Iterator[tuple[bytes, int | None]]:
+    """Pieces of the gzip member at ``at``; with the last one, where a member with a right checksum ends."""
+    inflate, place, left = zlib.decompressobj(31), at, b""
     try:
         while not inflate.eof:
-            chunk = w.bytes_at(place, CHUNK)
-            if not chunk:
-                return None
-            parts.append(inflate.decompress(chunk))
-            place += len(chunk)
-            if len(parts) == 1 and not VERSION[:7].startswith(parts[0][:7]):
-                return None  # a member, but of something else
+            chunk = left or w.bytes_at(place, CHUNK)
+            place += 0 if left else len(chunk)
+            piece = inflate.decompress(chunk, CHUNK)
+            left = inflate.unconsumed_tail
+            if not (chunk or piece or inflate.eof):
+                return  # the file ends first
+            yield piece, place - len(inflate.unused_data) if inflate.eof else None
     except zlib.error:
-        return None
-    return b"".join(parts), place - len(inflate.unused_data)
+        return
+
+
+class _Member:
+    """The inflated bytes of the gzip member at ``at``, as far as they can be had, as a window.
 
+    ``end`` is where the member ends in the file, None if it is damaged. Places asked for must not fall.
+    """
 
-def _plain(w: _Window, at: int) -> tuple[bytes, int] | None:
-    """The uncompressed record at ``at``: its bytes by the length its head names."""
-    n = 1 << 14
+    def __init__(self, w: _Window, at: int):
+        self._w, self._start, self.size, self.end = w, at, 0, None
+        self._at, self._data, self._more = 0, bytearray(), iter(())
+        for piece, self.end in _inflate(w, at):
+            self.size += len(piece)
+            if self.size <= HOLD:
+                self._data += piece
+        if self.size > HOLD:
+            self._data, self._more = bytearray(), _inflate(w, at)
+
+    def bytes_at(self, at: int, n: int) -> bytes:
+        n = max(0, min(n, self.size - at))
+        while self._at + len(self._data) < at + n:
+            if at - self._at > CHUNK:
+                gone = min(at - self._at, len(self._data))
+                del self._data[:gone]
+                self._at += gone
+            self._data += next(self._more)[0]
+        return bytes(self._data[at - self._at : at - self._at + n])
+
+
+def _head(w: _Window | _Member, at: int) -> bytes | None:
+    """The version line and fields at ``at``, however long; None once a line is not a field."""
+    n = 1 << 12
     while True:
-        head = w.bytes_at(at, n)
-        end = head.find(b"\r\n\r\n")
+        data = w.bytes_at(at, n)
+        end = data.find(b"\r\n\r\n")
+        lines = (data if end < 0 else data[:end]).split(b"\r\n")
+        if not all(b":" in x for x in lines[1 : len(lines) - (end < 0)]):
+            return None
         if end >= 0:
-            break
-        if len(head) < n or n > MAX_HEAD:
+            return data[: end + 4]
+        if at + n >= w.size:
             return None
         n *= 4
-    size = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", head[:end])
-    if not size or at + end + 8 + int(size[1]) > w.size:
+
+
+def _plain(w: _Window | _Member, at: int) -> tuple[dict[str, str], bytes, int] | None:
+    """(fields, block, end) of the uncompressed record at ``at``; None if a check fails."""
+    if not _VERSION_LINE.match(w.bytes_at(at, 16)):
+        return None
+    head = _head(w, at)
+    size = head and re.search(rb"(?im)^content-length[ \t]*:[ \t]*(\d{1,18})[ \t]*\r?$", head)
+    if not size or at + len(head) + int(size[1]) + 4 > w.size:
         return None
-    total = end + 8 + int(size[1])
-    return w.bytes_at(at, total), at + total
+    found = _parse(w.bytes_at(at, len(head) + int(size[1]) + 4))
+    return found and (found[0], found[1], at + found[2])
 
 
-def _next_start(w: _Window, at: int) -> int:
-    """The first place from ``at`` on that looks like a member or a version line; else the file's end."""
+def _next_start(w: _Window | _Member, at: int, members: bool = True) -> int:
+    """The first place from ``at`` on that looks like a version line or a member; else the end."""
     overlap = 16
     while at < w.size:
         data = w.bytes_at(at, CHUNK)
         line = _VERSION_LINE.search(data)
-        found = [i for i in (data.find(GZIP), line.start() if line else -1) if i >= 0]
+        found = [i for i in (data.find(GZIP) if members else -1, line.start() if line else -1) if i >= 0]
         if found:
             return at + min(found)
         if at + len(data) >= w.size:
@@ -164,24 +202,67 @@ def _next_start(w: _Window, at: int) -> int:
     return w.size
 
 
+def _records(m: _Member) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | None]]:
+    """(start, end, fields, block) of a member's records, in its inflated bytes; gaps have no fields.
+
+    A damaged member gives those whose own digest shows that they are whole.
+    """
+    at, bad = 0, -1
+    while at < m.size:
+        found = _plain(m, at)
+        if found and m.end is None and not found[0].get("warc-block-digest", "").startswith("sha1:"):
+            found = None
+        if found:
+            if bad >= 0:
+                yield bad, at, None, None
+                bad = -1
+            yield at, found[2], found[0], found[1]
+            at = found[2]
+        else:
+            bad = at if bad < 0 else bad
+            at = _next_start(m, at + 1, members=False)
+    if bad >= 0:
+        yield bad, m.size, None, None
+
+
 def salvage(source, size: int) -> Iterator[tuple]:
-    """('record', start, end, fields, block) and ('gap', start, end, None, None), covering all bytes in order."""
+    """('record' or 'gap', start, end, fields, block, inner start, inner end), all bytes of the file in order.
+
+    Gaps have neither fields nor block. What comes from a member has the member's bytes as start and end and its place
+    in the inflated bytes as inner ones (else null); a record of a damaged member ends where the member
+    starts, since its gap holds all of the member's bytes.
+    """
     w, at, bad = _Window(source, size), 0, -1
     while at < size:
-        lead = w.bytes_at(at, 10)
-        found = _member(w, at) if lead.startswith(GZIP) else _plain(w, at) if lead.startswith(VERSION[:7]) else None
-        parsed = _parse(found[0]) if found else None
-        if parsed and parsed[2] == len(found[0]):
+        if w.bytes_at(at, 3) == GZIP:
+            member = _Member(w, at)
+            end = member.end
+            rows = _records(member)
+        else:
+            found = _plain(w, at)
+            end = found and found[2]
+            rows = iter([(None, None, found[0], found[1])] if found else [])
+        some, skipped = False, []
+        for a, b, fields, block in rows:
+            if not fields:
+                skipped.append((a, b))
+                continue
             if bad >= 0:
-                yield "gap", bad, at, None, None
+                yield "gap", bad, at, None, None, None, None
                 bad = -1
-            yield "record", at, found[1], parsed[0], parsed[1]
-            at = found[1]
+            some = True
+            if end is not None:
+                yield from (("gap", at, end, None, None, *x) for x in skipped)
+            skipped = []
+            yield "record", at, at if end is None else end, fields, block, a, b
+        if some and end is not None:
+            yield from (("gap", at, end, None, None, *x) for x in skipped)
+            at = end
         else:
             bad = at if bad < 0 else bad
             at = _next_start(w, at + 1)
     if bad >= 0:
-        yield "gap", bad, size, None, None
+        yield "gap", bad, size, None, None, None, None
 
 
 # ---- Spark --------------------------------------------------------------------------------------
@@ -246,7 +327,7 @@ def write(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -
 
 
 _READ = (
-    "path string, kind string, start long, end long, page_id long, payload_bytes long, payload_digest string, "
+    "path string, kind string, start long, end long, inner_start long, inner_end long, page_id long, payload_bytes long, payload_digest string, "
     "record_type string, refers_to long"
 )
 
@@ -260,8 +341,8 @@ def read(archives: DataFrame) -> DataFrame:
                 fs, where = file_system(path)
                 rows: list[tuple] = []
                 with fs.open_input_file(where) as source:
-                    for kind, start, end, fields, block in salvage(source, size):
-                        rows.append((path, kind, start, end, *(_page(fields, block) if fields else (None,) * 5)))
+                    for kind, start, end, fields, block, *inner in salvage(source, size):
+                        rows.append((path, kind, start, end, *inner, *(_page(fields, block) if fields else (None,) * 5)))
                         if len(rows) == 1000:
                             yield _batch(rows)
                             rows = []
@@ -296,10 +377,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", **limits) -> DataFrame:
     """Write an archive record per page, read all archives back, and give the records."""
     archives = write(plan(pages, key, url, payload), scratch_path(pages.sparkSession, "warc"), **limits)
-    found = stored(read(archives).where("kind = 'record'").drop("kind", "path", "start", "end"), "warc-records")
-    # a revisit's payload is the one of its response
-    whole = found.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("n"))
-    revisits = found.where("record_type = 'revisit'").join(whole, F.col("payload_digest") == F.col("d"))
+    found = stored(read(archives).where("kind = 'record'").drop("kind", "path", "start", "end", "inner_start", "inner_end"), "warc-records")
+    responses, revisits = (found.where(F.col("record_type") == x) for x in ("response", "revisit"))
+    # a revisit's payload is the one of its response; only payloads that repeat are looked up
+    named = stored(revisits.select(F.col("payload_digest").alias("d")).distinct(), "warc-revisited")
+    whole = responses.join(broadcast_if_small(named, 100), F.col("payload_digest") == F.col("d"))
+    whole = stored(whole.groupBy("d").agg(F.max("payload_bytes").alias("n")), "warc-lengths")
+    revisits = revisits.join(broadcast_if_small(whole, 110), F.col("payload_digest") == F.col("d"), "left")
     full = revisits.select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-    responses = found.where("record_type = 'response'").select(full.columns)
-    return responses.unionByName(full).withColumnRenamed("page_id", key)
+    return responses.select(full.columns).unionByName(full).withColumnRenamed("page_id", key)

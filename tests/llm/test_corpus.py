@@ -355,6 +355,57 @@ def test_salvage_of_damaged_archives(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).collect() == []
 
 
+def test_long_heads_come_back(spark):
+    urls = {1: "http://h/1", 2: "http://h/" + "p" * 1_100_000, 3: None, 4: "http://h/" + "é" * 300_000}
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in urls.items()], "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in warc.round_trip(df).collect()) == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("hold", [1 << 10, 4 << 20])
+def test_members_of_many_records(monkeypatch, hold):
+    import gzip
+    import io
+
+    monkeypatch.setattr(warc, "HOLD", hold)
+    monkeypatch.setattr(warc, "CHUNK", 1 << 12)
+
+    def made(i, n=900):
+        body = sentence(i, n).encode()
+        return warc.page_record(i, "u", "response", None, body, "00" * 20, str(i))
+
+    def found(data):
+        parts = list(warc.salvage(io.BytesIO(data), len(data)))
+        return [int(p[3]["x-page-id"]) for p in parts if p[0] == "record"], [p for p in parts if p[0] == "gap"]
+
+    whole = [made(i) for i in range(30)]
+    # a file compressed as a whole, and two members of several records
+    assert found(gzip.compress(b"".join(whole))) == (list(range(30)), [])
+    two = gzip.compress(b"".join(whole[:2])) + gzip.compress(whole[2]) + gzip.compress(b"".join(whole[3:9]))
+    assert found(two) == (list(range(9)), [])
+    # a broken record inside a whole member: the others count, the gap has its place in the inflated bytes
+    broken = [*whole[:4], whole[4].replace(b"Content-Length: ", b"Content-Length: 9"), *whole[5:]]
+    data = gzip.compress(b"".join(broken)) + gzip.compress(whole[0])
+    ids, gaps = found(data)
+    before = sum(map(len, broken[:4]))
+    assert ids == [*range(4), *range(5, 30), 0] and [g[5:] for g in gaps] == [(before, before + len(broken[4]))]
+    # a member that breaks off, and one with a flipped byte: records before the damage carry their digest
+    first = gzip.compress(b"".join(whole))
+    ids, gaps = found(first[: len(first) // 2])
+    assert 5 < len(ids) < 30 and ids == list(range(len(ids))) and len(gaps) == 1
+    hurt = bytearray(first)
+    hurt[len(first) * 2 // 3] ^= 0x55
+    ids, gaps = found(bytes(hurt) + gzip.compress(whole[0]))
+    assert ids[:10] == list(range(10)) and ids[-1] == 0 and len(ids) < 31 and [g[1:3] for g in gaps] == [(0, len(first))]
+    # records that name no digest count only in whole members
+    bare = [b"\r\n".join(x for x in r.split(b"\r\n") if not x.startswith(b"WARC-Block-Digest")) for r in whole]
+    assert found(gzip.compress(b"".join(bare))) == (list(range(30)), [])
+    assert found(gzip.compress(b"".join(bare))[:-200])[0] == []
+    # a member of something else, an empty one, and a version line whose head is no head
+    other = gzip.compress(b"x" * 50_000) + gzip.compress(b"") + b"WARC/1.1\r\nno field\r\n" + gzip.compress(whole[1])
+    ids, gaps = found(other)
+    assert ids == [1] and len(gaps) == 1 and gaps[0][1] == 0
+
+
 # ---- 7 ------------------------------------------------------------------------------------------
 
 
