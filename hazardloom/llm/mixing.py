@@ -11,7 +11,8 @@ size meet first, so the sum of taken words stays close to the target.
 All draws come from hashes of the row, so reruns and other partitionings agree.
 
 Edge cases: null texts have size 0; null sources form one source, ranked last; sources without
-words have target 0; identical rows are told apart only by their number; an empty table gives an empty
+words have target 0; identical rows get numbers, which spread them over blocks like other rows; ties in
+size meet in the order of their draws; long texts only count their words; an empty table gives an empty
 result; extra columns are ignored by ``plan`` and kept by ``mix``.
 """
 
@@ -124,17 +125,23 @@ def plan(
     goal = targets(known.select("source", "source_size"), weights, share, cap)
     goal = goal.join(known.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     goal = broadcast_if_small(stored(goal, "mix-targets").withColumnRenamed("source", "s"), 200)
+    # equal rows are counted, then numbered, so that neither blocks nor draws depend on their places
+    equal = rows.groupBy("id", "source", "size", "tie").agg(F.count(F.lit(1)).alias("n"))
+    # in two steps: no array holds all numbers of a hot row
+    rows = equal.withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(4096).cast("long"))))
+    numbers = F.sequence("from", F.least(F.col("n"), F.col("from") + 4095))
+    rows = rows.select("id", "source", "size", "tie", F.explode(numbers).alias("number"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(F.col("rate") + EPS)
-    hashed = F.pmod(F.xxhash64("id", "tie", F.lit(seed)), F.ceil(F.col("rows") / block_rows))
+    hashed = F.pmod(F.xxhash64("id", "tie", "number", F.lit(seed)), F.ceil(F.col("rows") / block_rows))
     rows = (
         rows.join(goal, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("rate", rate)
         .withColumn("whole", whole.cast("long"))
         .withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
         .withColumn("block", hashed.cast("long"))
-        .withColumn("draw", _uniform(F.col("id"), F.col("tie"), F.lit(seed + 1)))
-        .drop("s", "rows", "rate")
+        .withColumn("draw", _uniform(F.col("id"), F.col("tie"), F.col("number"), F.lit(seed + 1)))
+        .drop("s", "rows", "rate", "number")
     )
     # every level leaves one fraction per group; 'extra' is null where it is still open
     schema = f"{_ddl(rows)}, extra long"

@@ -128,6 +128,26 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert copies == {r["doc_id"]: r["copies"] for r in plan if r["copies"]}
 
 
+def test_equal_rows_spread_over_blocks(spark, monkeypatch):
+    most = []
+    rows = [(None, "one two three", "a")] * 3_000 + [(i, sentence(i, 9), "b") for i in range(50)]
+    stored = mixing.stored
+
+    def watch(df, name):
+        out = stored(df, name)
+        if name == "mix-level" and not most:
+            most.append(out.groupBy("source", "block").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(mixing, "stored", watch)
+    plan = [mixing.plan(docs_of(spark, rows).repartition(n), block_rows=100).collect() for n in (1, 5)]
+    assert most[0] < 180  # 31 blocks of about 100
+    one, two = (sorted((str(r["doc_id"]), r["taken"]) for r in p) for p in plan)
+    assert one == two and len(one) == 3_050
+    target = next(r["target"] for r in plan[0] if r["source"] == "a")
+    assert abs(sum(r["taken"] for r in plan[0] if r["source"] == "a") - target) <= 3
+
+
 def test_pivot_keeps_the_mass():
     r = random.Random(4)
     for n in (1, 2, 7, 500):
