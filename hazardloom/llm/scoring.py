@@ -2,8 +2,9 @@
 
 All one- and two-word counts of the training documents are gathered exactly. A count is quantised as
 ``1 + floor(log_BASE(count))`` and the filter gets that many entries (n-gram, 1), (n-gram, 2), ...;
-a probe asks for 1, 2, ... until one is missing, which gives the level back. The filter is blocked (all entries
-of an n-gram lie in one 64-byte block) and has a fixed largest size: where the n-grams need more, those
+a probe asks for 1, 2, ... until one is missing, which gives the level back. The filter is blocked (the bits of an
+entry lie in one 64-byte block, the entries of an n-gram in different ones), is sized by entries, so that its share of false hits is the same at every size,
+and has a fixed largest size: where the entries need more, n-grams
 below a count cutoff stay out, the cutoff coming from the exact count histogram. Tokens with an n-gram that
 the filter lacks then meet the counts below the cutoff in a join, so every count is used. The filter is broadcast;
 a word after another has probability (c2 + MU * p1) / (c1 + MU), p1 being its smoothed share of all
@@ -13,7 +14,8 @@ The base score needs exact counts: the most frequent words (a bounded table) are
 tokens meet the full count table in a join.
 
 Edge cases: null and empty texts consist of the end token; a null key is in the training part; an empty
-training part gives N = V = 0 and finite scores; repeated rows each get a row; extra columns are ignored.
+training part gives N = V = 0 and finite scores; repeated rows each get a row; extra columns are ignored;
+equal counts enter the filter together or stay out together; texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -53,23 +55,33 @@ def count_bounds(level: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
     return np.where(level > 0, low, 0.0), np.where(level > 0, high, 0.0)
 
 
-def _bits(keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
-    """Places inside the block of entry (key, level)."""
-    spread = mix(keys, np.full(1, 1_000_003 + level, np.uint64))
+def _entry(keys: np.ndarray, level: int) -> np.ndarray:
+    """Hashes of the entries (key, level): the high bits choose the block, the low ones the bits in it."""
+    return mix(keys, np.full(1, 1_000_003 + level, np.uint64))
+
+
+def entries(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Hashes of all entries of the keys."""
+    found = [_entry(keys[levels >= level], level) for level in range(1, int(levels.max(initial=0)) + 1)]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def block_of(entry: np.ndarray, blocks: int) -> np.ndarray:
+    return ((entry >> np.uint64(9 * HASHES)) % np.uint64(blocks)).astype(np.int64)
+
+
+def _bits(entry: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of an entry's bits inside its block."""
     for j in range(HASHES):
-        yield ((spread >> np.uint64(9 * j)) & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
+        yield ((entry >> np.uint64(9 * j)) & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
 
 
-def segment_bytes(keys: np.ndarray, levels: np.ndarray, blocks: int, segment: int) -> bytes:
+def segment_bytes(entry: np.ndarray, blocks: int, segment: int) -> bytes:
     """Bits of one segment of the filter."""
-    own = (keys % np.uint64(blocks)).astype(np.int64) - segment * SEGMENT_BLOCKS
-    size = min(SEGMENT_BLOCKS, blocks - segment * SEGMENT_BLOCKS)
-    on = np.zeros(size * BLOCK_BITS, bool)
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        some = levels >= level
-        start = own[some] * BLOCK_BITS
-        for bit in _bits(keys[some], level):
-            on[start + bit] = True
+    start = (block_of(entry, blocks) - segment * SEGMENT_BLOCKS) * BLOCK_BITS
+    on = np.zeros(min(SEGMENT_BLOCKS, blocks - segment * SEGMENT_BLOCKS) * BLOCK_BITS, bool)
+    for bit in _bits(entry):
+        on[start + bit] = True
     return np.packbits(on, bitorder="little").tobytes()
 
 
@@ -77,13 +89,13 @@ def probe(bits: np.ndarray, keys: np.ndarray, blocks: int) -> np.ndarray:
     """Levels of the keys: entries (key, 1), (key, 2), ... are asked for until one is missing."""
     found = np.zeros(len(keys), np.int64)
     left = np.arange(len(keys))
-    start = (keys % np.uint64(blocks)).astype(np.int64) * BLOCK_BITS
     level = 1
     while len(left):
-        asked = keys[left]
+        asked = _entry(keys[left], level)
+        start = block_of(asked, blocks) * BLOCK_BITS
         alive = np.ones(len(left), bool)
-        for bit in _bits(asked, level):
-            at = start[left] + bit
+        for bit in _bits(asked):
+            at = start + bit
             alive &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         left = left[alive]
         found[left] = level
@@ -147,12 +159,12 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return stored(counted, "ngram-counts")
 
 
-def _cutoff(histogram: list, entries: int) -> int:
-    """The smallest count so that all n-grams from it on number at most ``entries``."""
+def _cutoff(histogram: list, room: int) -> int:
+    """The smallest count so that the sizes from it on add up to at most ``room``."""
     total, least = 0, 1 << 62
     for row in sorted(histogram, key=lambda r: -r["q"]):
         total += row["size"]
-        if total > entries:
+        if total > room:
             break
         least = row["least"]
     return least
@@ -163,8 +175,8 @@ def build_filter(grams: DataFrame, max_bytes: int = FILTER_BYTES) -> tuple[bytes
 
     The least count is 1 if no n-gram stays out.
     """
-    # at most 64 * 4 buckets of counts and two n
-    hist = grams.groupBy("n", F.floor(F.log2("c") * 4).alias("q")).agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("least")).collect()
+    # at most 64 * 4 buckets of counts and two n; an n-gram has an entry per level
+    hist = grams.groupBy("n", F.floor(F.log2("c") * 4).alias("q")).agg(F.sum(_level(F.col("c"))).alias("size"), F.min("c").alias("least")).collect()
     room = max_bytes * 8 // BITS_PER_ENTRY
     ones = [r for r in hist if r["n"] == 1]
     twos = [r for r in hist if r["n"] == 2]
@@ -174,22 +186,22 @@ def build_filter(grams: DataFrame, max_bytes: int = FILTER_BYTES) -> tuple[bytes
     used += sum(r["size"] for r in twos if r["least"] >= least[2])
     least = {n: m if any(r["least"] < m for r in of) else 1 for (n, m), of in zip(least.items(), (ones, twos))}
     blocks = max(1, -(-used * BITS_PER_ENTRY // BLOCK_BITS))
-    segments = -(-blocks // SEGMENT_BLOCKS)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            entry = entries(keys, levels_of(batch.column(1).to_numpy(), 1))  # whatever the cutoff
+            segment = block_of(entry, blocks) // SEGMENT_BLOCKS
+            yield pa.record_batch([pa.array(segment), pa.array(entry.view(np.int64))], names=["segment", "e"])
 
     def build(key, pdf):
         import pandas as pd
 
-        keys = pdf["h"].to_numpy().view(np.uint64)
-        levels = levels_of(pdf["c"].to_numpy(), 1)  # whatever the cutoff
-        return pd.DataFrame({"segment": [int(key[0])], "bits": [segment_bytes(keys, levels, blocks, int(key[0]))]})
+        entry = pdf["e"].to_numpy().view(np.uint64)
+        return pd.DataFrame({"segment": [int(key[0])], "bits": [segment_bytes(entry, blocks, int(key[0]))]})
 
-    kept = grams.where(F.col("c") >= F.when(F.col("n") == 1, least[1]).otherwise(least[2]))
-    low = F.col("h").bitwiseAND(F.lit((1 << 63) - 1))
-    # the unsigned remainder, as the workers compute it
-    block = F.when(F.col("h") >= 0, F.pmod(low, F.lit(blocks))).otherwise(
-        F.pmod(F.pmod(low, F.lit(blocks)) + F.lit((1 << 63) % blocks), F.lit(blocks))
-    )
-    parts = kept.withColumn("segment", F.floor(block / SEGMENT_BLOCKS))
+    kept = grams.where(F.col("c") >= F.when(F.col("n") == 1, least[1]).otherwise(least[2])).select("h", "c")
+    parts = kept.mapInArrow(spread, "segment long, e long")
     made = stored(parts.groupBy("segment").applyInPandas(build, "segment long, bits binary"), "filter-segments")
     whole = bytearray(blocks * BLOCK_BITS // 8)
     for row in made.toLocalIterator():  # segments of 1 MB, max_bytes together

@@ -224,14 +224,41 @@ def test_score_uses_every_count(spark, monkeypatch):
         return total
 
     # all n-grams in the filter, all but pairs seen once, only frequent ones, none
-    n_often = sum(c > 1 for c in two.values())
-    for room in (1 << 16, len(one) + n_often + 5, 2 * (len(one) // 2), 0):
+    entries = lambda counts: int(scoring.levels_of(np.array(list(counts)), 1).sum())
+    often = entries(c for c in two.values() if c > 1)
+    for room in (1 << 16, 2 * entries(one.values()) + often, entries(one.values()), 0):
         found = by_id(scoring.score(docs_of(spark, rows), max_bytes=room * 128, head_words=20).collect())
         assert len(found) == len(rows)
         for i, w in words_of.items():
             assert found[i]["score"] == pytest.approx(expected(w)), (room, i)
 
 
+def test_score_does_not_follow_the_filter_size(spark):
+    """With the real constants, a filter that holds a part of the n-grams scores as one that holds all."""
+    import numpy as np
+
+    r = random.Random(12)
+    word = lambda: f"w{int(r.paretovariate(0.7)) % 4000}"
+    rows = [(i, " ".join(word() for _ in range(60)), "a") for i in range(1500)]
+    df = docs_of(spark, rows)
+    grams = scoring.counts(df)
+    _, blocks, least = scoring.build_filter(grams)
+    assert least == {1: 1, 2: 1}
+    full = by_id(scoring.score(df).collect())
+    for part in (8, 40):
+        limit = blocks * scoring.BLOCK_BITS // 8 // part
+        bits, _, least = scoring.build_filter(grams, limit)
+        assert least[2] > 1 and 0 < len(bits) <= limit + 64
+        assert sum(bin(b).count("1") for b in bits) < 0.2 * 8 * len(bits)
+        found = by_id(scoring.score(df, max_bytes=limit).collect())
+        # about one probe in a thousand is a false hit, and a document asks for some 180
+        absent = np.random.default_rng(part).integers(0, 1 << 63, 200_000).astype(np.uint64)
+        blocks_here = len(bits) * 8 // scoring.BLOCK_BITS
+        assert (scoring.probe(np.frombuffer(bits, np.uint8), absent, blocks_here) > 0).mean() < 0.001
+        apart = sorted(abs(found[i]["score"] / full[i]["score"] - 1) for i in full)
+        assert apart[len(apart) // 2] < 1e-9 and sum(apart) / len(apart) < 0.003 and apart[-1] < 0.06
+
+
 def test_filter_levels():
     import numpy as np
 
@@ -240,9 +267,10 @@ def test_filter_levels():
     levels = scoring.levels_of(counts, 1)
     blocks = 20_000 * scoring.BITS_PER_ENTRY * 12 // scoring.BLOCK_BITS
     raw = b"".join(
-        scoring.segment_bytes(keys[m], levels[m], blocks, s)
+        scoring.segment_bytes(entry[at == s], blocks, s)
+        for entry in [scoring.entries(keys, levels)]
+        for at in [scoring.block_of(entry, blocks) // scoring.SEGMENT_BLOCKS]
         for s in range(-(-blocks // scoring.SEGMENT_BLOCKS))
-        for m in [(keys % np.uint64(blocks)).astype(np.int64) // scoring.SEGMENT_BLOCKS == s]
     )
     found = scoring.probe(np.frombuffer(raw, np.uint8), keys, blocks)
     assert (found >= levels).all() and (found == levels).mean() > 0.97
