@@ -298,8 +298,10 @@ def score(
             open_offsets = np.concatenate([[0], np.cumsum(sums(is_open.astype(np.int64)))])
             level1 = np.where(lacks1, OPEN, level1)
             levels = (np.where(lacks2, OPEN, level2), level1[at], level1[history])
+            # only the n-grams that the filter lacks are looked up, so the hashes of the others are not kept
+            asked = (np.where(x == OPEN, h, np.uint64(0)) for h, x in zip((pairs, values, before), levels))
             tokens = pa.StructArray.from_arrays(
-                [pa.array(x[is_open].view(np.int64)) for x in (pairs, values, before)] + [pa.array(x[is_open].astype(np.int32)) for x in levels],
+                [pa.array(x[is_open].view(np.int64)) for x in asked] + [pa.array(x[is_open].astype(np.int32)) for x in levels],
                 ["pair", "word", "before", "lp", "lw", "lb"],
             )
             tokens = pa.ListArray.from_arrays(pa.array(open_offsets.astype(np.int32)), tokens)
