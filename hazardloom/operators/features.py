@@ -10,16 +10,16 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as tx
 from ..functions.values import safe_log1p, safe_sqrt
-from ..session import cut
+from ..session import cut, stored
 from .missing import impute_median_mode
 from .ordered import OrderedRows
 from .quantiles import value_counts
 from .schema import q, split_types
-from .sizing import measured, small
+from .sizing import match, measured, small
 
 
 def categories(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
@@ -199,18 +199,44 @@ def _mark(key: list[str], seed: int) -> Column:
     return F.md5(text)
 
 
+#: The first characters of a mark, by which rows are counted before any are put in order.
+_MARK_HEAD = 3
+
+
+def _share(
+    df: DataFrame, by: list[str], key: list[str], seed: int, take, out: str, rows_per_bucket: int | None
+) -> DataFrame:
+    """Add ``out``: whether a row is among the first ``take(n)`` of the ``n`` rows of its group, by hashed key.
+
+    Rows are counted by group and the first characters of their mark. These settle all rows but those of
+    the one head in which a group's share ends: only they are put in order.
+    """
+    by = [F.lit(True).alias("__g0")] if not by else [F.col(q(c)).alias(f"__g{i}") for i, c in enumerate(by)]
+    groups = [f"__g{i}" for i in range(len(by))]
+    rows = stored(df.select("*", *by, F.left(_mark(key, seed), F.lit(_MARK_HEAD)).alias("__head")), "split")
+    counts = rows.groupBy(*groups, "__head").agg(F.count(F.lit(1)).alias("__n"))
+    # at most 16 ** _MARK_HEAD heads a group
+    upto = Window.partitionBy(*groups).orderBy("__head").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("__n").over(Window.partitionBy(*groups))
+    heads = counts.withColumn("__upto", F.sum("__n").over(upto)).withColumn("__take", F.least(take(total), total))
+    before = F.col("__upto") - F.col("__n")
+    ends = heads.where((before < F.col("__take")) & (F.col("__take") <= F.col("__upto")))
+    ends = measured(ends.select(*groups, F.col("__head").alias("__end"), (F.col("__take") - before).alias("__left")))
+    placed = match(rows, ends, groups, "left")
+    columns = [F.col(q(c)) for c in df.columns]
+    settled = placed.where(~F.col("__head").eqNullSafe(F.col("__end")))
+    settled = settled.select(*columns, F.coalesce(F.col("__head") < F.col("__end"), F.lit(False)).alias(out))
+    undecided = placed.where(F.col("__head") == F.col("__end")).withColumn("__mark", _mark(key, seed))
+    scan = OrderedRows(undecided, groups, ["__mark", *[F.col(q(k)) for k in key]], rows_per_bucket)
+    ordered = scan.row_number("__rn").result().select(*columns, (F.col("__rn") <= F.col("__left")).alias(out))
+    return settled.unionByName(ordered)
+
+
 def stratified_split(
     df: DataFrame, label: str, key: list[str], ratio: float = 0.25, seed: int = 42, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Add ``is_test``: exactly ``round(ratio * n)`` rows of every class, chosen by hashed key."""
-    marked = df.withColumn("__mark", _mark(key, seed))
-    order = ["__mark", *[F.col(q(k)) for k in key]]
-    scan = OrderedRows(marked, [label], order, rows_per_bucket)
-    counts = scan.stored.groupBy(F.col(q(label)).alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = measured(counts.select("__l", F.round(F.col("__n") * ratio).alias("__take")))
-    placed = scan.row_number("__rn").result()
-    matched = placed.join(sizes, F.col(q(label)).eqNullSafe(F.col("__l")))
-    return matched.withColumn("is_test", F.col("__rn") <= F.col("__take")).drop("__mark", "__rn", "__l", "__take")
+    return _share(df, [label], key, seed, lambda n: F.round(n * ratio), "is_test", rows_per_bucket)
 
 
 def split(
@@ -221,11 +247,7 @@ def split(
         raise ValueError("ratio must be in [0, 1)")
     if ratio == 0:
         return df.withColumn("is_validation", F.lit(False))
-    marked = df.withColumn("__mark", _mark(key, seed))
-    scan = OrderedRows(marked, [], ["__mark", *[F.col(q(k)) for k in key]], rows_per_bucket)
-    take = max(1, round(scan.count * ratio))
-    placed = scan.row_number("__rn").result()
-    return placed.withColumn("is_validation", F.col("__rn") <= take).drop("__mark", "__rn")
+    return _share(df, [], key, seed, lambda n: F.greatest(F.lit(1.0), F.bround(n * ratio)), "is_validation", rows_per_bucket)
 
 
 def embed_text(

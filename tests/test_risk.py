@@ -458,3 +458,25 @@ def test_encoder_hook_sees_batches(spark):
 
     got = features.embed_text(rows, "id", "t", encoder, limit=3).collect()
     assert len(got) == 40 and {tuple(r["embedding"]) for r in got} == {(3.0, 1.0)}
+
+
+def test_split_orders_only_the_rows_at_the_end_of_a_share(spark, monkeypatch):
+    """All other rows are settled by counts; equal and missing keys still give exact shares."""
+    seen = []
+
+    class Watched(features.OrderedRows):
+        def __init__(self, *args):
+            super().__init__(*args)
+            seen.append(self.count)
+
+    monkeypatch.setattr(features, "OrderedRows", Watched)
+    rows = spark.range(20_000).select("id", (F.col("id") % 3).alias("t"))
+    assert features.stratified_split(rows, "t", ["id"]).where("is_test").count() == 5001
+    assert features.split(rows, ["id"]).where("is_validation").count() == 4000
+    assert len(seen) == 2 and max(seen) < 500
+    repeated = spark.range(400).select(F.when(F.col("id") % 4 > 0, F.lit(7)).alias("id"), F.when(F.col("id") % 2 == 0, "a").alias("t"))
+    got = features.stratified_split(repeated, "t", ["id"], 0.3).groupBy("t", "is_test").count().collect()
+    assert {(r["t"], r["is_test"]): r["count"] for r in got} == {("a", True): 60, ("a", False): 140, (None, True): 60, (None, False): 140}
+    assert features.stratified_split(repeated, "t", ["id"], 0.0).where("is_test").isEmpty()
+    assert features.stratified_split(repeated, "t", ["id"], 1.0).where("not is_test").isEmpty()
+    assert features.stratified_split(repeated.limit(0), "t", ["id"]).isEmpty()
