@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import boosting
+from ..session import cut
 from .dom_features import FEATURES, Nodes, consistent, measure, parse
 from .shared import small_batches
 
@@ -276,7 +277,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES, written: int = WRITTEN_PAG
     """Trees fitted on pages written from a bounded sample; None for a table without any page."""
     if not pages.select("html").where(F.col("html").isNotNull()).head(1):
         return None
-    rows = labelled(pages, sample, written)
+    rows = cut(labelled(pages, sample, written))
     fitted = boosting.fit(rows, "x", "label", TREES, DEPTH, STEP, classes=2, most=FIT_NODES)
     # of two classes the trees are the same with opposite values: those of main text are enough
     main = fitted.nodes[fitted.nodes["class"] == 1]

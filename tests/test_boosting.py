@@ -127,3 +127,15 @@ def test_odd_tables(spark, labelled):
     unlabelled = labelled.withColumn("label", F.when(F.col("id") % 2 == 0, F.col("label")))
     assert boosting.bounded_sample(unlabelled, "features", "label").count() == 450
     assert boosting.fit(unlabelled, trees=2, depth=2).transform(unlabelled).count() == 900
+
+
+def test_only_the_sample_is_stored(labelled, monkeypatch):
+    kept = []
+
+    def cut(df):
+        kept.append(df.count())
+        return df
+
+    monkeypatch.setattr(boosting, "cut", cut)
+    boosting.bounded_sample(labelled, "features", "label", most=250)
+    assert kept and max(kept) <= 250
