@@ -480,3 +480,20 @@ def test_split_orders_only_the_rows_at_the_end_of_a_share(spark, monkeypatch):
     assert features.stratified_split(repeated, "t", ["id"], 0.0).where("is_test").isEmpty()
     assert features.stratified_split(repeated, "t", ["id"], 1.0).where("not is_test").isEmpty()
     assert features.stratified_split(repeated.limit(0), "t", ["id"]).isEmpty()
+
+
+def test_predictions_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def guess(x: float) -> float:
+        made.add(1)
+        return x
+
+    pred = spark.range(60).select((F.col("id") % 3).cast("double").alias("label"))
+    pred = pred.withColumn("prediction", F.udf(guess, "double")("label"))
+    assert {r["recall"] for r in models.classification_report(pred).collect()} == {1.0}
+    assert made.value == 60
+    scored = pred.withColumn("probability", F.array(*[F.lit(0.0)] * 3))
+    matrix, auc = models.confusion_and_auc(scored, 3)
+    assert matrix.count() == 3 and {r["auc"] for r in auc.collect()} == {0.5}
+    assert made.value == 120
