@@ -242,7 +242,10 @@ SELECT name, round(coalesce((SELECT min(s) FROM feats WHERE f = name), (SELECT m
 """)
 def column_importances(spark, sf) -> DataFrame:
     """Three-tier lookup by column name over importances derived from the facts."""
-    rows = facts(spark, sf)
+    # everything asked of the facts, read once
+    rows = cut(
+        facts(spark, sf).groupBy("o_orderpriority", "l_returnflag").agg(F.max("l_quantity").alias("l_quantity"), F.min("l_tax").alias("l_tax"))
+    )
     priority = rows.select("o_orderpriority").distinct().select(
         F.concat(F.lit("cat__oorderpriority_"), "o_orderpriority").alias("feature"), (F.length("o_orderpriority") / 100).alias("importance")
     )

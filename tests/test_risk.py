@@ -497,3 +497,29 @@ def test_predictions_are_made_once(spark):
     matrix, auc = models.confusion_and_auc(scored, 3)
     assert matrix.count() == 3 and {r["auc"] for r in auc.collect()} == {0.5}
     assert made.value == 120
+
+
+def test_facts_shuffle_line_items_once(spark, sf_dir):
+    """Orders meet their customers before the line items join."""
+    from hazardloom.plans import tables
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = tables.facts(spark, sf_dir).select("l_orderkey", "c_mktsegment")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # an outer exchange is printed first
+    assert plan.index("hashpartitioning(l_orderkey") < plan.index("hashpartitioning(o_custkey")
+
+
+def test_column_importances_read_the_facts_once(spark, sf_dir, monkeypatch):
+    from hazardloom.plans import risk
+
+    read, facts = [], risk.facts
+    stored = risk.cut
+    monkeypatch.setattr(risk, "facts", lambda *a: read.append(1) or facts(*a))
+    monkeypatch.setattr(risk, "cut", lambda df: read.append(df.columns) or stored(df))
+    assert risk.column_importances(spark, sf_dir).count() == 5
+    assert read == [1, ["o_orderpriority", "l_returnflag", "l_quantity", "l_tax"]]
