@@ -34,6 +34,7 @@ from .shared import file_system, qualified, small_batches, stored
 SHARD_TOKENS, MIN_COUNT, RULES_WIDE = 2_000_000, 16, 16_384
 #: A round takes at most this part of the symbols, so that later rounds can build on earlier ones.
 ROUND_PART = 5
+_DECODED_AT_ONCE = 1 << 16
 END_ID = 0
 MAGIC = b"RPAIR1\0\0"
 _HEAD = struct.Struct("<8sIIIIQ")
@@ -41,14 +42,15 @@ _HEAD = struct.Struct("<8sIIIIQ")
 # ---- grammar ------------------------------------------------------------------------------------
 
 
-def _pairs(seq: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the pair at every place but the last; which of them lie inside one document."""
+def _pairs(seq: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
+    """Key of the pair at every place but the last, the largest key (of no pair) at documents' ends; number of these."""
     shift = 8 * seq.itemsize
     wide = np.uint32 if seq.itemsize == 2 else np.uint64
     keys = (seq[:-1].astype(wide) << wide(shift)) | seq[1:]
-    inside = np.ones(len(keys), bool)
-    inside[ends[ends < len(seq)] - 1] = False
-    return keys, inside
+    across = np.unique(ends[ends < len(seq)]) - 1
+    # the last symbol is made in the last round, so no pair has two of them
+    keys[across] = np.iinfo(wide).max
+    return keys, len(across)
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
@@ -72,8 +74,8 @@ def compress(
     made = 0
     while made < room and len(seq) > 1:
         most = min(room - made, -(-room // ROUND_PART))
-        keys, inside = _pairs(seq, ends[lengths > 0])
-        order = np.sort(keys[inside])
+        keys, across = _pairs(seq, ends[lengths > 0])
+        order = np.sort(keys)[: len(keys) - across]
         first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, int)
         count = np.diff(np.append(first, len(order)))
         often = np.flatnonzero(count >= min_count)
@@ -91,7 +93,7 @@ def compress(
         table = np.full(1 << 18, -1, np.int32)
         table[_slots(pairs)] = np.arange(len(pairs), dtype=np.int32)
         rule = table[_slots(keys)]
-        hit = np.flatnonzero((rule >= 0) & inside)
+        hit = np.flatnonzero(rule >= 0)
         hit = hit[pairs[rule[hit]] == keys[hit]]
         # overlapping places: every second one of a run, from the left
         start = np.concatenate([[True], np.diff(hit) != 1])
@@ -101,7 +103,7 @@ def compress(
         seq[chosen] = (base + made + rule[chosen]).astype(seq.dtype)
         keep = np.ones(len(seq), bool)
         keep[chosen + 1] = False
-        ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+        ends = ends - np.searchsorted(chosen, ends - 1)
         seq = seq[keep]
         shift = 8 * seq.itemsize
         left = (pairs >> pairs.dtype.type(shift)).astype(np.uint32)
@@ -131,17 +133,23 @@ def decode(symbols: np.ndarray, rules: np.ndarray, sizes: np.ndarray, base: int,
     if flat is None:
         flat = flat_expansions(rules, base)
     starts = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
-    s = symbols.astype(np.int64)
-    is_rule = s >= base
-    j = np.where(is_rule, s - base, 0)
-    length = np.where(is_rule, sizes[j] if len(sizes) else 1, 1).astype(np.int64)
-    at = np.cumsum(length) - length
-    out = np.repeat(s, length)
-    inner = np.repeat(np.where(is_rule, starts[j] - at, 0), length)
-    wide = np.repeat(is_rule, length)
-    place = np.arange(len(out)) + inner
-    out[wide] = flat[place[wide]]
-    return out.astype(np.uint32)
+    parts = [np.zeros(0, np.uint32)]
+    # pieces whose intermediate arrays stay in the cache
+    for a in range(0, len(symbols), _DECODED_AT_ONCE):
+        s = symbols[a : a + _DECODED_AT_ONCE].astype(np.int64)
+        at = np.flatnonzero(s >= base)
+        j = s[at] - base
+        length = np.ones(len(s), np.int64)
+        length[at] = sizes[j]
+        out = np.repeat(s, length)
+        # where each rule's expansion begins in the output, and the places it fills
+        size = length[at]
+        filled = np.cumsum(size) - size
+        inside = np.arange(int(size.sum()))
+        begin = (np.cumsum(length) - length)[at]
+        out[np.repeat(begin - filled, size) + inside] = flat[np.repeat(starts[j] - filled, size) + inside]
+        parts.append(out.astype(np.uint32))
+    return np.concatenate(parts)
 
 
 def flat_expansions(rules: np.ndarray, base: int) -> np.ndarray:
@@ -203,11 +211,13 @@ class Encoder:
     and remembered (a bounded number of them).
     """
 
-    REMEMBER_RUNS, REMEMBER_WORDS = 700_000, 1_000_000
+    REMEMBER_RUNS, REMEMBER_WORDS = 1_400_000, 300_000
     #: White space other than blank and line feed.
     _rare = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     _cut = re.compile(r"(?<=\S) (?=\S)")
-    _plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+    _letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    #: ASCII punctuation, without the apostrophe that begins pre-tokens such as 's.
+    _marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -222,6 +232,7 @@ class Encoder:
         self._by_run = self._by_run and spec.get("normalizer") is None
         self.size = self._t.get_vocab_size()
         self._type, self._code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
+        # ids by text: with a blank before it, and without one
         self._runs: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
         # the byte alphabet of byte-level tokenizers: printable bytes stand for themselves
@@ -229,43 +240,49 @@ class Encoder:
         rest = [b for b in range(256) if b not in own]
         self._alphabet = {b: 256 + i for i, b in enumerate(rest)}
         self._blank = chr(self._alphabet[32])
+        self._feed = self._model_ids(chr(self._alphabet[10]))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._t.encode(text, add_special_tokens=False).ids, self._type).tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def _model_ids(self, mapped: str) -> bytes:
+        return array(self._code, [x.id for x in self._t.model.tokenize(mapped)]).tobytes()
+
+    def _word(self, word: str, blank: str) -> bytes:
         """A pre-token of letters or marks, straight through the model."""
-        found = self._words.get(word)
+        known, most = (self._runs, self.REMEMBER_RUNS) if blank else (self._words, self.REMEMBER_WORDS)
+        found = known.get(word)
         if found is None:
-            if word.isascii() and word[1:].isalpha() and word[0] == " ":
-                mapped = self._blank + word[1:]
-            else:
-                mapped = word.encode().decode("latin-1").translate(self._alphabet)
-            found = array(self._code, [x.id for x in self._t.model.tokenize(mapped)]).tobytes()
-            if len(self._words) < self.REMEMBER_WORDS:
-                self._words[word] = found
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self._alphabet)
+            found = self._model_ids(self._blank + mapped if blank else mapped)
+            if len(known) < most:
+                known[word] = found
         return found
 
+    def _line(self, line: str, blank: str) -> bytes | None:
+        """Ids of letters and the marks after them; None for any other text."""
+        letters = line.rstrip(self._marks)
+        if not (letters.isascii() and letters.isalpha()) and not self._letters.fullmatch(letters):
+            return None
+        found = self._word(letters, blank)
+        return found if len(letters) == len(line) else found + self._word(line[len(letters) :], "")
+
     def _run(self, run: str, blank: str = " ") -> bytes:
         """Ids of a run, with the blank before it."""
+        if "\n" not in run:
+            found = self._line(run, blank)
+            return self._ids(blank + run) if found is None else found
         # a lone line feed between other characters is a pre-token of its own
-        lines = run.split("\n")
-        plain = list(map(self._plain.fullmatch, lines))
-        if None in plain:
-            return self._ids(blank + run)
-        word = self._word
-        parts = []
-        for x in plain:
-            letters, marks = x.groups()
-            parts.append(word(blank + letters) + word(marks) if marks else word(blank + letters))
-            blank = ""
-        return word("\n").join(parts) if len(parts) > 1 else parts[0]
+        first, *rest = run.split("\n")
+        parts = [self._line(first, blank), *[self._line(x, "") for x in rest]]
+        return self._ids(blank + run) if None in parts else self._feed.join(parts)
 
     def _odd(self, text: str) -> bool:
         """Whether a blank of the text has white space or an end of the text next to it."""
+        lines = text.split("\n")
         return (
-            "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
-            or self._rare.search(text) is not None
+            "  " in text or any(x[:1] == " " or x[-1:] == " " for x in lines)
+            or (not "".join(lines).isprintable() and self._rare.search(text) is not None)
         )
 
     def encode(self, text: str) -> np.ndarray:
@@ -277,12 +294,11 @@ class Encoder:
         known, rest = self._runs, runs[1:]
         first = self._run(runs[0], "")
         found = list(map(known.get, rest))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = x = known.get(rest[i]) or self._run(rest[i])
-                    if len(known) < self.REMEMBER_RUNS and "\n" not in rest[i]:
-                        known[rest[i]] = x
+        if not all(found):
+            for i in [i for i, x in enumerate(found) if not x]:
+                found[i] = x = known.get(rest[i]) or self._run(rest[i])
+                if len(known) < self.REMEMBER_RUNS and "\n" not in rest[i]:
+                    known[rest[i]] = x
         return np.frombuffer(first + b"".join(found), self._type)
 
 

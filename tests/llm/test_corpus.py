@@ -592,6 +592,34 @@ def test_no_pair_stays_frequent():
     assert (grammar.decode(symbols, rules, sizes, 50_257) == ids).all()
 
 
+def test_a_word_is_remembered_once():
+    encoder = grammar.Encoder(queries.tokenizer_path())
+    asked = []
+    tokenize = encoder._model_ids
+    encoder._model_ids = lambda mapped: asked.append(mapped) or tokenize(mapped)
+    texts = [
+        "lorem ipsum ipsum, (dolor) l'eau 12 a.b\nipsum. \u00e9t\u00e9, \u4e2d\u6587 end!", "ipsum? \u00e9t\u00e9", " lead", "trail ", "two  blanks",
+        "line \nend", "line\n end", "a\n\nb c", "tab\tx y", "no\u00a0break x", "x\n", "\n", "\x85 x", "\u200b z", "ipsum,\nipsum, ipsum",
+    ]
+    for text in texts * 2:
+        assert encoder.encode(text).tolist() == encoder._t.encode(text, add_special_tokens=False).ids, text
+    assert len(asked) == len(set(asked))
+    # with and without the marks after it, a word's ids are kept under one key
+    assert not {x.strip() for x in encoder._words if x.startswith(" ")} & set(encoder._runs)
+
+
+def test_documents_ends_hold_no_pair():
+    import numpy as np
+
+    lengths = np.array([0, 1, 2, 0, 3, 1] * 40)
+    ids = np.full(lengths.sum(), 7)
+    shard = grammar.Shard(grammar.pack(ids, lengths, 300))
+    assert (shard.all_ids() == ids).all() and shard.lengths.tolist() == lengths.tolist()
+    assert [len(shard.document(i)) for i in range(shard.docs)] == lengths.tolist()
+    keys, across = grammar._pairs(ids.astype(np.uint16), np.cumsum(lengths[lengths > 0]))
+    assert across == (lengths > 0).sum() - 1 == (keys == 0xFFFFFFFF).sum()
+
+
 def test_token_files_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
