@@ -30,6 +30,8 @@ LEAF_BYTES = 128 << 10
 FAN = 16
 SALTS = 64
 _QUERIES_AT_ONCE = 512
+#: Pairs of a leaf and a node that a task bounds.
+_MET_AT_ONCE = 1_000_000
 
 
 def _vector(features: list[str]) -> Column:
@@ -92,21 +94,29 @@ def partition_tree(points: DataFrame, size: int, leaf_rows: int) -> tuple[DataFr
         open_points = cut(below.drop("leaf", "axis", "cuts"))
 
 
-def _bounds(size: int, total: int) -> tuple[Column, Column]:
-    """Smallest and largest squared distance between the boxes (low, high) and (d_low, d_high)."""
-    near, far, present = [], [], []
-    for i in range(size):
-        at = F.lit(i)
-        ql, qh, dl, dh = (F.get(c, at) for c in ("low", "high", "d_low", "d_high"))
-        gap = F.greatest(F.lit(0.0), dl - qh, ql - dh)
-        span = F.greatest(qh - dl, dh - ql)
-        both = ql.isNotNull() & dl.isNotNull()
-        near.append(F.when(both, gap * gap).otherwise(0.0))
-        far.append(F.when(both, span * span).otherwise(0.0))
-        present.append(both.cast("int"))
-    some = _sum(present)
-    scale = F.lit(float(total)) / some
-    return F.when(some > 0, _sum(near) * scale), F.when(some > 0, _sum(far) * scale)
+def _bounded(met: DataFrame, size: int, total: int) -> DataFrame:
+    """Smallest and largest squared distance ``near`` and ``far`` between the boxes (low, high) and (d_low, d_high).
+
+    Boxes without a common coordinate are left out. As Spark expressions over all coordinates the bounds
+    make a method too long for the JVM to compile.
+    """
+    kept = ["block", "donor_node", "leaf", "d_n", "bound"]
+
+    def measure(batches):
+        for batch in batches:
+            boxes = [batch.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("low", "high", "d_low", "d_high")]
+            ql, qh, dl, dh = [x.astype(float, copy=False).reshape(-1, size) for x in boxes]
+            both = ~np.isnan(ql) & ~np.isnan(dl)
+            gap = np.maximum(0.0, np.maximum(dl - qh, ql - dh))
+            span = np.maximum(qh - dl, dh - ql)
+            some = both.sum(axis=1)
+            scale = total / np.maximum(some, 1)
+            bounds = [pa.array(np.where(both, x * x, 0.0).sum(axis=1) * scale) for x in (gap, span)]
+            found = pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *bounds], names=[*kept, "near", "far"])
+            yield found.filter(pa.array(some > 0))
+
+    schema = "block string, donor_node string, leaf boolean, d_n long, bound double, near double, far double"
+    return met.select(*kept, "low", "high", "d_low", "d_high").mapInArrow(measure, schema)
 
 
 def _reach(blocks: DataFrame, nodes: DataFrame, levels: int, size: int, total: int, k: int) -> DataFrame:
@@ -121,15 +131,18 @@ def _reach(blocks: DataFrame, nodes: DataFrame, levels: int, size: int, total: i
     roots = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
     at = blocks.select("block", F.explode(roots).alias("donor_node"))
     upto = Window.partitionBy("block").orderBy("far").rowsBetween(Window.unboundedPreceding, 0)
-    near, far = _bounds(size, total)
+    # the rows are short, the work on them is not: a task per core, and more for many rows
+    cores, rows = blocks.sparkSession.sparkContext.defaultParallelism, blocks.count() * len(names)
     for level in range(levels):
-        met = at.join(boxes, "block").join(known.drop("parent"), "donor_node").withColumn("near", near).withColumn("far", far)
-        met = met.where("far is not null").withColumn("upto", F.sum("d_n").over(upto))
+        met = at.repartition(max(cores, rows // _MET_AT_ONCE), "block").join(boxes, "block").join(known.drop("parent"), "donor_node")
+        met = _bounded(met, size, total).withColumn("upto", F.sum("d_n").over(upto))
         enough = F.min(F.when(F.col("upto") >= k, F.col("far"))).over(Window.partitionBy("block"))
         # the margin covers rounding in the bounds; least() passes over nulls
         radius = F.coalesce(F.least("bound", enough), F.lit(float("inf"))) * (1 + 1e-9) + 1e-12
-        kept = met.withColumn("radius", radius).where("near <= radius").select("block", "donor_node", "leaf")
+        # read twice by the next level
+        kept = cut(met.withColumn("radius", radius).where("near <= radius").select("block", "donor_node", "leaf"))
         if level + 1 < levels:
+            rows = kept.count() * FAN  # at most
             below = known.select(F.col("parent").alias("up"), F.col("donor_node").alias("down")).where("up is not null")
             down = kept.where("not leaf").withColumnRenamed("donor_node", "up").join(below, "up")
             at = kept.where("leaf").drop("leaf").unionByName(down.select("block", F.col("down").alias("donor_node")))

@@ -136,6 +136,25 @@ def test_nearest_neighbours_against_all_pairs(spark, leaf_rows, seed):
         assert got[key] == pytest.approx(want[key])
 
 
+def test_box_bounds_hold_for_boxes_with_missing_coordinates(spark):
+    boxes = [
+        ("apart", [0.0, 0.0], [1.0, 1.0], [4.0, 0.5], [5.0, 0.7]),
+        ("one axis", [0.0, None], [1.0, None], [3.0, 2.0], [5.0, 2.0]),
+        ("inside", [0.0, 0.0], [9.0, 9.0], [4.0, 4.0], [5.0, 5.0]),
+        ("none", [None, 0.0], [None, 1.0], [2.0, None], [3.0, None]),
+    ]
+    rows = [(n, n, True, 1, None, a, b, c, d) for n, a, b, c, d in boxes]
+    lists = "low array<double>, high array<double>, d_low array<double>, d_high array<double>"
+    met = spark.createDataFrame(rows, f"block string, donor_node string, leaf boolean, d_n long, bound double, {lists}")
+    got = {r["block"]: (r["near"], r["far"]) for r in neighbours._bounded(met, 2, 2).collect()}
+    # squared distances over the common coordinates, scaled to both
+    far = {"apart": 5.0**2 + 0.7**2, "one axis": 2 * 5.0**2, "inside": 5.0**2 + 5.0**2}
+    near = {"apart": 3.0**2, "one axis": 2 * 2.0**2, "inside": 0.0}
+    assert set(got) == set(far)
+    for name, (low, high) in got.items():
+        assert (low, high) == (pytest.approx(near[name]), pytest.approx(far[name])), name
+
+
 def test_neighbours_with_fewer_donors_than_k(spark):
     df = spark.createDataFrame([(1, 4.0, 1.0), (2, 6.0, 2.0), (3, None, 1.5)], "id long, v double, a double")
     got = {r["id"]: r["f"] for r in missing.knn_impute(df, "id", "v", ["a"], 5, "f").collect()}
