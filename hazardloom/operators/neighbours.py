@@ -229,13 +229,17 @@ def knn_impute(df: DataFrame, key: str, col: str, features: list[str], k: int, o
         F.col("__vec").alias("vec"), F.col(q(key)).alias("key"), F.col(q(col)).cast("double").alias("value")
     )
     key_type = dict(all_donors.dtypes)["key"]
-    # a vector that many donors share is reduced in shares first
-    donors = all_donors.withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS)))
+    # few vectors have more than k donors; those are told by a hash and reduced in shares first
+    mark = F.xxhash64("vec")
+    crowded = measured(all_donors.groupBy(mark.alias("mark")).count().where(F.col("count") > k).select("mark"))
+    marked = all_donors.withColumn("__mark", mark)
+    donors = marked.join(crowded, F.col("__mark") == F.col("mark"), "left_semi").withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS)))
     for part in (["vec", "salt"], ["vec"]):
         first = Window.partitionBy(*part).orderBy("key")
         donors = donors.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k).drop("__r")
+    donors = donors.drop("salt").unionByName(marked.join(crowded, F.col("__mark") == F.col("mark"), "left_anti")).drop("__mark")
     queries = rows.where(~holds).select(F.col("__vec").alias("vec")).distinct()
-    points = donors.drop("salt").withColumn("asks", F.lit(False)).unionByName(
+    points = donors.withColumn("asks", F.lit(False)).unionByName(
         queries.withColumn("asks", F.lit(True)), allowMissingColumns=True
     )
     points, nodes, levels = partition_tree(points, size, leaf_rows)

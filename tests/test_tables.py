@@ -155,6 +155,16 @@ def test_box_bounds_hold_for_boxes_with_missing_coordinates(spark):
         assert (low, high) == (pytest.approx(near[name]), pytest.approx(far[name])), name
 
 
+def test_vectors_with_k_donors_and_more(spark):
+    # vectors of 1 to 9 donors, k being 5: the ones above lose their largest keys
+    rows = [(100 * a + i, float(i * i), float(a)) for a in range(1, 10) for i in range(a)]
+    rows += [(1900 + a, None, float(a)) for a in range(1, 10)] + [(2000 + i, float(i), None) for i in range(7)] + [(3000, None, None)]
+    df = spark.createDataFrame(rows, "id long, v double, a double")
+    got = {r["id"]: r["f"] for r in neighbours.knn_impute(df, "id", "v", ["a"], 5, "f").collect()}
+    want = brute_knn(rows, 1, 5)
+    assert got.keys() == want.keys() and all(got[key] == pytest.approx(want[key]) for key in want)
+
+
 def test_neighbours_with_fewer_donors_than_k(spark):
     df = spark.createDataFrame([(1, 4.0, 1.0), (2, 6.0, 2.0), (3, None, 1.5)], "id long, v double, a double")
     got = {r["id"]: r["f"] for r in missing.knn_impute(df, "id", "v", ["a"], 5, "f").collect()}
