@@ -3,19 +3,22 @@
 All one- and two-word counts of the training documents are gathered exactly. A count is quantised as
 ``1 + floor(log_BASE(count))`` and the filter gets that many entries (n-gram, 1), (n-gram, 2), ...;
 a probe asks for 1, 2, ... until one is missing, which gives the level back. The filter is blocked (the bits of an
-entry lie in one 64-byte block, the entries of an n-gram in different ones), is sized by entries, so that its share of false hits is the same at every size,
-and has a fixed largest size: where the entries need more, n-grams
-below a count cutoff stay out, the cutoff coming from the exact count histogram. Tokens with an n-gram that
-the filter lacks then meet the counts below the cutoff in a join, so every count is used. The filter is broadcast;
-a word after another has probability (c2 + MU * p1) / (c1 + MU), p1 being its smoothed share of all
-tokens, with lower counts in the numerator and upper counts in the denominator, so it never passes 1.
+entry lie in one 64-byte block, the entries of an n-gram in different ones) and is sized by entries, so that its share of
+false hits is the same at every size.
 
-The base score needs exact counts: the most frequent words (a bounded table) are broadcast, the other
-tokens meet the full count table in a join.
+The filter is cut into parts by the n-grams' hashes, as many as the tokens need, so every n-gram is in it and no task
+holds more than its part. Texts are kept as chunks of word numbers. A chunk sends its different n-grams with their counts
+to the parts; a part adds the counts up, builds its piece of the filter, asks it for every n-gram sent, and answers each
+chunk with the levels (and, for the base score, the words' exact counts) in the order they were sent in. With the answers
+a chunk scores its texts: a word after another has probability (c2 + MU * p1) / (c1 + MU), p1 being its smoothed share of
+all tokens, with lower counts in the numerator and upper counts in the denominator, so it never passes 1.
+
+``counts`` and ``build_filter`` make one filter in one piece, to be kept or sent along. It has a fixed largest size: where
+the entries need more, n-grams below a count cutoff stay out, the cutoff coming from the exact count histogram.
 
 Edge cases: null and empty texts consist of the end token; a null key is in the training part; an empty
 training part gives N = V = 0 and finite scores; repeated rows each get a row; extra columns are ignored;
-equal counts enter the filter together or stay out together; texts of any length are scored whole.
+texts of any length are scored whole, each in one chunk.
 """
 
 from __future__ import annotations
@@ -28,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .hashing import lists, mix, pieces
-from .shared import broadcast_if_small, lower_ascii, small_batches, stored, text_key, words
+from .shared import lower_ascii, small_batches, stored, words
 
 BASE, MU, BITS_PER_ENTRY, HASHES, BLOCK_BITS = 1.5, 4.0, 24, 4, 512
 FILTER_BYTES, HEAD_WORDS, SEGMENT_BLOCKS = 64 << 20, 1_000_000, 1 << 14
-#: Stands for a level that the filter lacks and the counts below the cutoff may have.
-OPEN = 255
+#: No part of the filter is planned smaller.
+LEAST_BYTES = 4096
 CHUNK = 1_000_000
 
 _PAIR = np.uint64(1 << 40)
@@ -85,6 +88,12 @@ def segment_bytes(entry: np.ndarray, blocks: int, segment: int) -> bytes:
     return np.packbits(on, bitorder="little").tobytes()
 
 
+def filter_bytes(entry: np.ndarray, blocks: int) -> bytes:
+    """Bits of a whole filter."""
+    segment = block_of(entry, blocks) // SEGMENT_BLOCKS
+    return b"".join(segment_bytes(entry[segment == s], blocks, s) for s in range(-(-blocks // SEGMENT_BLOCKS)))
+
+
 def probe(bits: np.ndarray, keys: np.ndarray, blocks: int) -> np.ndarray:
     """Levels of the keys: entries (key, 1), (key, 2), ... are asked for until one is missing."""
     found = np.zeros(len(keys), np.int64)
@@ -215,143 +224,174 @@ def _level(count: Column) -> Column:
     return F.coalesce(1 + F.floor(F.log(count.cast("double")) / math.log(BASE) + 1e-9), F.lit(0)).cast("int")
 
 
-def _bounds(level: Column) -> tuple[Column, Column]:
-    """``count_bounds`` of levels from 1 on."""
-    low = F.ceil(F.pow(F.lit(BASE), level - 1) - 1e-6).cast("double")
-    high = F.greatest(F.ceil(F.pow(F.lit(BASE), level) - 1e-6).cast("double") - 1, low)
-    return F.when(level > 0, low).otherwise(0.0), F.when(level > 0, high).otherwise(0.0)
+def _binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The slices of ``values`` between the bounds, as binary values."""
+    ends = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _open_scores(scored: DataFrame, grams: DataFrame, least: dict[int, int], denominator: float) -> DataFrame:
-    """(k, held_out, model): what the open tokens add to the score of each text.
+def _joined(found: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(found), kind)
 
-    Copies of a text that are alike in ``held_out`` bring the same tokens.
-    """
-    known = scored.select("k", "held_out", F.explode("open").alias("x")).groupBy("k", "held_out", "x").agg(F.count(F.lit(1)).alias("m"))
-    known = known.select("k", "held_out", "m", "x.pair", "x.word", "x.before", *[F.col(f"x.{c}").alias(c) for c in ("lp", "lw", "lb")])
-    for n, key, level in ((2, "pair", "lp"), (1, "word", "lw"), (1, "before", "lb")):
-        if least[n] == 1:
-            continue
-        below = grams.where((F.col("n") == n) & (F.col("c") < least[n])).select(F.col("h").alias("bh"), _level(F.col("c")).alias("bl"))
-        # a level that is known needs no partner: its row is spread by the pair
-        open_ = F.col(level) == OPEN
-        known = known.withColumn("at", F.when(open_, F.col(key)).otherwise(F.xxhash64("pair", "k")))
-        known = known.join(below, (F.col("at") == F.col("bh")) & open_, "left")
-        known = known.withColumn(level, F.when(open_, F.coalesce("bl", F.lit(0))).otherwise(F.col(level))).drop("at", "bh", "bl")
-    low2, _ = _bounds(F.col("lp"))
-    low1, _ = _bounds(F.col("lw"))
-    _, high1 = _bounds(F.col("lb"))
-    model = F.log10(low2 + MU * (low1 + 1) / denominator) - F.log10(F.greatest(high1, low2) + MU)
-    return known.groupBy("k", "held_out").agg(F.sum(F.col("m") * model).alias("model"))
 
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, compressed byte by byte: the high bytes of word numbers are few."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T), "zstd", asbytes=True)
+
+
+def unpack_numbers(packed: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * size, "zstd", asbytes=True), np.uint8).reshape(4, size)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
-def score(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: int = FILTER_BYTES, head_words: int = HEAD_WORDS
-) -> DataFrame:
-    """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score and the model's score."""
-    spark = docs.sparkSession
-    grams = counts(docs, key, text)
-    ones = grams.where("n = 1").select("h", "c")
-    total, vocabulary = ones.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    hist = ones.groupBy(F.floor(F.log2("c") * 4).alias("q")).agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("least")).collect()
-    least_head = _cutoff(hist, head_words)
-    head = ones.where(F.col("c") >= least_head).toArrow()  # at most head_words rows of 16 bytes
-    head_h = head.column("h").to_numpy().astype(np.int64).view(np.uint64)
-    head_c = head.column("c").to_numpy().astype(np.int64)
-    order = np.argsort(head_h)
-    bits, blocks, least = build_filter(grams, max_bytes)
-    shared = spark.sparkContext.broadcast((head_h[order], head_c[order], bits))
-    denominator = float(total + vocabulary + 1)
-    some_out = max(least.values()) > 1
+
+def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The texts in chunks of about CHUNK tokens: keys, held_out and lengths by text, the sorted different word hashes, word numbers."""
+    small_batches(docs.sparkSession)
+    k = F.col(f"`{key}`")
+    rows = docs.select(token_hashes(F.col(f"`{text}`")).alias("t"), k.alias("id"), (~is_training(k)).alias("held_out"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_h, known_c, raw = shared.value
-        filter_bits = np.frombuffer(raw, np.uint8)
-
-        def part(values: np.ndarray, offsets: np.ndarray, held_out: np.ndarray):
-            words_here, at = np.unique(values, return_inverse=True)
-            place = np.searchsorted(known_h, words_here)
-            place[place == len(known_h)] = 0
-            in_head = known_h[place] == words_here if len(known_h) else np.zeros(len(words_here), bool)
-            count = np.where(in_head, known_c[place] if len(known_c) else 0, 0)
-            base = (np.log10(count + 1) - math.log10(denominator))[at]
-            level1 = probe(filter_bits, words_here, blocks)
-            low1, high1 = count_bounds(level1, 1)
-            share = (low1 + 1) / denominator
-            before = _previous(values, offsets)
-            history = _previous(at.astype(np.int64), offsets)
-            pairs = pair_keys(before, values)
-            level2 = probe(filter_bits, pairs, blocks)
-            if least[2] == 2:
-                # a training document's own pair has a count, and only 1 stayed out
-                level2[(level2 == 0) & np.repeat(~held_out, np.diff(offsets))] = 1
-            low2, _ = count_bounds(level2, 1)
-            model = np.log10(low2 + MU * share[at]) - np.log10(np.maximum(high1[history], low2) + MU)
-            sums = lambda x: np.add.reduceat(x, offsets[:-1])
-            seen = in_head[at]
-            rest = ~seen
-            rest_offsets = np.concatenate([[0], np.cumsum(sums(rest.astype(np.int64)))])
-            lacks1 = (level1 == 0) & (least[1] > 1)
-            lacks2 = (level2 == 0) & (least[2] > 1)
-            is_open = lacks2 | lacks1[at] | lacks1[history]
-            model[is_open] = 0.0
-            open_offsets = np.concatenate([[0], np.cumsum(sums(is_open.astype(np.int64)))])
-            level1 = np.where(lacks1, OPEN, level1)
-            levels = (np.where(lacks2, OPEN, level2), level1[at], level1[history])
-            # only the n-grams that the filter lacks are looked up, so the hashes of the others are not kept
-            asked = (np.where(x == OPEN, h, np.uint64(0)) for h, x in zip((pairs, values, before), levels))
-            tokens = pa.StructArray.from_arrays(
-                [pa.array(x[is_open].view(np.int64)) for x in asked] + [pa.array(x[is_open].astype(np.int32)) for x in levels],
-                ["pair", "word", "before", "lp", "lw", "lb"],
-            )
-            tokens = pa.ListArray.from_arrays(pa.array(open_offsets.astype(np.int32)), tokens)
-            return sums(seen.astype(np.int64)), sums(base), sums(model), values[rest].view(np.int64), rest_offsets, tokens
+        from pyspark import TaskContext
 
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for piece in pieces(batch, 0, CHUNK):
                 values, offsets = lists(piece, 0)
-                held_out = piece.column(3).to_numpy(zero_copy_only=False)
-                known, base, model, rest, rest_offsets, tokens = part(values, offsets, held_out)
-                rest = pa.ListArray.from_arrays(pa.array(rest_offsets.astype(np.int32)), pa.array(rest))
+                different, at = np.unique(values, return_inverse=True)
+                lengths = np.diff(offsets)
+                learned = int(lengths[~piece.column(2).to_numpy(zero_copy_only=False)].sum())
+                whole = pa.array([0, piece.num_rows], pa.int32())
                 yield pa.record_batch(
-                    [piece.column(1), piece.column(2), piece.column(3), pa.array(np.diff(offsets)), pa.array(known),
-                     pa.array(base), pa.array(model), rest, tokens],
-                    names=["id", "k", "held_out", "n_tokens", "n_head", "base", "score", "rest", "open"],
+                    [pa.array([chunk]), pa.array([learned]), pa.ListArray.from_arrays(whole, piece.column(1)),
+                     pa.ListArray.from_arrays(whole, piece.column(2)), pa.ListArray.from_arrays(whole, pa.array(lengths)),
+                     pa.array([different.tobytes()]), pa.array([pack_numbers(at)])],
+                    names=["chunk", "learned", "ids", "held_out", "lengths", "words", "numbers"],
                 )
+                chunk += 1
 
-    t, k = F.col(f"`{text}`"), F.col(f"`{key}`")
-    rows = docs.select(token_hashes(t).alias("t"), k.alias("id"), text_key(t).alias("k"), (~is_training(k)).alias("held_out"))
     kind = rows.schema["id"].dataType.simpleString()
-    scored = stored(
-        rows.mapInArrow(
-            task,
-            f"id {kind}, k binary, held_out boolean, n_tokens long, n_head long, base double, score double, rest array<long>, "
-            "open array<struct<pair: long, word: long, before: long, lp: int, lw: int, lb: int>>",
-        ),
-        "scored",
-    )
-    # tokens outside the head: copies of a text bring the same ones
-    rest = scored.select("k", F.explode("rest").alias("h")).groupBy("k", "h").agg(F.count(F.lit(1)).alias("m"))
-    copies = scored.groupBy("k").agg(F.count(F.lit(1)).alias("copies"))
-    met = rest.join(ones.where(F.col("c") < least_head), "h").groupBy("k").agg(
-        F.sum("m").alias("more"), F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("gain")
+    made = f"chunk long, learned long, ids array<{kind}>, held_out array<boolean>, lengths array<long>, words binary, numbers binary"
+    return stored(rows.mapInArrow(task, made), "token-chunks")
+
+
+class _Chunk:
+    """Tokens of a chunk: ``at`` numbers their words, ``pair_at`` the pairs they end, both by sorted hash."""
+
+    def __init__(self, words: bytes, numbers: bytes, lengths: np.ndarray):
+        self.offsets = np.concatenate([[0], np.cumsum(lengths)])
+        self.words = np.frombuffer(words, np.uint64)
+        self.at = unpack_numbers(numbers, int(self.offsets[-1]))
+        self.history = _previous(self.at, self.offsets)
+        self.pairs, self.pair_at = np.unique(pair_keys(self.words[self.history], self.words[self.at]), return_inverse=True)
+
+
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash; sorted hashes have sorted parts."""
+    return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def _sent(made: DataFrame, parts: int) -> DataFrame:
+    """(part, chunk, words, their counts, pairs, their counts): what each chunk sends to each part."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths = np.array(row["lengths"], np.int64)
+                chunk = _Chunk(row["words"], row["numbers"], lengths)
+                learned = np.repeat(~np.array(row["held_out"], bool), lengths)
+                columns, some = [], np.zeros(parts, bool)
+                for keys, at in ((chunk.words, chunk.at), (chunk.pairs, chunk.pair_at)):
+                    bounds = np.searchsorted(_part_of(keys, parts), np.arange(parts + 1))
+                    count = np.bincount(at[learned], minlength=len(keys)).astype(np.uint32)
+                    columns += [_binaries(keys, bounds), _binaries(count, bounds)]
+                    some |= np.diff(bounds) > 0
+                sent = pa.record_batch(
+                    [pa.array(np.arange(parts)), pa.array(np.full(parts, row["chunk"])), *columns],
+                    names=["part", "chunk", "words", "word_counts", "pairs", "pair_counts"],
+                )
+                yield sent.filter(pa.array(some))
+
+    asked = made.select("chunk", "held_out", "lengths", "words", "numbers")
+    return asked.mapInArrow(task, "part long, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary")
+
+
+def answers(made: DataFrame, parts: int) -> DataFrame:
+    """(chunk, part, vocabulary, counts, levels, pair_levels): the parts' answers, in the order of the chunks' sorted hashes.
+
+    ``vocabulary`` has a part's number of learned words in one of its rows and 0 in the others.
+    """
+    entry_bits = BITS_PER_ENTRY
+
+    def part(table: pa.Table) -> pa.Table:
+        different, at, counts, bounds = [], [], [], []
+        for name in ("word", "pair"):
+            sent = table.column(f"{name}s").to_pylist()
+            keys, where = np.unique(_joined(sent, np.uint64), return_inverse=True)
+            count = np.bincount(where, _joined(table.column(f"{name}_counts").to_pylist(), np.uint32), len(keys)).astype(np.int64)
+            different.append(keys)
+            at.append(where)
+            counts.append(count)
+            bounds.append(np.concatenate([[0], np.cumsum([len(x) // 8 for x in sent])]))
+        keys, count = np.concatenate(different), np.concatenate(counts)
+        entry = entries(keys, np.where(count > 0, levels_of(np.maximum(count, 1), 1), 0))
+        blocks = max(1, -(-len(entry) * entry_bits // BLOCK_BITS))
+        level = probe(np.frombuffer(filter_bytes(entry, blocks), np.uint8), keys, blocks).astype(np.uint8)
+        of_words, of_pairs = level[: len(different[0])], level[len(different[0]) :]
+        vocabulary = np.zeros(table.num_rows, np.int64)
+        vocabulary[0] = np.count_nonzero(counts[0])
+        return pa.table(
+            [table.column("chunk"), table.column("part"), pa.array(vocabulary), _binaries(counts[0][at[0]], bounds[0]),
+             _binaries(of_words[at[0]], bounds[0]), _binaries(of_pairs[at[1]], bounds[1])],
+            names=["chunk", "part", "vocabulary", "counts", "levels", "pair_levels"],
+        )
+
+    answered = _sent(made, parts).groupBy("part").applyInArrow(
+        part, "chunk long, part long, vocabulary long, counts binary, levels binary, pair_levels binary"
     )
-    met = met.join(copies, "k").select(F.col("k").alias("mk"), F.expr("more div copies").alias("more"), (F.col("gain") / F.col("copies")).alias("gain"))
-    met = broadcast_if_small(stored(met, "scored-rest"), 60)
-    zero, score_ = F.lit(0).cast("long"), F.col("score")
-    if some_out:
-        each = scored.groupBy("k", "held_out").agg(F.count(F.lit(1)).alias("copies"))
-        added = _open_scores(scored, grams, least, denominator).join(each, ["k", "held_out"])
-        added = added.select(F.col("k").alias("ok"), F.col("held_out").alias("oh"), (F.col("model") / F.col("copies")).alias("model"))
-        added = broadcast_if_small(stored(added, "scored-open"), 60)
-        scored = scored.join(added, (F.col("k") == F.col("ok")) & (F.col("held_out") == F.col("oh")), "left")
-        score_ = score_ + F.coalesce("model", F.lit(0.0))
-    return scored.join(met, F.col("k") == F.col("mk"), "left").select(
-        F.col("id").alias(key),
-        "held_out",
-        "n_tokens",
-        (F.col("n_head") + F.coalesce("more", zero)).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
-        score_.alias("score"),
+    return stored(answered, "ngram-levels")
+
+
+def score(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: int = FILTER_BYTES, head_words: int = HEAD_WORDS
+) -> DataFrame:
+    """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score and the model's score.
+
+    A part has about ``head_words`` of all tokens, and its piece of the filter ``max_bytes`` (but no fewer than LEAST_BYTES).
+    """
+    made = chunks(docs, key, text)
+    total, tokens = made.agg(
+        F.coalesce(F.sum("learned"), F.lit(0)), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
+    ).first()
+    # an n-gram has no more entries than occurrences, and there are two n-grams to a token
+    parts = max(1, -(-tokens // head_words), -(-2 * total * BITS_PER_ENTRY // (8 * max(max_bytes, LEAST_BYTES))))
+    answered = answers(made, parts)
+    vocabulary = answered.agg(F.coalesce(F.sum("vocabulary"), F.lit(0))).first()[0]
+    denominator = float(total + vocabulary + 1)
+
+    def finish(texts: pa.Table, found: pa.Table) -> pa.Table:
+        row = texts.select(["words", "numbers", "lengths"]).to_pylist()[0]
+        lengths = np.array(row["lengths"], np.int64)
+        chunk = _Chunk(row["words"], row["numbers"], lengths)
+        found = found.sort_by("part")
+        count, level1, level2 = (
+            _joined(found.column(name).to_pylist(), kind)
+            for name, kind in (("counts", np.int64), ("levels", np.uint8), ("pair_levels", np.uint8))
+        )
+        sums = lambda x: np.add.reduceat(x, chunk.offsets[:-1])
+        base = np.log10(count + 1) - math.log10(denominator)
+        low1, high1 = count_bounds(level1.astype(np.int64), 1)
+        low2 = count_bounds(np.arange(256), 1)[0][level2][chunk.pair_at]
+        share = (low1 + 1) / denominator
+        model = np.log10(low2 + MU * share[chunk.at]) - np.log10(np.maximum(high1[chunk.history], low2) + MU)
+        ids, held_out = (texts.column(name).combine_chunks().flatten() for name in ("ids", "held_out"))
+        return pa.table(
+            [ids, held_out, pa.array(lengths), pa.array(sums((count > 0).astype(np.int64)[chunk.at])),
+             pa.array(np.full(len(lengths), total)), pa.array(sums(base[chunk.at])), pa.array(sums(model))],
+            names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    kind = made.schema["ids"].dataType.elementType.simpleString()
+    scored = made.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(
+        finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
+    return scored.withColumnRenamed("id", key)

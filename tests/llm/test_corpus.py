@@ -278,6 +278,54 @@ def test_filter_levels():
     assert ((low <= counts) & (counts <= high)).all()
 
 
+def test_score_in_chunks_and_parts(spark, monkeypatch):
+    """Chunks and parts follow the tokens, scores do not follow them, and nothing is sent to all executors."""
+    import numpy as np
+
+    def refused(*_):
+        raise AssertionError("no broadcast")
+
+    monkeypatch.setattr(scoring, "BITS_PER_ENTRY", 1024)  # no false hits
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    rows = [(i, " ".join(f"w{i * j % 53} v{j % (3 + i % 7)}" for j in range(30)) + f" only{i}", "a") for i in range(80)]
+    rows += [(None, "w1 W2  w3", "a"), (7, None, "b"), (8, " ".join(f"w{j}" for j in range(900)), "a")] + rows[:4]
+    df = docs_of(spark, rows)
+    whole = collections.Counter(map(repr_of, scoring.score(df).collect()))
+    monkeypatch.setattr(scoring, "CHUNK", 500)
+    made = scoring.chunks(df)
+    tokens = [sum(r["lengths"]) for r in made.collect()]
+    assert len(tokens) > 8 and sorted(tokens)[-2] <= 1000 and max(tokens) < 1500
+    words_of = [["\n", *(t or "").lower().split(), "\n"] for _, t, _ in rows]
+    learned = [w for (i, _, _), w in zip(rows, words_of) if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    one = collections.Counter(x for w in learned for x in w[1:])
+    answered = scoring.answers(made, 16).collect()
+    assert sum(r["vocabulary"] for r in answered) == len(one) and len({r["part"] for r in answered}) == 16
+    # a part answers its share of the n-grams that the chunks hold, a byte each and the words' exact counts
+    sent = [len(r["levels"]) + len(r["pair_levels"]) for r in answered]
+    by_part = collections.Counter()
+    for r, n in zip(answered, sent):
+        assert len(r["counts"]) == 8 * len(r["levels"])
+        by_part[r["part"]] += n
+    assert max(by_part.values()) < 2 * sum(sent) / 16
+    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in answered])
+    assert counts.max() == max(one.values())
+    for settings in ({"head_words": 300}, {"max_bytes": 0}):
+        assert collections.Counter(map(repr_of, scoring.score(df, **settings).collect())) == whole
+
+
+def repr_of(row):
+    return repr([f"{x:.9g}" if isinstance(x, float) else x for x in row])
+
+
+def test_packed_numbers():
+    import numpy as np
+
+    for size, most in ((0, 1), (1, 1), (1000, 200), (5000, 1 << 32)):
+        numbers = np.random.default_rng(size).integers(0, most, size)
+        assert (scoring.unpack_numbers(scoring.pack_numbers(numbers), size) == numbers).all()
+    assert len(scoring.pack_numbers(np.arange(50_000) % 256)) < 10_000
+
+
 def test_scores_of_odd_rows(spark):
     found = scoring.score(docs_of(spark, ODD)).collect()
     assert len(found) == len(ODD)
