@@ -22,7 +22,8 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,15 @@ def _pairs(seq: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
     return keys, len(across)
 
 
+def _frequent(order: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys found at least ``least`` times among sorted keys, ascending, and how often."""
+    # the places that have their own key ``least - 1`` places further: as many to a key as its count exceeds that
+    more = max(least, 1) - 1
+    found = order[np.flatnonzero(order[: max(len(order) - more, 0)] == order[more:])]
+    first = np.flatnonzero(np.concatenate([found[:1] == found[:1], found[1:] != found[:-1]]))
+    return found[first], np.diff(np.append(first, len(found))) + more
+
+
 def _slots(keys: np.ndarray) -> np.ndarray:
     if keys.itemsize == 4:
         return (keys * np.uint32(2654435769)) >> np.uint32(14)
@@ -75,32 +85,26 @@ def compress(
     while made < room and len(seq) > 1:
         most = min(room - made, -(-room // ROUND_PART))
         keys, across = _pairs(seq, ends[lengths > 0])
-        order = np.sort(keys)[: len(keys) - across]
-        first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, int)
-        count = np.diff(np.append(first, len(order)))
-        often = np.flatnonzero(count >= min_count)
-        if not len(often):
+        pairs, count = _frequent(np.sort(keys)[: len(keys) - across], min_count)
+        if not len(pairs):
             break
-        if len(often) > most:
-            # exact top, ties by the smaller pair
-            often = often[np.lexsort((order[first[often]], -count[often]))[:most]]
-        else:
-            often = often[np.argsort(-count[often], kind="stable")]
-        pairs = order[first[often]]
+        # exact top, ties by the smaller pair
+        pairs = pairs[np.argsort(-count, kind="stable")[:most]]
         # one rule per slot of the lookup; a pair that meets a fuller slot waits for the next round
         _, kept = np.unique(_slots(pairs), return_index=True)
         pairs = pairs[np.sort(kept)]
-        table = np.full(1 << 18, -1, np.int32)
-        table[_slots(pairs)] = np.arange(len(pairs), dtype=np.int32)
-        rule = table[_slots(keys)]
-        hit = np.flatnonzero(rule >= 0)
-        hit = hit[pairs[rule[hit]] == keys[hit]]
+        # an empty slot holds the first pair, which differs from every key that comes there
+        table = np.full(1 << 18, pairs[0])
+        table[_slots(pairs)] = pairs
+        slots = _slots(keys)
+        hit = np.flatnonzero(table[slots] == keys)
         # overlapping places: every second one of a run, from the left
-        start = np.concatenate([[True], np.diff(hit) != 1])
-        offset = hit - np.maximum.accumulate(np.where(start, hit, 0))
-        chosen = hit[offset % 2 == 0]
-        seq = seq.copy()
-        seq[chosen] = (base + made + rule[chosen]).astype(seq.dtype)
+        start = np.concatenate([[True], hit[1:] - hit[:-1] != 1])
+        offset = hit - np.maximum.accumulate(hit * start)
+        chosen = hit[offset & 1 == 0]
+        rule = np.zeros(len(table), np.int32)
+        rule[_slots(pairs)] = np.arange(len(pairs), dtype=np.int32)
+        seq[chosen] = (base + made + rule[slots[chosen]]).astype(seq.dtype)
         keep = np.ones(len(seq), bool)
         keep[chosen + 1] = False
         ends = ends - np.searchsorted(chosen, ends - 1)
@@ -203,6 +207,22 @@ class Shard:
 # ---- encoding -----------------------------------------------------------------------------------
 
 
+class _Remembered(dict):
+    """Ids of runs with the blank before them; a bounded number is kept, and none that holds a line feed."""
+
+    def __init__(self, letters: Callable[[str], bytes], other: Callable[[str], bytes], most: int):
+        self._letters, self._other, self._most = letters, other, most
+
+    def __missing__(self, run: str) -> bytes:
+        if run.isalpha() and run.isascii():
+            found = self._letters(run)
+        else:
+            found = self._other(run)
+        if len(self) < self._most and "\n" not in run:
+            self[run] = found
+        return found
+
+
 class Encoder:
     """Ids of texts, equal to the tokenizer's own on the whole text.
 
@@ -223,6 +243,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
+        self._tokenize, self._id = self._t.model.tokenize, attrgetter("id")
         spec = json.loads(self._t.to_str())
         # texts that hold an added token's own text are left to the tokenizer
         added = [re.escape(x["content"]) for x in spec.get("added_tokens") or [] if x["content"]]
@@ -233,7 +254,9 @@ class Encoder:
         self.size = self._t.get_vocab_size()
         self._type, self._code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         # ids by text: with a blank before it, and without one
-        self._runs: dict[str, bytes] = {}
+        self._runs: dict[str, bytes] = _Remembered(
+            lambda run: self._model_ids(self._blank + run), self._run, self.REMEMBER_RUNS
+        )
         self._words: dict[str, bytes] = {}
         # the byte alphabet of byte-level tokenizers: printable bytes stand for themselves
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -246,7 +269,7 @@ class Encoder:
         return np.array(self._t.encode(text, add_special_tokens=False).ids, self._type).tobytes()
 
     def _model_ids(self, mapped: str) -> bytes:
-        return array(self._code, [x.id for x in self._t.model.tokenize(mapped)]).tobytes()
+        return array(self._code, list(map(self._id, self._tokenize(mapped)))).tobytes()
 
     def _word(self, word: str, blank: str) -> bytes:
         """A pre-token of letters or marks, straight through the model."""
@@ -291,15 +314,7 @@ class Encoder:
         if not self._by_run or (self._added and self._added.search(text)):
             return np.frombuffer(self._ids(text), self._type)
         runs = self._cut.split(text) if self._odd(text) else text.split(" ")
-        known, rest = self._runs, runs[1:]
-        first = self._run(runs[0], "")
-        found = list(map(known.get, rest))
-        if not all(found):
-            for i in [i for i, x in enumerate(found) if not x]:
-                found[i] = x = known.get(rest[i]) or self._run(rest[i])
-                if len(known) < self.REMEMBER_RUNS and "\n" not in rest[i]:
-                    known[rest[i]] = x
-        return np.frombuffer(first + b"".join(found), self._type)
+        return np.frombuffer(self._run(runs[0], "") + b"".join(map(self._runs.__getitem__, runs[1:])), self._type)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -640,6 +640,28 @@ def test_no_pair_stays_frequent():
     assert (grammar.decode(symbols, rules, sizes, 50_257) == ids).all()
 
 
+def test_frequent_pairs_and_new_runs():
+    import numpy as np
+
+    for least in (1, 2, 3, 16):
+        for size in (0, 1, 2, 15, 16, 400, 5000):
+            keys = np.sort(np.random.default_rng(size).integers(0, 60 + size // 40, size).astype(np.uint32))
+            count = collections.Counter(keys.tolist())
+            found, often = grammar._frequent(keys, least)
+            assert dict(zip(found.tolist(), often.tolist())) == {k: c for k, c in count.items() if c >= least}
+            assert found.tolist() == sorted(found.tolist())
+    # a run is encoded when it is first met, also beside many known ones; runs over two lines are not kept
+    encoder, asked = grammar.Encoder(queries.tokenizer_path()), []
+    tokenize = encoder._tokenize
+    encoder._tokenize = lambda mapped: asked.append(mapped) or tokenize(mapped)
+    text = "one zwqx zwqx, two\nzwqx 12-7 zwqx \u00fcber zwqx"
+    first = encoder.encode(text).tolist()
+    assert first == encoder._t.encode(text, add_special_tokens=False).ids
+    assert len([x for x in asked if x.endswith("zwqx") and len(x) > 4]) == 1 and "two\nzwqx" not in encoder._runs
+    del asked[:]
+    assert encoder.encode(text).tolist() == first and not [x for x in asked if x.endswith("zwqx")]
+
+
 def test_a_word_is_remembered_once():
     encoder = grammar.Encoder(queries.tokenizer_path())
     asked = []
