@@ -163,3 +163,25 @@ def test_many_rows_are_all_fitted(spark):
     want = boosting.Boosted(3, 5, boosting.grow(x, y, 3, 5, 4, 0.3))
     assert_same_model(got, want)
     assert got.importances == pytest.approx(want.importances)
+
+
+@pytest.mark.parametrize("limits", [{}, {"KEPT_BYTES": 0}, {"PASS_BYTES": 1}, {"CHECKPOINT_ROUNDS": 2}])
+def test_settings_share_passes_over_all_rows(spark, monkeypatch, limits):
+    """Several settings on spread rows, whatever is kept, summed at once or written between rounds."""
+    for name, value in limits.items():
+        monkeypatch.setattr(boosting, name, value)
+    x, y = wide_rows(700, 3, odd=True)
+    frame = spark.createDataFrame(pd.DataFrame({"x": x.tolist(), "label": y}), "x array<double>, label int")
+    settings = {"a": {"trees": 4, "depth": 4, "step": 0.3}, "b": {"trees": 2, "depth": 1, "step": 0.1}, "c": {"trees": 1, "depth": 0, "step": 0.1}}
+    got = boosting.fit_many(frame, settings, "x", most=100)
+    for name, options in settings.items():
+        assert_same_model(got[name], boosting.Boosted(3, 5, boosting.grow(x, y, 3, **options)))
+
+
+@pytest.mark.parametrize("classes", [1, 2, 4])
+def test_spread_rows_of_other_class_counts(spark, classes):
+    x, y = wide_rows(300, classes)
+    frame = spark.createDataFrame(pd.DataFrame({"x": x.tolist(), "label": y}), "x array<double>, label int")
+    unlabelled = frame.unionByName(frame.withColumn("label", F.lit(None).cast("int")))
+    got = boosting.fit(unlabelled, "x", trees=3, depth=3, step=0.3, classes=classes, most=50)
+    assert_same_model(got, boosting.Boosted(classes, 5, boosting.grow(x, y, classes, 3, 3, 0.3)))
