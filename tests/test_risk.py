@@ -425,6 +425,21 @@ def test_importances_hide_text_features(spark, training):
     assert models.importance_table(spark, model, ["num__a", "num__b"], None).count() == 3
 
 
+def test_forest_and_regression_take_all_rows(spark):
+    rows = spark.range(60_000).select(F.array(F.col("id") % 7 + 0.0, F.col("id") + 0.0).alias("features"), F.when(F.col("id") > 0, F.col("id") % 2).alias("label"))
+    assert models.spread(rows).count() == 59_999
+
+
+def test_forest_thresholds_come_from_all_rows(spark):
+    """A value of a few rows among many is split off: a sample of 10,000 rows would hardly have it."""
+    x = F.when(F.col("id") % 10_000 == 0, 2.0).when(F.col("id") % 2 == 0, 1.0).otherwise(3.0)
+    rows = spark.range(60_000).select(F.array(x).alias("features"), (F.col("id") % 10_000 == 0).cast("int").alias("label"))
+    model = models.train_forest(rows, trees=5, depth=3)
+    assert [c.tolist() for c in model.cuts] == [[1.5, 2.5]]
+    said = model.transform(rows.withColumn("features", array_to_vector("features")))
+    assert said.where("prediction = 1").count() == said.where("prediction = label and label = 1").count() == 6
+
+
 def test_report_with_a_class_never_predicted(spark):
     pred = spark.createDataFrame([("a", "a"), ("a", "a"), ("b", "a"), ("c", "c")], "label string, prediction string")
     got = {r["class"]: r for r in models.classification_report(pred).collect()}
