@@ -185,3 +185,19 @@ def test_spread_rows_of_other_class_counts(spark, classes):
     unlabelled = frame.unionByName(frame.withColumn("label", F.lit(None).cast("int")))
     got = boosting.fit(unlabelled, "x", trees=3, depth=3, step=0.3, classes=classes, most=50)
     assert_same_model(got, boosting.Boosted(classes, 5, boosting.grow(x, y, classes, 3, 3, 0.3)))
+
+
+def test_stability_reads_all_rows(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(800, 12))
+    y = (x[:, :6] @ np.arange(1, 7) + 3 * r.normal(size=800) > 0).astype(int)
+    frame = spark.createDataFrame(pd.DataFrame({"features": x.tolist(), "label": y}), "features array<double>, label int")
+    names = [f"num__{i}" for i in range(12)]
+    configs = {"Baseline": {"depth": 4, "step": 0.3, "trees": 4}, "Shallow": {"depth": 2, "step": 0.3, "trees": 4}, "Again": {"depth": 4, "step": 0.3, "trees": 4, "seed": 9}}
+
+    def found(most):
+        rows = models.importance_stability(frame, names, configs, top=5, most=most).collect()
+        return {r["config"]: (round(r["spearman"], 9), r["top_overlap"]) for r in rows}
+
+    assert found(100) == found(800)
+    assert found(100)["Again"] == (1.0, 1.0)
